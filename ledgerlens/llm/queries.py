@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, url_filter
+from . import bpe_stream, exact_dedup, packing, quality_rules, token_files, url_filter
 from .common import read_table
 from .oracles import ORACLES
 
 
+#: Vocabulary files; their place is a parameter of every operator.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.round_trip(read_table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=1)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=0)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
@@ -21,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_stream, op3_token_files, op7_quality_rules, op8_best_fit_packing, op9_url_filter, op10_exact_dedup)}
 
 
 def queries() -> dict:
