@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, exact_dedup, packing, quality_rules, simhash, token_files, url_filter
+from . import bpe_stream, exact_dedup, language_model, packing, quality_classifier, quality_rules, simhash, token_files, url_filter, warc
 from .common import read_table
 from .oracles import ORACLES
 
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.round_trip(read_table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
@@ -27,10 +31,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=1)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(read_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_stream, op3_token_files, op5_simhash, op7_quality_rules, op8_best_fit_packing, op9_url_filter, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_bpe_stream,
+        op3_token_files,
+        op4_language_model,
+        op5_simhash,
+        op6_warc,
+        op7_quality_rules,
+        op8_best_fit_packing,
+        op9_url_filter,
+        op10_exact_dedup,
+    )
+}
 
 
 def queries() -> dict:
