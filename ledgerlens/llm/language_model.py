@@ -240,7 +240,8 @@ def _count_of_counts(counts: np.ndarray) -> list[int]:
 
 def held_out(doc_id: Column | str) -> Column:
     """True for the documents that the model doesn't learn from."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % 7 == 2
+    id_ = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 7 == 2
 
 
 def fit(docs: DataFrame, train: Column, folder: str | None = None) -> LanguageModel:
