@@ -1,7 +1,7 @@
 """Quality classifier: weak labels by expectation-maximisation, then a hashed linear scorer.
 
-Overlapping heuristic labellers vote good, bad or nothing on every text, as Column expressions. The whole
-corpus is counted by vote pattern (at most 3 ** labellers rows reach the driver), and expectation-
+Overlapping heuristic labellers vote good, bad or nothing on every text. The whole corpus is counted by
+vote pattern (at most 3 ** labellers rows reach the driver), and expectation-
 maximisation over that table estimates every labeller's accuracy per class and the share of good texts,
 with Dirichlet priors that keep the classes from changing places and a corpus of one class from being split.
 The posteriors are the training labels of a logistic model over hashed word shapes and word ends, averaged
@@ -15,6 +15,10 @@ are ignored by ``judge`` and carried by ``keep_good``.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from operator import eq
 
@@ -23,8 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
-
 FIT_ROWS = 5000
 BUCKETS = 1 << 13
 THRESHOLD = 0.5
@@ -35,42 +37,57 @@ VOTE_PRIOR = {BAD: (25.0, 10.0, 65.0), GOOD: (0.5, 40.0, 59.5)}
 CLASS_PRIOR = (2.0, 8.0)
 
 
-def _votes(text: Column) -> list[tuple[str, Column, Column]]:
-    """(labeller, good, bad) conditions; neither is an abstention."""
-    t = F.coalesce(text, F.lit(""))
-    kept_out = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("double")
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("double")
-    upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("double")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;][\"')»”\x20\x09-\x0D]*$"))) / F.greatest(F.size(lines), F.lit(1))
-    distinct = F.size(F.array_distinct(words)) / n
-    plain = F.size(F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}'’-]+[.,;:]?$"))) / n
-    never, enough = F.lit(False), n >= 8
-    return [
-        ("symbols", never, kept_out("#*$%&<>") / n > 0.3),
-        ("plain_words", plain > 0.8, plain < 0.5),
-        ("capitals", never, enough & (upper > 0.5 * letters)),
-        ("exclamations", never, kept_out("!") / n > 0.3),
-        ("navigation", never, enough & (kept_out("|") / n > 0.15)),
-        ("separators", never, t.rlike(r"[^|\n]\|[^|\n]+\|[^|\n]+\|[^|\n]")),
-        ("repetition", never, enough & (distinct < 0.35)),
-        ("stutter", never, t.rlike(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){4}")),
-        ("sentences", enough & (ended > 0.6), enough & (ended < 0.05)),
-    ]
-
-
-def vote_code(text: Column) -> Column:
+LABELLERS = ("symbols", "plain_words", "capitals", "exclamations", "navigation", "separators", "repetition", "stutter", "sentences")
+_ENDS = tuple(".!?…:;") + tuple(a + b for a in ".!?…:;" for b in "\"')»”")
+_SEPARATORS = re.compile(r"[^|\n]\|[^|\n]+\|[^|\n]+\|[^|\n]")
+_PLAIN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*[.,;:]?")
+
+
+def word_kind(word: str) -> int:
+    """1 for a plain word plus 2 ** 32 for one in capitals; sums count both."""
+    return bool(_PLAIN.fullmatch(word)) + (bool(len(word) > 1 and word.isupper()) << 32)
+
+
+def votes(text: str, words: list[str], kinds: int) -> tuple[int, ...]:
+    """The labellers' votes; kinds is the sum of word_kind over the words."""
+    n = max(len(words), 1)
+    enough = len(words) >= 8
+    plain, capitals = kinds & 0xFFFFFFFF, kinds >> 32
+    lines = [x for x in map(str.rstrip, text.split("\n")) if x]
+    ended = sum(x.endswith(_ENDS) for x in lines) / max(len(lines), 1)
+    pipes = text.count("|")
+    said = (
+        (False, sum(map(text.count, "#*$%&<>")) > 0.3 * n),
+        (plain > 0.8 * n, plain < 0.5 * n),
+        (False, enough and capitals > 0.5 * n),
+        (False, text.count("!") > 0.3 * n),
+        (False, enough and pipes > 0.15 * n),
+        (False, pipes > 2 and bool(_SEPARATORS.search(text))),
+        (False, enough and len(set(words)) < 0.35 * n),
+        (False, repeats(words) >= 4 and _longest_run(words) >= 5),
+        (enough and ended > 0.6, enough and ended < 0.05),
+    )
+    return tuple(BAD if bad else GOOD if good else NONE for good, bad in said)
+
+
+def _longest_run(words: list[str]) -> int:
+    best = run = 1
+    for a, b in zip(words, words[1:], strict=False):
+        run = run + 1 if a == b else 1
+        best = max(best, run)
+    return best
+
+
+def code_of(cast: tuple[int, ...]) -> int:
     """All votes as one number, one base-3 digit per labeller."""
-    code = F.lit(0)
-    for _, good, bad in _votes(text):
-        code = code * 3 + F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
+    code = 0
+    for v in cast:
+        code = 3 * code + v
     return code
 
 
-def labellers() -> int:
-    return len(_votes(F.lit("")))
+def votes_of(code: int) -> list[int]:
+    return [code // 3**k % 3 for k in reversed(range(len(LABELLERS)))]
 
 
 def expectation_maximisation(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -124,16 +141,15 @@ def repeats(words: list[str]) -> int:
     return sum(map(eq, words, words[1:]))
 
 
-class WordWeights(dict):
-    """word -> its share of the score; bounded, emptied when full."""
+class Remember(dict):
+    """word -> make(word); bounded, emptied when full."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, make: Callable):
         super().__init__()
-        self.weights = weights
+        self.make = make
 
-    def __missing__(self, word: str) -> float:
-        a, b = features(word)
-        out = float(self.weights[a] + self.weights[b])
+    def __missing__(self, word: str):
+        out = self.make(word)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -141,6 +157,14 @@ class WordWeights(dict):
         return out
 
 
+def _kinds() -> Remember:
+    """One per worker process."""
+    return _KINDS.setdefault("table", Remember(word_kind))
+
+
+_KINDS: dict[str, Remember] = {}
+
+
 @dataclass
 class QualityModel:
     posterior: dict[int, float]  # by vote code
@@ -150,47 +174,66 @@ class QualityModel:
     bias: float
 
     def column(self, text: Column) -> Column:
-        """Struct of posterior and score."""
+        """Struct of votes (as one number), posterior and score."""
         posterior, weights, bias, share = self.posterior, self.weights, self.bias, self.share
         held: dict = {}
 
-        def run(code: pa.Array, text: pa.Array) -> pa.Array:
-            table = held.setdefault("table", WordWeights(weights))
-            scores = []
+        def weigh(word: str) -> float:
+            a, b = features(word)
+            return float(weights[a] + weights[b])
+
+        def run(text: pa.Array) -> pa.Array:
+            table, kinds = held.setdefault("table", Remember(weigh)), _kinds()
+            codes, scores = [], []
             for t in text.to_pylist():
                 w = (t or "").split()
+                codes.append(code_of(votes(t or "", w, sum(map(kinds.__getitem__, w)))))
                 z = bias + (sum(map(table.__getitem__, w)) + float(weights[-1]) * repeats(w)) / max(len(w), 1)
-                scores.append(1 / (1 + np.exp(-np.clip(z, -60, 60))) if w else 0.0)
-            known = [posterior.get(c, share) for c in code.to_pylist()]
-            return pa.StructArray.from_arrays([pa.array(known, pa.float64()), pa.array(scores, pa.float64())], ["posterior", "score"])
+                scores.append(1 / (1 + math.exp(-min(max(z, -60), 60))) if w else 0.0)
+            known = [posterior.get(c, share) for c in codes]
+            return pa.StructArray.from_arrays([pa.array(codes, pa.int32()), pa.array(known, pa.float64()), pa.array(scores, pa.float64())], ["votes", "posterior", "score"])
+
+        return F.arrow_udf(run, "struct<votes: int, posterior: double, score: double>")(text)
+
+
+def _patterns(docs: DataFrame) -> list:
+    """(code, count) of every vote pattern in the corpus; each task sends one row per pattern it met."""
+
+    def run(batches):
+        count, kinds = Counter(), _kinds()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                w = (t or "").split()
+                count[code_of(votes(t or "", w, sum(map(kinds.__getitem__, w))))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int32()), pa.array(count.values(), pa.int64())], ["code", "n"])
 
-        return F.arrow_udf(run, "struct<posterior: double, score: double>")(vote_code(text), text)
+    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
 
 
 def _sample(docs: DataFrame, rows: int) -> list:
-    """(code, feature ids, feature shares) of at most rows texts with words."""
+    """(code, feature ids, feature shares) of at most rows distinct texts with words."""
 
     def run(batches):
+        kinds, known = _kinds(), Remember(features)
         for b in batches:
             codes, ids, shares = [], [], []
-            for c, t in zip(b.column("code").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for t in b.column("text").to_pylist():
                 w = (t or "").split()
                 if w:
-                    f, n = np.unique(np.array([features(x) for x in w]), return_counts=True)
+                    f, n = np.unique(np.array([known[x] for x in w]), return_counts=True)
                     f, n = np.append(f, BUCKETS), np.append(n, repeats(w))
-                    codes.append(c)
+                    codes.append(code_of(votes(t, w, sum(map(kinds.__getitem__, w)))))
                     ids.append(f.astype("<i4").tobytes())
                     shares.append((n / len(w)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["code", "ids", "shares"])
 
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    some = docs.select("text", h.alias("h")).where(F.col("text").isNotNull())
+    some = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
     cut = some.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("most"))
-    chosen = some.join(F.broadcast(cut), F.col("h") <= F.col("most")).groupBy("h").agg(F.first("text").alias("text"))
-    return chosen.orderBy("h").select(vote_code(F.col("text")).cast("int").alias("code"), "text").mapInArrow(run, "code int, ids binary, shares binary").collect()
+    chosen = some.join(F.broadcast(cut), F.col("h") <= F.col("most")).groupBy("h").agg(F.first("text").alias("text"))  # one row
+    return chosen.orderBy("h").select("text").mapInArrow(run, "code int, ids binary, shares binary").collect()
 
 
-def _logistic(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def _logistic(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, rounds: int = 150, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam over all rows."""
     w, m, v = (np.zeros(BUCKETS + 2) for _ in range(3))
     if not ids:
@@ -208,11 +251,10 @@ def _logistic(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, ro
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
-    patterns = docs.select(vote_code(F.col("text")).alias("code")).groupBy("code").count().orderBy("code").collect()
-    k = labellers()
-    votes = np.array([[p["code"] // 3 ** (k - 1 - i) % 3 for i in range(k)] for p in patterns], int).reshape(-1, k)
-    post, rates, share = expectation_maximisation(votes, np.array([p["count"] for p in patterns], float))
-    posterior = {p["code"]: float(x) for p, x in zip(patterns, post, strict=True)}
+    patterns = _patterns(docs)
+    cast = np.array([votes_of(p.code) for p in patterns], int).reshape(-1, len(LABELLERS))
+    post, rates, share = expectation_maximisation(cast, np.array([p.n for p in patterns], float))
+    posterior = {p.code: float(x) for p, x in zip(patterns, post, strict=True)}
     rows = _sample(docs, fit_rows)
     weights, bias = _logistic([np.frombuffer(r.ids, "<i4") for r in rows], [np.frombuffer(r.shares, "<f4") for r in rows], np.array([posterior[r.code] for r in rows]))
     return QualityModel(posterior, accuracies(rates), share, weights, bias)
@@ -220,9 +262,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
 
 def judge(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, votes, posterior, score and kept of every row."""
-    model = fit(docs, fit_rows)
-    scored = docs.select("doc_id", vote_code(F.col("text")).alias("votes"), model.column(F.col("text")).alias("q"))
-    return scored.select("doc_id", "votes", F.col("q.posterior").alias("posterior"), F.col("q.score").alias("score"), (F.col("q.score") >= THRESHOLD).alias("kept"))
+    scored = docs.select("doc_id", fit(docs, fit_rows).column(F.col("text")).alias("q"))
+    return scored.select("doc_id", "q.votes", "q.posterior", "q.score", (F.col("q.score") >= THRESHOLD).alias("kept"))
 
 
 def keep_good(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
