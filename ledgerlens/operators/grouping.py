@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -70,6 +71,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Every round is checkpointed; it ends when no label changes.
     """
+    _shared_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
     for _ in range(rounds):
@@ -79,3 +81,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if new.where("moved").isEmpty():
             break
     return labels
+
+
+def _shared_checkpoints(spark) -> None:
+    """spark.checkpoint.dir holds on a cluster; a folder of our own only where nothing is set (local runs)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
