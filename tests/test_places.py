@@ -23,10 +23,10 @@ def test_parcels(spark):
 
 def test_streets(spark):
     got = lambda t: one(spark, t, P.streets(F.col("t")))[0]
-    assert got("ул. Любен Каравелов и ул.Раковска гр.Несебър") == ["Любен Каравелов", "Раковска"]
-    assert got("ул. „Св. св. Кирил и Методий“, и ул. Първа в участък от о.т.83") == ["Св. св. Кирил и Методий", "Първа"]
+    assert got("ул. Морска и ул.Лозарска гр.Варна") == ["Морска", "Лозарска"]
+    assert got("ул. „Ген. Гурко, изток“, и ул. Трета в участък от о.т.7") == ["Ген. Гурко, изток", "Трета"]
     assert got("улицата е дълга") == [] and got(None) == []
-    assert one(spark, "ул. Св.Св. Кирил и Методий", P.street_key(F.col("t")))[0] == one(spark, "Св. св.Кирил и Методий", P.street_key(F.col("t")))[0]
+    assert one(spark, "ул. Ген.Гурко", P.street_key(F.col("t")))[0] == one(spark, "ген. Гурко", P.street_key(F.col("t")))[0]
 
 
 def test_resolve(spark):
@@ -34,13 +34,13 @@ def test_resolve(spark):
     from ledgerlens import schemas
 
     parcels = spark.createDataFrame(
-        [row("51500.1.1", "51500", None, 42.6, 27.7), row("51500.2.1", "51500", "ул. Раковска", 42.600, 27.7), row("51500.2.2", "51500", "Раковска", 42.604, 27.7), row("51500.2.3", "51500", "Раковска", 42.606, 27.7), row("51500.3.1", "51500", "Първа", 42.6, 27.7), row("51500.3.2", "51500", "Първа", 42.7, 27.7), row("11538.2.1", "11538", "Втора", 42.8, 27.8), row("51500.4.1", "51500", "Втора", 42.8, 27.7)],
+        [row("51500.1.1", "51500", None, 42.6, 27.7), row("51500.2.1", "51500", "ул. Лозарска", 42.600, 27.7), row("51500.2.2", "51500", "Лозарска", 42.604, 27.7), row("51500.2.3", "51500", "Лозарска", 42.606, 27.7), row("51500.3.1", "51500", "Първа", 42.6, 27.7), row("51500.3.2", "51500", "Първа", 42.7, 27.7), row("11538.2.1", "11538", "Втора", 42.8, 27.8), row("51500.4.1", "51500", "Втора", 42.8, 27.7)],
         schemas.PARCELS,
     )
-    texts = spark.createDataFrame([(1, "обект в 51500.1.1, ул. Раковска"), (2, "ремонт на ул. Раковска"), (3, "ул. Първа"), (4, "ул. Втора"), (5, "nothing")], "id long, text string")
+    texts = spark.createDataFrame([(1, "обект в 51500.1.1, ул. Лозарска"), (2, "ремонт на ул. Лозарска"), (3, "ул. Първа"), (4, "ул. Втора"), (5, "nothing")], "id long, text string")
     candidates = texts.select("id").crossJoin(spark.createDataFrame([("51500",), ("11538",)], "ekatte string"))
     out = {r.id: (r.precision, r.place, r.lat) for r in P.resolve(texts, candidates, parcels, KNOWN).collect()}
-    assert out == {1: ("parcel", "51500.1.1", 42.6), 2: ("street", "Раковска", 42.604)}
+    assert out == {1: ("parcel", "51500.1.1", 42.6), 2: ("street", "Лозарска", 42.604)}
 
 
 def test_centroid(spark):
