@@ -44,13 +44,14 @@ def short_deadline(rows: DataFrame, days: str, legal: str, bare: str, margin: in
 def missing_periods(present: DataFrame, keys: Sequence[str], period: str, step: str, bounds: DataFrame | None = None) -> DataFrame:
     """(keys, period) combinations without a row, from the first to the last period seen.
 
-    present has one date column period, already cut to the step. Only distinct keys and periods are paired.
+    present has one date column period, already cut to the step. Each key's periods are taken from the
+    calendar as a set, so no grid of keys and periods is ever made.
     """
-    have = present.select(*keys, period).distinct()
-    span = (bounds or have).agg(F.min(period).alias("__a"), F.max(period).alias("__b"))
-    calendar = span.select(F.explode(F.expr(f"sequence(__a, __b, interval {step})")).alias(period))
-    wanted = have.select(*keys).distinct().join(F.broadcast(calendar)) if keys else calendar  # a few hundred periods
-    return wanted.join(have, [*keys, period], "left_anti")
+    span = (bounds or present).agg(F.min(period).alias("__a"), F.max(period).alias("__b"))
+    calendar = span.where("__a IS NOT NULL").select(F.expr(f"sequence(__a, __b, interval {step})").alias("__calendar"))
+    seen = present.groupBy(*keys).agg(F.collect_set(period).alias("__seen"))
+    with_calendar = seen.join(F.broadcast(calendar))  # one row
+    return with_calendar.select(*keys, F.explode(F.array_except("__calendar", "__seen")).alias(period))
 
 
 def renewal_gaps(rows: DataFrame, key: str, at: str, min_days: int = 300) -> DataFrame:
