@@ -10,14 +10,21 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
+from .bpe_stream import byte_chars
+
 REMEMBERED = 600_000
 LONGEST = 64
-_ASCII_WORD = re.compile(r"[!-~]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: The split pattern for which _PIECES says the same on lower-case ASCII words.
+#: Characters below U+0180 that lower-case and compose alone; combining marks start at U+0300.
+_PLAIN = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x180)]) if c != "\u0130" and len(c.lower()) == 1 and c.lower() < "\u0180"]
+_PLAIN_WORD = re.compile("[" + re.escape("".join(_PLAIN)) + "]+")
+_LETTERS, _NUMBERS = ("".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: The split pattern for which _PIECES says the same on lower-case plain words.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -38,20 +45,22 @@ class WordIds(dict):
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         self.by_word = pre.get("pattern", {}).get("Regex") == _SPLIT and pre.get("behavior") == "Removed" and bool(pre.get("invert"))
         self.pieces: dict[str, bytes] = {}
+        self.byte_char = [c for _, c in sorted(byte_chars().items())]
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if (out := self.pieces.get(piece)) is None:
-            out = np.asarray([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
+            known = piece if piece.isascii() else "".join(map(self.byte_char.__getitem__, piece.encode()))
+            out = array("I", [t.id for t in self.tokenizer.model.tokenize(known)]).tobytes()
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
             self.pieces[piece] = out
         return out
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) <= LONGEST and _ASCII_WORD.fullmatch(word):
+        if len(word) <= LONGEST and _PLAIN_WORD.fullmatch(word):
             out = b"".join(map(self._piece, _PIECES.findall(word.lower())))
         else:
             out = self._whole(word)
