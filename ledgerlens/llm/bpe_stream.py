@@ -22,13 +22,14 @@ import re
 import string
 import unicodedata
 from functools import cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE = 1 << 16  # characters fed at a time
-CACHE = 400_000  # remembered chunks
+CHUNKS, FIRSTS, PRETOKENS = 300_000, 30_000, 150_000  # remembered at most
 SHORT = 64  # characters of the longest remembered chunk
 
 
@@ -74,7 +75,7 @@ class BytePairStream:
         self.lookahead = lookahead(merges, {i: len(b) for i, b in raw.items()})
         self.window = 4 * max(self.lookahead, 256)
         self._patterns(*(classes or char_classes(path)))
-        self.with_blank, self.first, self.pretokens = _Remember(self._blank_chunk), _Remember(self._chunk), _Remember(self._pretoken)
+        self.with_blank, self.first, self.pretokens = _Remember(self._blank_chunk, CHUNKS), _Remember(self._chunk, FIRSTS), _Remember(self._pretoken, PRETOKENS)
         self.hold = max([3, *(len(s) - 1 for s in self.specials)])
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self._reset()
@@ -237,14 +238,14 @@ class ByteToText:
 class _Remember(dict):
     """A bounded table of make(key); emptied when full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         out = self.make(key)
         if len(key) <= SHORT:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = out
         return out
@@ -331,24 +332,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded, then decoded from the ids alone."""
-    ids = encode(docs, path)
-    doc_type, classes = ids.schema["doc_id"].dataType.simpleString(), char_classes(path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text is encoded, then decoded from its ids alone.
 
-    def run(batches):
-        from hashlib import sha256
+    One worker does both, so that a task holds one set of tables.
+    """
+    doc_type, classes = docs.schema["doc_id"].dataType.simpleString(), char_classes(path)
 
+    def run(batches):
         s = stream(path, classes)
         for b in batches:
-            sums, n = [], []
-            for ids in b.column("ids").to_pylist():
+            n, encoded, decoded = [], [], []
+            for t in b.column("text"):
+                ids = s.encode(t.as_py() or "")
                 d, a, h = s.decoder(), np.frombuffer(ids, "<u4"), sha256()
                 for i in range(0, len(a), SLICE):
                     h.update(d.feed(a[i : i + SLICE].tolist()).encode())
                 h.update(d.finish().encode())
-                sums.append(h.hexdigest())
                 n.append(len(a))
-            shas = [sha256(x).hexdigest() for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas), pa.array(sums)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                encoded.append(sha256(ids).hexdigest())
+                decoded.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return ids.mapInArrow(run, f"doc_id {doc_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
