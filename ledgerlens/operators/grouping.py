@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm import groups
 from .amounts import money
 
 #: (key, anchor id, boundary, members, total, first and last day) of an accepted group.
@@ -66,25 +66,8 @@ def concentration(links: DataFrame, person: str, entity: str, count: str, total:
     return kept.withColumn("severity", F.when((F.col("n") >= high_count) | (F.col("total") >= high_total), "high").otherwise("warning"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of undirected edges (a, b): smallest node reachable, by repeated minimum over neighbours.
-
-    Every round is checkpointed; it ends when no label changes.
-    """
-    _shared_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"), (F.col("low") < F.col("component")).alias("moved")).checkpoint()
-        labels = new.select("node", "component")
-        if new.where("moved").isEmpty():
-            break
-    return labels
-
-
-def _shared_checkpoints(spark) -> None:
-    """spark.checkpoint.dir holds on a cluster; a folder of our own only where nothing is set (local runs)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of undirected edges (a, b): smallest node reachable, over chains of any length."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    stars = groups.components(edges.select("a", "b")).withColumnRenamed("root", "component")
+    return ends.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
