@@ -123,7 +123,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with all their columns as they came."""
+    """The rows that are kept, without their failing lines; n_chars, where there is one, is that of the new text. Other columns stay as they came."""
     m = "__quality_measures"
-    held = docs.select("*", F.explode(F.array(measures(docs["text"]))).alias(m))
-    return held.where(_verdict(F.col(m))[1]).drop(m)
+    held = docs.select("*", F.explode(F.array(measures(docs["text"]))).alias(m)).where(_verdict(F.col(m))[1])
+    cleaned = held.withColumn("text", F.when(F.col(m)["l"]["lost_chars"] > 0, clean_text(F.col("text"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(m)["l"]["lost_chars"] > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cleaned.drop(m)
