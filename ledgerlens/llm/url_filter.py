@@ -3,7 +3,7 @@
 The urls that a rule decides are the labelled ones. The trees are fitted on the driver on at most FIT_ROWS
 distinct labelled urls (those with the smallest hashes, so the choice doesn't depend on order or
 partitioning) and compiled into one Column expression; every url is scored inside the JVM. The suffix
-statistics come from the same labelled urls, so their broadcast has at most 2 * FIT_ROWS rows.
+statistics come from all labelled urls and are joined by suffix.
 
 Cases: a null url, or one without ``://``, has an empty host and path; no rule fits it and the trees judge
 its characters. Repeated urls get equal rows. Without labelled urls of both classes the trees are constant
@@ -91,7 +91,7 @@ def with_lexical(urls: DataFrame) -> DataFrame:
 class UrlModel:
     base: float
     trees: tuple  # nested (feature, threshold, left, right) or a leaf value
-    suffixes: DataFrame  # suffix, rate; at most 2 * FIT_ROWS rows
+    suffixes: DataFrame  # suffix, rate, of all labelled urls
     prior: float
 
     def score(self) -> Column:
@@ -156,18 +156,18 @@ def with_suffix_rates(urls: DataFrame, suffixes: DataFrame, prior: float) -> Dat
     out = urls
     for k in ("1", "2"):
         rates = suffixes.select(F.col("suffix").alias(f"suffix{k}"), F.col("rate").alias(f"f_suffix{k}"))
-        out = out.join(F.broadcast(rates), f"suffix{k}", "left").fillna({f"f_suffix{k}": prior})
+        out = out.join(rates, f"suffix{k}", "left").fillna({f"f_suffix{k}": prior})
     return out
 
 
 def fit(urls: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
     """Fit on urls (url, host, path, verdict of the rule or null), from those with a verdict."""
     labelled = urls.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("y")).distinct()
-    sample = materialize(with_lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(fit_rows)), "url-sample")
-    prior = sample.agg(F.avg("y")).first()[0]
+    prior = labelled.agg(F.avg("y")).first()[0]
     prior = 0.0 if prior is None else float(prior)
-    pairs = sample.select(F.explode(F.array_distinct(F.array("suffix1", "suffix2"))).alias("suffix"), "y")
+    pairs = with_lexical(labelled).select(F.explode(F.array_distinct(F.array("suffix1", "suffix2"))).alias("suffix"), "y")
     suffixes = materialize(pairs.groupBy("suffix").agg(((F.sum("y") + SMOOTHING * prior) / (F.count("y") + SMOOTHING)).alias("rate")), "url-suffixes")
+    sample = materialize(with_lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(fit_rows)), "url-sample")
     rows = with_suffix_rates(sample, suffixes, prior).orderBy("url").select(*FEATURES, "y").collect()
     data = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(FEATURES) + 1)
     base, trees = boost(data[:, :-1], data[:, -1])
