@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm import groups
 from .amounts import money
+from .components import stars
+from .periods import episodes
 
 #: (key, anchor id, boundary, members, total, first and last day) of an accepted group.
 GROUP_SCHEMA = "group_key {key}, anchor_id long, boundary double, n long, total double, first_day long, last_day long, member_ids array<long>"
@@ -24,32 +25,35 @@ def rolling_groups(rows: DataFrame, key: str, row_id: str, day: str, amount: str
     within a key and independent between keys.
     """
 
-    def groups(pdf):
-        import pandas as pd
+    import numpy as np
+    import pandas as pd
 
-        pdf = pdf.sort_values([day, row_id]).reset_index(drop=True)
-        records = list(pdf.itertuples(index=False))
-        used: set = set()
-        out = []
+    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        records = list(pdf.sort_values([day, row_id]).itertuples(index=False))
+        at = np.array([getattr(r, day) for r in records], np.int64)
+        cents = np.array([round(getattr(r, amount) * 100) for r in records], np.int64)
+        used, out = np.zeros(len(records), bool), []
         for boundary, required in sorted(bands, reverse=True):
-            eligible = [r for r in records if getattr(r, amount) < boundary and (level is None or getattr(r, level) < required)]
-            for anchor in eligible:
-                if getattr(anchor, row_id) in used:
+            eligible = np.array([getattr(r, amount) < boundary and (level is None or getattr(r, level) < required) for r in records], bool)
+            for k in np.flatnonzero(eligible).tolist():
+                if used[k]:
                     continue
-                start = getattr(anchor, day)
-                members = [r for r in eligible if getattr(r, row_id) not in used and start <= getattr(r, day) <= start + days and (r is anchor or similar is None or similar(anchor, r))]
-                total = round(sum(round(getattr(r, amount) * 100) for r in members) / 100, 2)
-                at = [getattr(r, day) for r in members]
-                if len(members) < min_members or total < boundary or all(b - a >= renewal_gap for a, b in zip(at, at[1:], strict=False)):
+                lo, hi = np.searchsorted(at, [at[k], at[k] + days + 1])
+                window = lo + np.flatnonzero(eligible[lo:hi] & ~used[lo:hi])
+                if similar is not None:
+                    window = np.array([m for m in window.tolist() if m == k or similar(records[k], records[m])], np.int64)
+                total = round(int(cents[window].sum()) / 100, 2)
+                if len(window) < min_members or total < boundary or bool((np.diff(at[window]) >= renewal_gap).all()):
                     continue
-                ids = [int(getattr(r, row_id)) for r in members]
-                used.update(ids)
-                out.append((getattr(anchor, key), int(getattr(anchor, row_id)), float(boundary), len(ids), total, int(at[0]), int(at[-1]), ids))
+                used[window] = True
+                ids = [int(getattr(records[m], row_id)) for m in window.tolist()]
+                out.append((getattr(records[k], key), int(getattr(records[k], row_id)), float(boundary), len(ids), total, int(at[window[0]]), int(at[window[-1]]), ids))
         return pd.DataFrame(out, columns=["group_key", "anchor_id", "boundary", "n", "total", "first_day", "last_day", "member_ids"])
 
     cols = [key, row_id, day, amount] + ([level] if level else [])
     schema = GROUP_SCHEMA.format(key=rows.schema[key].dataType.simpleString())
-    return rows.groupBy(key).applyInPandas(groups, schema) if similar else rows.select(*dict.fromkeys(cols)).groupBy(key).applyInPandas(groups, schema)
+    dealt = episodes(rows if similar else rows.select(*dict.fromkeys(cols)), key, day, days)
+    return dealt.groupBy(key, "episode").applyInPandas(groups, schema)
 
 
 def overlapping(groups: DataFrame, ids: DataFrame, id_name: str) -> DataFrame:
@@ -69,5 +73,5 @@ def concentration(links: DataFrame, person: str, entity: str, count: str, total:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b): smallest node reachable, over chains of any length."""
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    stars = groups.components(edges.select("a", "b")).withColumnRenamed("root", "component")
-    return ends.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    linked = stars(edges.select("a", "b")).withColumnRenamed("root", "component")
+    return ends.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

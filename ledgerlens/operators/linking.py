@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .periods import episodes
+
+_DAY = 86_400_000_000
 
 
 def closest_link(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, left_value: str, right_value: str, tolerance: float = 0.02) -> DataFrame:
@@ -23,32 +26,39 @@ def closest_link(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
 def greedy_one_to_one(left: DataFrame, right: DataFrame, key: str, left_schema: tuple[str, str, str], right_schema: tuple[str, str, str], value_tolerance: float, day_tolerance: int) -> DataFrame:
     """(left_id, right_id): left rows in id order each take the best unused right row of their key.
 
-    Candidates lie within both tolerances and are ordered by days, value, id. Greedy choices never cross
-    keys, so a cogroup by key is exact. Schemas are (id, value, date) column names.
+    Candidates lie within both tolerances and are ordered by days, value, id; left rows without a value, an id
+    or a date take none. Greedy choices never cross keys, nor gaps longer than day_tolerance in a key's dates,
+    so a key is dealt into episodes between such gaps, and each row looks at its window of dates only.
+    Schemas are (id, value, date) column names.
     """
-    lid, lv, ld = left_schema
-    rid, rv, rd = right_schema
-
-    def match(a, b):
-        import pandas as pd
-
-        used, out = set(), []
-        b = b.sort_values(rid)
-        for row in a.sort_values(lid).itertuples(index=False):
-            value = getattr(row, lv)
-            if not value or value != value:
-                continue
-            days = (getattr(row, ld) - b[rd]).abs().dt.days
-            off = (b[rv] - value).abs()
-            ok = b[(off <= value_tolerance * value) & (days <= day_tolerance) & ~b[rid].isin(used)]
-            if len(ok):
-                best = ok.assign(__d=days, __v=off).sort_values(["__d", "__v", rid]).iloc[0][rid]
-                used.add(best)
-                out.append((getattr(row, lid), best))
+    import numpy as np
+    import pandas as pd
+
+    def side(rows: DataFrame, names: tuple[str, str, str], is_left: bool) -> DataFrame:
+        i, v, d = names
+        at = F.unix_micros(F.col(d).cast("timestamp"))
+        out = rows.select(F.col(key).alias("k"), F.lit(is_left).alias("is_left"), F.col(i).cast("long").alias("id"), F.col(v).cast("double").alias("value"), at.alias("at"))
+        return out.where("id IS NOT NULL AND value IS NOT NULL AND at IS NOT NULL")
+
+    reach = (day_tolerance + 1) * _DAY
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (x.sort_values("id") for x in (pdf[pdf["is_left"]], pdf[~pdf["is_left"]]))
+        b = b.iloc[np.argsort(b["at"].to_numpy(), kind="stable")]
+        ids, values, at = (b[c].to_numpy() for c in ("id", "value", "at"))
+        free, out = np.ones(len(b), bool), []
+        for i, value, when in zip(a["id"].tolist(), a["value"].tolist(), a["at"].tolist(), strict=True):
+            lo, hi = np.searchsorted(at, [when - reach, when + reach + 1])
+            days, off = np.abs(at[lo:hi] - when) // _DAY, np.abs(values[lo:hi] - value)
+            ok = np.flatnonzero(free[lo:hi] & (off <= value_tolerance * value) & (days <= day_tolerance))
+            if value and len(ok):
+                best = ok[np.lexsort((ids[lo:hi][ok], off[ok], days[ok]))[0]] + lo
+                free[best] = False
+                out.append((i, ids[best]))
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    a, b = left.select(key, lid, lv, ld), right.select(key, rid, rv, rd)
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(match, "left_id long, right_id long")
+    both = side(left, left_schema, True).unionByName(side(right, right_schema, False))
+    return episodes(both, "k", "at", reach).groupBy("k", "episode").applyInPandas(match, "left_id long, right_id long")
 
 
 def best_match(objects: DataFrame, candidates: DataFrame, *, min_jaccard: float = 0.35, low: float = 0.5, high: float = 2.0) -> DataFrame:

@@ -69,3 +69,10 @@ def rollup_sums(rows: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:
     for k in keys:
         level = level + (1 - F.grouping(k))
     return rows.rollup(*keys).agg(F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"), level.cast("long").alias("level"))
+
+
+def episodes(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
+    """rows with column episode: it goes up wherever a key's sorted values of at lie more than gap apart."""
+    w = Window.partitionBy(key).orderBy(at)
+    new = (F.col(at) - F.lag(at).over(w) > gap).cast("long")
+    return rows.withColumn("__new", F.coalesce(new, F.lit(0))).withColumn("episode", F.sum("__new").over(w)).drop("__new")

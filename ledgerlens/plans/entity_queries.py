@@ -33,6 +33,18 @@ def greedy_one_to_one(t: Tables):
     return L.greedy_one_to_one(o.where("id % 2 = 1"), o.where("id % 2 = 0"), "o_custkey", ("id", "v", "d"), ("id", "v", "d"), 0.3, 90)
 
 
+GREEDY = """
+WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS id, o_totalprice AS v, o_orderdate AS d FROM orders),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM o WHERE id % 2 = 1),
+r AS (SELECT * FROM o WHERE id % 2 = 0),
+m AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS left_id, CAST(NULL AS BIGINT) AS right_id FROM (SELECT DISTINCT k FROM l)
+UNION ALL
+SELECT k, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, id, pick FROM (
+  SELECT l.k, l.n, m.used, l.id, (SELECT arg_min(r.id, (abs(date_diff('day', r.d, l.d)), abs(r.v - l.v), r.id)) FROM r WHERE r.k = l.k AND abs(r.v - l.v) <= 0.3 * l.v AND abs(date_diff('day', r.d, l.d)) <= 90 AND NOT list_contains(m.used, r.id)) AS pick
+  FROM m JOIN l ON l.k = m.k AND l.n = m.n + 1))
+SELECT left_id, right_id FROM m WHERE right_id IS NOT NULL"""
+
+
 def identity_explode(t: Tables):
     """Orders with their suppliers' keys joined into one text, split again into canonical identifiers."""
     joined = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), "; ").alias("ids"))
@@ -194,7 +206,7 @@ ORPHANS = "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT (l_orderkey
 
 QUERIES = {
     "closest_link": (query(closest_link), CLOSEST_LINK),
-    "greedy_one_to_one": (query(greedy_one_to_one), None),
+    "greedy_one_to_one": (query(greedy_one_to_one), GREEDY),
     "identity_explode": (query(identity_explode), IDENTITY),
     "person_concentration": (query(person_concentration), CONCENTRATION),
     "related_party": (query(related_party), RELATED),

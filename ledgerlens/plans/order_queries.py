@@ -146,6 +146,19 @@ def splitting_greedy(t: Tables):
     return groups.select(F.col("group_key").alias("o_custkey"), "anchor_id", "n", "total", F.array_join(F.transform("member_ids", lambda x: x.cast("string")), ",").alias("members"))
 
 
+SPLITTING = f"""
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, id) AS n FROM (
+  SELECT o_custkey AS k, o_orderkey AS id, o_totalprice AS v, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_totalprice < {BOUNDARY})),
+m AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS anchor_id, CAST(NULL AS BIGINT[]) AS ids, CAST(NULL AS DOUBLE) AS total FROM (SELECT DISTINCT k FROM l)
+UNION ALL
+SELECT k, n, CASE WHEN ok THEN list_concat(used, g.ids) ELSE used END, id, CASE WHEN ok THEN g.ids END, g.total FROM (
+  SELECT *, NOT list_contains(used, id) AND len(g.ids) >= 2 AND g.total >= {BOUNDARY} AND len(list_filter(range(1, len(g.ds)), lambda x: g.ds[x + 1] - g.ds[x] < 300)) > 0 AS ok FROM (
+    SELECT l.k, l.n, m.used, l.id, (SELECT {{'ids': list(r.id ORDER BY r.d, r.id), 'ds': list(r.d ORDER BY r.d, r.id), 'total': CAST(sum(CAST(r.v AS DECIMAL(18,2))) AS DOUBLE)}}
+      FROM l r WHERE r.k = l.k AND r.d BETWEEN l.d AND l.d + 365 AND NOT list_contains(m.used, r.id)) AS g
+    FROM m JOIN l ON l.k = m.k AND l.n = m.n + 1)))
+SELECT k AS o_custkey, anchor_id, len(ids) AS n, total, array_to_string(ids, ',') AS members FROM m WHERE ids IS NOT NULL"""
+
+
 def renewal_gaps(t: Tables):
     return D.renewal_gaps(t.orders, "o_custkey", "o_orderdate")
 
@@ -166,6 +179,6 @@ QUERIES = {
     "at_ceiling": (query(at_ceiling), AT_CEILING),
     "near_threshold": (query(near_threshold), NEAR_THRESHOLD),
     "anchor_windows": (query(anchor_windows), ANCHOR_WINDOWS),
-    "splitting_greedy": (query(splitting_greedy), None),
+    "splitting_greedy": (query(splitting_greedy), SPLITTING),
     "renewal_gaps": (query(renewal_gaps), RENEWAL_GAPS),
 }

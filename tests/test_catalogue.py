@@ -73,6 +73,24 @@ def test_greedy_one_to_one(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 10), (2, 11)]
 
 
+@pytest.mark.parametrize("rows", [0, 300])
+def test_greedy_one_to_one_on_one_frame(spark, rows, tmp_path):
+    """Both sides cut from one frame, whatever columns the consumer needs; held against a plain model."""
+    rng = random.Random(2)
+    data = [(k % 4, k, float(rng.randint(80, 120)), dt.datetime(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 400))) for k in range(rows)]
+    df = spark.createDataFrame(data, "k int, id long, v double, d timestamp")
+    out = linking.greedy_one_to_one(df.where("id % 2 = 1"), df.where("id % 2 = 0"), "k", ("id", "v", "d"), ("id", "v", "d"), 0.1, 20)
+    want, used = [], set()
+    for k, i, v, d in data:
+        near = [(abs(x[3] - d).days, abs(x[2] - v), x[1]) for x in data if x[1] % 2 == 0 and x[0] == k and x[1] not in used and abs(x[2] - v) <= 0.1 * v and abs(x[3] - d).days <= 20]
+        if i % 2 and near:
+            want.append((i, min(near)[2]))
+            used.add(min(near)[2])
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert out.count() == len(want) and sorted(r.left_id for r in out.select("left_id").collect()) == sorted(i for i, _ in want)
+    out.write.parquet(f"file://{tmp_path}/out")
+
+
 def test_dates(spark):
     at = lambda *a: F.lit(dt.datetime(*a))
     r = spark.range(1).select(

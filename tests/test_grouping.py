@@ -7,3 +7,9 @@ def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(130)] + [(1000, 1001), (2000, 2000)]
     out = dict(map(tuple, grouping.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert out == {k: 0 for k in range(131)} | {1000: 1000, 1001: 1000, 2000: 2000}
+
+
+def test_components_of_ten_thousand_nodes(spark):
+    edges = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    out = grouping.components(edges)
+    assert out.count() == 10_001 and out.select("component").distinct().count() == 1
