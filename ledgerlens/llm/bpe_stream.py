@@ -1,16 +1,28 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and an incremental decoder.
 
-``lookahead`` derives from the merge list alone how many bytes to the right of a token's end can still
-change that token. Whether merge q = (u, v) happens depends on v being formed and on v not being taken
-first by an earlier merge (v, w), whose own fate depends on w, and so on with ever earlier merges; one pass
-over the merges in rank order gives the longest such chain. A window of a few times that length is
-therefore enough: every token that ends at least ``lookahead`` bytes before the window's end is final, is
-emitted, and leaves the window; no merge crosses an emitted boundary, so what remains can be merged on its
-own. Memory is one window, whatever the length of a run.
-
-Text is cut into pretokens first. A blank that is followed by a non-blank always starts one, so texts are
-handled in chunks between such blanks, whose ids are remembered in a bounded table. Character classes are
-checked against the tokenizer's own pre-tokenizer, so they agree on every code point.
+The transducer reads one byte at a time. Its state is the bytes of the current pretoken that no token covers
+yet; a step appends a byte and emits the tokens that have become stable, so every id of every text leaves
+through ``Transducer.step``. A token is stable once no continuation can change it, for either of two reasons:
+
+- What is read so far ends in a boundary or inside one later token, which starts at a position j such that the
+  bytes from j on begin some vocabulary entry. Before j the tokens are those of the bytes before j alone (no
+  merge crosses a boundary). Tokens on which all such positions agree are stable.
+- ``lookahead`` derives from the merge list alone how many bytes to the right of a token's end can still change
+  that token. Whether merge q = (u, v) happens depends on v being formed and on v not being taken first by an
+  earlier merge (v, w), whose own fate depends on w, and so on with ever earlier merges; one pass over the
+  merges in rank order gives the longest such chain. A token that ends that far back is stable.
+
+The second reason bounds the state to the lookahead and one token, whatever the length of a run. Steps are
+compiled when first taken into a transition table of at most STATES states, emptied when full; it holds no
+texts, words or pretokens, and results don't depend on its size.
+
+Text is cut into pretokens as it streams in: character classes are checked against the tokenizer's own
+pre-tokenizer, so they agree on every code point, and a run that is still open is fed on without waiting for
+its end.
+
+Cases: null and empty texts have no ids and decode to the empty text. Repeated rows, null doc_ids and equal
+texts give a row each. An empty table gives an empty result. Extra columns, whatever their names, are ignored.
+Strings of special tokens in a text get the special tokens' ids, as in the library.
 """
 
 from __future__ import annotations
@@ -29,9 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE = 1 << 16  # characters fed at a time
-CHUNKS, FIRSTS, PRETOKENS = 300_000, 30_000, 150_000  # remembered at most
-SHORT = 64  # characters of the longest remembered chunk
-
+STATES = 200_000  # compiled states at most
+END = 0xFF  # ends a pretoken; no byte of UTF-8
 
 def byte_chars() -> dict[int, str]:
     """Byte -> printable character of byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
@@ -55,43 +66,70 @@ def lookahead(merges: list[tuple[int, int, int]], length: dict[int, int]) -> int
     return max([0, *taken.values(), *formed.values()])
 
 
-class BytePairStream:
-    """feed() text piece by piece, then finish(); both return ids as little-endian 32-bit integers."""
+class State(dict):
+    """Transitions compiled so far: byte -> (emitted ids, next state).
 
-    def __init__(self, path: str, classes: tuple[str, str] | None = None):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        to_byte = {c: b for b, c in byte_chars().items()}
-        self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        raw = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items() if s not in self.specials}
-        self.table = [raw.get(i, b"") for i in range(1 + max([*vocab.values(), *self.specials.values()]))]
-        for s, i in self.specials.items():
-            self.table[i] = s.encode()
-        self.of_byte = [vocab[c] for _, c in sorted(byte_chars().items())]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): (k, c) for k, (a, b, c) in reversed(list(enumerate(merges)))}
-        self.lookahead = lookahead(merges, {i: len(b) for i, b in raw.items()})
-        self.window = 4 * max(self.lookahead, 256)
-        self._patterns(*(classes or char_classes(path)))
-        self.with_blank, self.first, self.pretokens = _Remember(self._blank_chunk, CHUNKS), _Remember(self._chunk, FIRSTS), _Remember(self._pretoken, PRETOKENS)
-        self.hold = max([3, *(len(s) - 1 for s in self.specials)])
-        self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self._reset()
+    live: (j, boundaries before j as bits) of the positions j of the pending bytes at which a token may start
+    that reaches beyond them; the last is their end. All follows from the pending bytes alone.
+    """
 
-    def _patterns(self, letters: str, numbers: str) -> None:
-        blank = "\t-\r \x85\xa0  -     　"
-        self.runs = {"L": re.compile(f"[{letters}]*"), "N": re.compile(f"[{numbers}]*"), "O": re.compile(f"[^{blank}{letters}{numbers}]*"), "W": re.compile(f"(?:[{blank}]+(?![^{blank}]))?")}
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?(?P<L>[{letters}]+)| ?(?P<N>[{numbers}]+)| ?(?P<O>[^{blank}{letters}{numbers}]+)|(?P<W>[{blank}]+(?![^{blank}])|[{blank}]+)")
+    __slots__ = ("live", "machine", "pending")
 
-    def _reset(self) -> None:
-        self.text, self.run, self.bytes = "", None, bytearray()
+    def __init__(self, machine: Transducer, pending: bytes, live: tuple[tuple[int, int], ...]):
+        super().__init__()
+        self.machine, self.pending, self.live = machine, pending, live
+
+    def __missing__(self, byte: int) -> tuple[bytes, State]:
+        out = self.machine.step(self, byte)
+        self[byte] = out
+        return out
 
-    # merging
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        ranks = self.ranks
+class Transducer:
+    """Bytes of pretokens in, each closed by END; stable token ids out."""
+
+    def __init__(self, merges: list[tuple[int, int, int]], raw: dict[int, bytes], of_byte: list[int], states: int = STATES):
+        formed = set(of_byte)
+        for a, b, c in merges:
+            if a not in formed or b not in formed:
+                raise ValueError("the merge list uses a token before it is formed")
+            formed.add(c)
+        self.raw, self.of_byte, self.states = raw, of_byte, states
+        self.ranks = {(a, b): (k, c) for k, (a, b, c) in reversed(list(enumerate(merges)))}
+        self.lookahead = lookahead(merges, {i: len(x) for i, x in raw.items()})
+        self.begins = {x[:k] for x in raw.values() for k in range(1, len(x))}
+        self.root = State(self, b"", ((0, 0),))
+        self.known = {b"": self.root}
+
+    def step(self, state: State, byte: int) -> tuple[bytes, State]:
+        """What leaves when byte follows the pending bytes of state, and the state after it."""
+        if byte == END:
+            return _pack(self.merge(state.pending)), self.root
+        p = state.pending + bytes((byte,))
+        ids = self.merge(p)
+        ends, bounds = [], 0
+        for t in ids:
+            ends.append((ends[-1] if ends else 0) + len(self.raw[t]))
+            bounds |= 1 << ends[-1]
+        live = [(j, before) for j, before in state.live if p[j:] in self.begins]
+        agreed = bounds
+        for j, before in live:
+            agreed &= before | 1 << j
+        far = len(p) - self.lookahead
+        n = sum(e <= far or bool(agreed >> e) for e in ends)  # tokens that are stable
+        cut = ends[n - 1] if n else 0
+        if (known := self.known.get(p[cut:])) is None:
+            if len(self.known) >= self.states:
+                for old in self.known.values():
+                    old.clear()
+                self.known = {b"": self.root}
+            live = [(j - cut, before >> cut & ~1) for j, before in [*live, (len(p), bounds)] if j >= cut]
+            known = self.known[p[cut:]] = State(self, p[cut:], tuple(live))
+        return _pack(ids[:n]), known
+
+    def merge(self, data: bytes) -> list[int]:
+        """Tokens of data alone, by the merge list: always the earliest merge, leftmost first."""
+        ranks, ids = self.ranks, [self.of_byte[b] for b in data]
         if len(ids) > 48:
             return self._merge_long(ids)
         while len(ids) > 1:
@@ -106,6 +144,7 @@ class BytePairStream:
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap."""
         ranks, n = self.ranks, len(ids)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
@@ -124,44 +163,55 @@ class BytePairStream:
                 heapq.heappush(heap, (r[0], prev[i], ids[prev[i]], ids[i]))
         return [x for x in ids if x >= 0]
 
-    def _push(self, data: bytes) -> bytes:
-        """Bytes of an unfinished pretoken; the ids that are stable now."""
-        out = []
-        for k in range(0, len(data), self.window):
-            self.bytes += data[k : k + self.window]
-            if len(self.bytes) >= self.window:
-                end, safe = 0, len(self.bytes) - self.lookahead
-                for t in self._merge([self.of_byte[b] for b in self.bytes]):
-                    if end + len(self.table[t]) > safe:
-                        break
-                    end += len(self.table[t])
-                    out.append(t)
-                del self.bytes[:end]
-        return _pack(out)
-
-    def _flush(self) -> bytes:
-        ids = self._merge([self.of_byte[b] for b in self.bytes])
-        self.bytes = bytearray()
-        return _pack(ids)
-
-    # cutting
-
-    def _pretoken(self, s: str) -> bytes:
-        data = s.encode()
-        return self._push(data) + self._flush() if len(data) > self.window else _pack(self._merge([self.of_byte[b] for b in data]))
-
-    def _chunk(self, s: str) -> bytes:
-        return b"".join(self.pretokens[m[0]] for m in self.pattern.finditer(s))
-
-    def _blank_chunk(self, s: str) -> bytes:
-        return self._chunk(" " + s)
+
+class BytePairStream:
+    """feed() text piece by piece, then finish(); both return ids as little-endian 32-bit integers."""
+
+    def __init__(self, path: str, classes: tuple[tuple[str, str], tuple[str, str]] | None = None):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        to_byte = {c: b for b, c in byte_chars().items()}
+        self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        raw = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items() if s not in self.specials}
+        self.table = [raw.get(i, b"") for i in range(1 + max([*vocab.values(), *self.specials.values()]))]
+        for s, i in self.specials.items():
+            self.table[i] = s.encode()
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.machine = Transducer(merges, raw, [vocab[c] for _, c in sorted(byte_chars().items())])
+        self._patterns(*(classes or char_classes(path)))
+        self.hold = max([3, *(len(s) - 1 for s in self.specials)])
+        self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
+        self._reset()
+
+    def _patterns(self, letters: tuple[str, str], numbers: tuple[str, str]) -> None:
+        """Each class as (below, from) U+10000: the lower part is one bitmap, so most tests stay cheap."""
+        blank = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        high = "\U00010000-\U0010ffff"
+        one = {k: f"[{low}]+|(?=[{high}])[{more}]" for k, (low, more) in (("L", letters), ("N", numbers))}
+        one["O"] = f"[^{blank}{letters[0]}{numbers[0]}{high}]+|(?=[{high}])[^{letters[1]}{numbers[1]}]"
+        self.runs = {k: re.compile(f"(?:{c})*") for k, c in one.items()} | {"W": re.compile(f"(?:[{blank}]+(?![^{blank}]))?")}
+        named = "|".join(f" ?(?P<{k}>(?:{c})+)" for k, c in one.items())
+        self.named = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{named}|(?P<W>[{blank}]+(?![^{blank}])|[{blank}]+)")
+        self.pieces = re.compile(re.sub(r"\(\?P<[A-Z]>", "(?:", self.named.pattern))
+
+    def _reset(self) -> None:
+        self.text, self.run, self.state = "", None, self.machine.root
+
+    def _read(self, data: bytes) -> bytes:
+        """Drive the transducer over data."""
+        out, state = [], self.state
+        for b in data:
+            ids, state = state[b]
+            if ids:
+                out.append(ids)
+        self.state = state
+        return b"".join(out)
 
     def _closed(self, text: str) -> bytes:
-        """Ids of text that ends where a pretoken ends."""
-        if not text or _LOOSE_BLANK.search(text):
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        return (self.first[first] if first else b"") + b"".join(map(self.with_blank.__getitem__, rest))
+        """Ids of text that starts and ends where pretokens do."""
+        return self._read(b"".join([p.encode() + b"\xff" for p in self.pieces.findall(text)]))
 
     def _open(self, final: bool) -> bytes:
         """Consume what is decided of self.text."""
@@ -170,31 +220,31 @@ class BytePairStream:
         if self.run and last >= 0:
             end = self.runs[self.run].match(self.text).end()
             cut = min(end, last)
-            out.append(self._push(self.text[:cut].encode()))
+            out.append(self._read(self.text[:cut].encode()))
             if not (final or end <= last):
                 self.text = self.text[cut:]
                 return b"".join(out)
-            out.append(self._flush())
+            out.append(self._read(b"\xff"))
             self.text, self.run, last = self.text[end:], None, last - end
         if final:
             out.append(self._closed(self.text))
             self.text = ""
             return b"".join(out)
-        at = last
+        at = last  # a blank before a non-blank always starts a pretoken
         while at > 0 and (at := self.text.rfind(" ", 0, at)) > 0 and self.text[at + 1].isspace():
             pass
         if at > 0:
             out.append(self._closed(self.text[:at]))
             self.text = self.text[at:]
-        elif len(self.text) > SLICE:  # no blank to cut at: pretoken by pretoken, the last one as an open run
+        elif len(self.text) > SLICE:  # none: pretoken by pretoken, the last one as an open run
             at = 0
-            for m in self.pattern.finditer(self.text):
+            for m in self.named.finditer(self.text):
                 if m.end() > last:
-                    if m.lastgroup and last - m.start() > self.window:
-                        out.append(self._push(self.text[at:last].encode()))
+                    if m.lastgroup and m.start() < last:
+                        out.append(self._read(self.text[at:last].encode()))
                         self.run, at = m.lastgroup, last
                     break
-                out.append(self.pretokens[m[0]])
+                out.append(self._read(m[0].encode() + b"\xff"))
                 at = m.end()
             self.text = self.text[at:]
         return b"".join(out)
@@ -205,7 +255,7 @@ class BytePairStream:
         while self.special and "<" in self.text and (m := self.special.search(self.text)):
             rest, self.text = self.text[m.end() :], self.text[: m.start()]
             out += [self._open(True), _pack([self.specials[m[0]]])]
-            self.text = rest
+            self.run, self.text = None, rest
         return b"".join([*out, self._open(False)])
 
     def finish(self) -> bytes:
@@ -235,32 +285,13 @@ class ByteToText:
         return out
 
 
-class _Remember(dict):
-    """A bounded table of make(key); emptied when full."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
-        if len(key) <= SHORT:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = out
-        return out
-
-
-_LOOSE_BLANK = re.compile(r" (?!\S)")
-
-
 def _pack(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
 @cache
-def char_classes(path: str) -> tuple[str, str]:
-    """Letters and numbers as the tokenizer's pre-tokenizer sees them, as regular expression classes."""
+def char_classes(path: str) -> tuple[tuple[str, str], tuple[str, str]]:
+    """Letters and numbers as the tokenizer's pre-tokenizer sees them, as regular expression classes below and from U+10000."""
     import regex
     from tokenizers import Tokenizer
 
@@ -269,7 +300,8 @@ def char_classes(path: str) -> tuple[str, str]:
     for kind, base, ascii_ in (("L", "a", string.ascii_letters), ("N", "1", string.digits)):
         newer = regex.compile(rf"\p{{{kind}}}")
         some = (c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] == kind or unicodedata.category(c) == "Cn" and newer.match(c))
-        out.append(_as_class([*ascii_, *_joined(pre, base, "".join(some))]))
+        chars = [*ascii_, *_joined(pre, base, "".join(some))]
+        out.append((_as_class([c for c in chars if c < "\U00010000"]), _as_class([c for c in chars if c >= "\U00010000"])))
     return out[0], out[1]
 
 
@@ -295,7 +327,7 @@ def _as_class(chars: list[str]) -> str:
 _STREAMS: dict[str, BytePairStream] = {}
 
 
-def stream(path: str, classes: tuple[str, str] | None = None) -> BytePairStream:
+def stream(path: str, classes: tuple[tuple[str, str], tuple[str, str]] | None = None) -> BytePairStream:
     """One per worker process."""
     if path not in _STREAMS:
         _STREAMS[path] = BytePairStream(path, classes)

@@ -1,58 +1,41 @@
-"""Shared helpers: reading tables, the shared work folder, written intermediate tables."""
+"""Shared helpers: reading tables, word characters, removal of lost rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import discard, materialize, new_path, shuffle_partitions
+
+__all__ = ["SPACE", "WORD", "discard", "materialize", "new_path", "read_table", "shuffle_partitions", "spread", "without"]
 
 #: Word characters of all text operators: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Lost ids up to this count (8 MB of them) are broadcast; more are matched by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs, tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ledgerlens"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too small for Spark to cut them into as many splits; else as it is.
 
-    The shuffle files behind it are dropped once the table is written.
+    The bound is what opening a file counts for (spark.sql.files.openCostInBytes, 4 MB) for every core.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (4 << 20) else df
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def small(ids: DataFrame) -> DataFrame:
+    """ids, a written table, marked for broadcast where it is proven to have at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def without(rows: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't in lost (a written table): texts stay where they are unless very many rows are lost."""
+    return rows.join(small(lost), key, "left_anti")

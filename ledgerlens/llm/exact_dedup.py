@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 
 #: Share of all rows above which a digest is settled map-side; bounds the broadcast to 1/SUPPORT rows.
 SUPPORT = 0.001
@@ -70,4 +70,4 @@ def drop_exact(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     tagged = docs.withColumn(key, F.monotonically_increasing_id())
     rows = materialize(tagged.select("doc_id", F.col(key).alias("row_id"), digest().alias("sha")), "digests")
     lost = resolve(rows, support).where(F.col("row_id") != F.col("win.row_id")).select(F.col("row_id").alias(key))
-    return tagged.join(lost, key, "left_anti").drop(key)
+    return without(tagged, materialize(lost, "exact-lost"), key).drop(key)

@@ -1,4 +1,4 @@
-"""Groups dealt to tasks: splitting of hot keys, streaming over sorted partitions, connected components."""
+"""Groups dealt to tasks: splitting of hot keys, streaming over sorted partitions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import shuffle_partitions
 
 
 def split_hot(rows: DataFrame, chunk: int, salt: str) -> DataFrame:
@@ -60,27 +60,3 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
             x = table.column(k).to_numpy()
             new[1:] |= x[1:] != x[:-1]
     return np.append(np.flatnonzero(new), table.num_rows)
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) of every node of edges (a, b); root is the component's smallest node.
-
-    Alternating large-star and small-star steps, each written to the shared folder; no step gathers a
-    node's neighbours, only their minimum.
-    """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, label)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), label)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_stream, exact_dedup, language_model, packing, quality_classifier, quality_rules, simhash, token_files, url_filter, warc
-from .common import read_table
+from .common import read_table, spread
 from .oracles import ORACLES
 
 
@@ -20,35 +20,35 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.judge(read_table(spark, sf_dir, "documents"))
+    return quality_classifier.judge(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_stream.round_trip(read_table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+    return bpe_stream.round_trip(spread(read_table(spark, sf_dir, "documents")), vocabulary(BYTE_BPE))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=1)
+    return token_files.write_and_read(spread(read_table(spark, sf_dir, "documents")), vocabulary(WORD_BPE), end_id=1)
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_held_out(read_table(spark, sf_dir, "documents"))
+    return language_model.score_held_out(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.link_documents(read_table(spark, sf_dir, "documents"), words=4, radius=4)
+    return simhash.link_documents(spread(read_table(spark, sf_dir, "documents")), words=4, radius=4)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.summary(read_table(spark, sf_dir, "pages"))
+    return warc.summary(spread(read_table(spark, sf_dir, "pages")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=0)
+    return packing.pack(spread(read_table(spark, sf_dir, "documents")), vocabulary(WORD_BPE), end_id=0)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import materialize
-from .groups import by_group, components, split_hot
+from ..operators.components import stars as components
+from .common import materialize, without
+from .groups import by_group, split_hot
 
 SEED = 42
 CHUNK = 2048  # rows of a key that are compared in one task
@@ -251,4 +252,4 @@ def drop_near(docs: DataFrame) -> DataFrame:
     members = groups.join(tagged.select(F.col(key).alias("node"), "doc_id"), "node")
     stays = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("stay"))
     lost = members.join(stays, "root").where(F.col("node") != F.col("stay.node")).select(F.col("node").alias(key))
-    return tagged.join(lost, key, "left_anti").drop(key)
+    return without(tagged, materialize(lost, "near-lost"), key).drop(key)

@@ -83,14 +83,45 @@ def test_bpe_stream(spark):
 
 def test_bpe_lookahead_and_runs():
     s = bpe_stream.BytePairStream(vocabulary(BYTE_BPE))
-    assert 0 < s.lookahead < s.window
+    assert 0 < s.machine.lookahead < 1000
     tk = Tokenizer.from_file(vocabulary(BYTE_BPE))
-    for t in ("a" * 30000, "the" * 9000, " " * 9000 + "x", "\n " * 4000, "é" * 9000, "!" * 9000 + "'s", "1" * 70000, "x" * 65530 + "<|endoftext|>y"):
+    for t in ("a" * 30000, "the" * 9000, " " * 9000 + "x", "\n " * 4000, "é" * 9000, "!" * 9000 + "'s", "1" * 70000, "x" * 65530 + "<|endoftext|>y", "\U0001f600" * 9000):
         assert s.encode(t) == packed(tk.encode(t, add_special_tokens=False).ids)
     d = s.decoder()  # broken sequences become U+FFFD, as soon as they are known to be broken
     table = [b"\xe2", b"\x82", b"\xac", b"a"]
     d.table = table
-    assert d.feed([0]) == "" and d.feed([1]) == "" and d.feed([2, 3, 0]) == "€a" and d.feed([3]) == "�a" and d.finish() == ""
+    assert d.feed([0]) == "" and d.feed([1]) == "" and d.feed([2, 3, 0]) == "€a" and d.feed([3]) == "\ufffda" and d.finish() == ""
+
+
+def test_bpe_ids_leave_through_the_transducer(monkeypatch):
+    """All ids come out of step, before their pretoken ends once stable, whatever the text's cuts and the table's size."""
+    tk = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    s = bpe_stream.BytePairStream(vocabulary(BYTE_BPE))
+    tiny = bpe_stream.BytePairStream(vocabulary(BYTE_BPE))
+    tiny.machine.states = 3
+    left, pending, step = [], [], s.machine.step
+
+    def watched(state, byte):
+        ids, after = step(state, byte)
+        left.append((len(ids) // 4, byte))
+        pending.append(len(after.pending))
+        return ids, after
+
+    s.machine.step = watched
+    monkeypatch.setattr(bpe_stream.State, "__missing__", lambda state, byte: state.machine.step(state, byte))  # nothing is remembered, so that every byte is a step
+    rng = np.random.default_rng(6)
+    parts = ["a", "the", " ", "  ", "\n", "'s", "'ll", "é", "ß", "漢字", "1", "23", "!", "<|endoftext|>", "<|", "x" * 300, "\u3000", "\U0001f600", "ing", "tion", "\xa0", "аба"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts, rng.integers(0, 40)))
+        want = packed(tk.encode(t, add_special_tokens=False).ids)
+        left.clear()
+        cuts = [0, *sorted(rng.integers(0, len(t) + 1, 4).tolist()), len(t)]
+        assert b"".join(s.feed(t[i:j]) for i, j in zip(cuts, cuts[1:])) + s.finish() == want == tiny.encode(t)
+        assert sum(n for n, _ in left) == len(want) // 4 - t.count("<|endoftext|>")
+    assert max(pending) <= s.machine.lookahead + max(map(len, s.table))
+    left.clear()
+    s.encode("unbelievableabcdefgh" * 20)
+    assert sum(n for n, b in left if b != bpe_stream.END) > 10 * sum(n for n, b in left if b == bpe_stream.END)
 
 
 def test_token_files(spark):
