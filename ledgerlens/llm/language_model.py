@@ -1,46 +1,58 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from memory-mapped hash arrays.
-
-Counting. Every task hashes its words on the text's bytes (64 bits), counts distinct (previous word, word)
-pairs with one sort, and sends them to shards by the pair's hash, so no word, however frequent, gathers its
-pairs in one task. A shard sums its pairs, writes the sorted pair hashes and their counts as two flat
-arrays into the shared model folder, and passes on one row of partial numbers per word (as context: tokens,
-and types seen once, twice, more often; as word: tokens and types), which a second exchange adds up into
-sorted arrays of the same kind. Only counts of counts reach the driver.
-
-Scoring. A worker maps the arrays into memory, looks up a few million tokens at a time in sorted order (so
-that pages are read forward), and sums log10 probabilities per document. The folder has to be a file system
-that all workers mount, since it is mapped: spark.checkpoint.dir with scheme file, or ``folder``.
-
-The order is two: on these tables three words are distinct for 70 % of all positions, and their counts
-alone would exceed the disk allowed.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, scored from memory-mapped hash arrays.
+
+Vocabulary. Words are hashed on the text's bytes (64 bits) and counted; a word's id is its place in the order
+of falling powers of two of its count, so frequent words have small ids. One number per shard and power of two
+reaches the driver, and no word does.
+
+Counting, from the highest order down. A task counts its n-grams of ids and sends them, sorted and compressed,
+to shards. An n-gram's shard follows from its context, or from all its words where every word of the context
+is among the frequent ones (more than 1 / FREQUENT of all tokens each, so at most FREQUENT words): a context is
+whole in its shard unless it is too frequent to be. A shard adds up its n-grams, writes their hashes, sorted,
+and their counts into its file of the model, and sends on what the next lower order needs: for every context
+the tokens and the types seen once, twice and more often, for every n-gram without its first word the number
+of words before it. There are at most SHARDS shards; on larger inputs a shard is worked off and stored in
+ranges of the hash of about SHARD_INPUT bytes of input each, which arrive sorted, so no task grows with the
+input. N-grams that begin a text are counted as often as they occur at the lower orders too, since nothing
+precedes them.
+
+Scoring. A worker maps the shards' files into memory, one map per order and shard, looks up a few million
+tokens at a time in sorted order (so that pages are read forward), and sums log10 probabilities per document.
+The folder has to be a file system that all workers mount: spark.checkpoint.dir with scheme file, or
+``folder``. Two n-grams of one hash count as one; among 10^13 n-grams a lookup meets another's with
+probability 10^-6.
 
 Cases: null and empty texts have one token, their end. A null doc_id counts as the text ''. Repeated rows
 are counted and scored like any other. Without training tokens every probability is uniform over one unseen
-word. Extra columns are ignored.
+word. Extra columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, shuffle_partitions
+from .common import discard, materialize, new_path, shuffle_partitions
 
+ORDER = 3
 SLICE = 4 << 20  # bytes of text hashed at a time
-PAIRS = 4 << 20  # pairs counted at a time in a task
-LOOKUPS = 2 << 20  # tokens looked up at a time
-SHARD_INPUT = 32 << 20  # input bytes per shard, at most
+TOKENS = 3 << 20  # tokens counted at a time in a task
+SHARDS = 8192  # at most
+SHARD_INPUT = 32 << 20  # input bytes per shard, or per range of a shard
+FREQUENT = 4096
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-END, START = np.uint64(0x8D3C5A1B7F2E9046), np.uint64(0x3B1F6E0DC2A48597)
+END = np.uint64(0x8D3C5A1B7F2E9046)
+BLOB = "shard int, span int, blob binary"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -55,13 +67,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pair_hash(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(_mix(previous * np.uint64(0xA24BAED4963EE407)) + word)
+def hash_of(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of n-grams given as columns of ids."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = _mix(h * np.uint64(0xA24BAED4963EE407) + c.astype(np.uint64) + np.uint64(1))
+    return h
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the hash: sorted hashes have sorted shards."""
-    return ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of the hash: sorted hashes have sorted parts."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 class Words:
@@ -97,13 +113,6 @@ class Words:
         return out, np.diff(last, prepend=-1)
 
 
-def _previous(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.cumsum(sizes) - sizes] = START
-    return out
-
-
 def _slices(batches: Iterator[pa.RecordBatch], names: list[str], at_once: int) -> Iterator[tuple[list[list], list[bytes]]]:
     """Columns names and the texts as bytes, about at_once bytes at a time."""
     cols, texts, size = [[] for _ in names], [], 0
@@ -121,26 +130,6 @@ def _slices(batches: Iterator[pa.RecordBatch], names: list[str], at_once: int) -
         yield cols, texts
 
 
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys and the sums of values."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
-
-
-def _blob(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *(a.tobytes() for a in arrays)])
-
-
-def _unblob(data: bytes, *types: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(data, "<i8", len(types)), 8 * len(types), []
-    for n, t in zip(sizes.tolist(), types, strict=True):
-        out.append(np.frombuffer(data, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
-
-
 def local_folder(uri: str) -> str:
     """The path of a mounted folder; model arrays are mapped into memory and need one."""
     scheme, sep, rest = uri.partition(":")
@@ -150,16 +139,166 @@ def local_folder(uri: str) -> str:
     return "/" + path.lstrip("/")
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Written beside and renamed, so that a repeated task leaves one whole file."""
+def _save(folder: str, name: str, segments: list[dict[str, np.ndarray]]) -> None:
+    """Arrays of all ranges in one file with an index at its end; written beside and renamed, so that a repeated task leaves one whole file."""
     beside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    index = []
     with open(beside, "wb") as f:
-        np.save(f, array)
-    os.replace(beside, f"{folder}/{name}.npy")
+        for s in segments:
+            at = {}
+            for k, a in s.items():
+                f.write(b"\0" * (-f.tell() % 8))
+                at[k] = (a.dtype.str, f.tell(), len(a))
+                f.write(np.ascontiguousarray(a).tobytes())
+            index.append(at)
+        tail = json.dumps(index).encode()
+        f.write(tail + len(tail).to_bytes(8, "little"))
+    os.replace(beside, f"{folder}/{name}")
+
+
+def _open(path: str) -> list[dict[str, np.ndarray]]:
+    """The arrays of a file, mapped."""
+    with open(path, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    n = int.from_bytes(data[-8:], "little")
+    return [{k: np.frombuffer(data, t, size, at) for k, (t, at, size) in s.items()} for s in json.loads(data[-8 - n : -8])]
+
+
+def _narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in one byte each; those of 255 and more stand in a list of places and values."""
+    big = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), name + "-at": big.astype(np.uint32 if len(values) < 1 << 32 else np.uint64), name + "-value": values[big].astype(np.uint64)}
+
+
+def _wide(segment: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = segment[name][at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = segment[name + "-value"][np.searchsorted(segment[name + "-at"], at[big])]
+    return out
+
+
+def _pack(columns: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Sorted rows of ids and numbers, compressed byte plane by byte plane; the first column by differences."""
+    from zstandard import ZstdCompressor
+
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0)) if columns else None
+    planes = []
+    for a in [*([first, *columns[1:]] if columns else []), *numbers]:
+        planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+    kinds = json.dumps([[a.dtype.str for a in columns], [a.dtype.str for a in numbers], len((columns or numbers)[0])]).encode()
+    return len(kinds).to_bytes(4, "little") + kinds + ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    from zstandard import ZstdDecompressor
+
+    k = 4 + int.from_bytes(blob[:4], "little")
+    of_columns, of_numbers, n = json.loads(blob[4:k])
+    data, at, out = ZstdDecompressor().decompress(blob[k:]), 0, []
+    for t in [*of_columns, *of_numbers]:
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(t).ravel())
+        at += n * width
+    columns = out[: len(of_columns)]
+    if columns:
+        columns[0] = np.cumsum(columns[0], dtype=columns[0].dtype)
+    return columns, out[len(of_columns) :]
+
+
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """values in the narrowest unsigned type that holds them."""
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def _added_up(columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of columns, sorted, and the sums of their numbers."""
+    if not len(columns[0]):
+        return columns, numbers
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], [np.add.reduceat(v[order], first) for v in numbers]
+
+
+def _joined(blobs: list[bytes], n: int, m: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All rows of n columns and m numbers."""
+    parts = [_unpack(b) for b in blobs]
+    columns = [np.concatenate([c[k] for c, _ in parts] or [np.empty(0, np.uint32)]) for k in range(n)]
+    return columns, [np.concatenate([v[k] for _, v in parts] or [np.empty(0)]).astype(np.int64) for k in range(m)]
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(shard, range, blobs), one range after the other; they arrive sorted."""
+    place, held = None, []
+    for b in batches:
+        for shard, span, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "span", "blob")), strict=True):
+            if (shard, span) != place and held:
+                yield *place, held
+                held = []
+            place = shard, span
+            held.append(blob)
+    if held:
+        yield *place, held
 
 
-#: What is added up per word: as context, tokens and types seen once, twice, three or more times; as word, tokens and types.
-NUMBERS = ("context", "once", "twice", "more", "tokens", "types")
+def _rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    shard, span, blob = zip(*parts, strict=True) if parts else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(span, pa.int32()), pa.array(blob, pa.binary())], ["shard", "span", "blob"])
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How n-grams are dealt to shards and ranges."""
+
+    shards: int
+    spans: int
+    words: int = 0  # distinct training tokens; this number is also the id of what precedes a text, and the next one that of unseen words
+    frequent: int = 0  # ids below it are frequent words
+
+    def place(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(shard * spans + span, hash) of n-grams."""
+        h = hash_of(columns)
+        by = h
+        if len(columns) > 1:
+            often = np.ones(len(h), bool)
+            for c in columns[:-1]:
+                often &= (c < self.frequent) | (c == self.words)
+            by = np.where(often, h, hash_of(columns[:-1]))
+        return part_of(by, self.shards) * self.spans + part_of(_mix(h), self.spans), h
+
+    def send(self, columns: list[np.ndarray], numbers: list[np.ndarray]) -> pa.RecordBatch:
+        """Rows (distinct) as one blob for each shard and range."""
+        place, _ = self.place(columns)
+        order = np.lexsort([*columns[::-1], place])
+        columns, numbers, place = [c[order] for c in columns], [v[order] for v in numbers], place[order]
+        cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
+        return _rows([(int(place[a]) // self.spans, int(place[a]) % self.spans, _pack([c[a:b] for c in columns], [_smallest(v[a:b]) for v in numbers])) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def _dealt(rows: DataFrame, layout: Layout) -> DataFrame:
+    return rows.repartitionById(layout.shards, "shard").sortWithinPartitions("shard", "span")
+
+
+#: What an n-gram below the highest order holds: words before it; as a context: tokens, and types seen once, twice, more often.
+NUMBERS = ("count", "tokens", "once", "twice", "more")
+
+
+def windows(ids: np.ndarray, sizes: np.ndarray, order: int, start: int) -> list[np.ndarray]:
+    """Columns of the n-grams that end at every token; start stands before a text."""
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [ids]
+    for k in range(1, order):
+        c = np.full(len(ids), start, ids.dtype)
+        c[k:] = ids[:-k]
+        c[at < k] = start
+        out.insert(0, c)
+    return out
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -174,60 +313,71 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 @dataclass
 class LanguageModel:
     folder: str
-    shards: int
+    layout: Layout
+    order: int
     tokens: int  # training tokens
-    vocabulary: int  # distinct training tokens
-    types: int  # distinct pairs
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    word_backoff: float  # mass that the lower order leaves to the uniform distribution, times types
+    discounts: list[tuple[float, float, float]]  # by order
+    base_tokens: int  # sum of the lowest order's counts
+    base_rest: float  # mass that the lowest order leaves to the uniform distribution, times base_tokens
+    have: dict[str, frozenset[int]]  # shards that have a file
     _maps: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_maps": {}}
 
-    def _map(self, name: str) -> np.ndarray:
+    def _segments(self, name: str) -> list[dict[str, np.ndarray]]:
         if name not in self._maps:
-            a = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
-            self._maps[name] = np.asarray(a)
+            self._maps[name] = _open(f"{self.folder}/{name}")
         return self._maps[name]
 
-    def _find(self, kind: str, keys: np.ndarray, values: tuple[str, ...]) -> list[np.ndarray]:
-        """The values of sorted distinct keys; zero where a key is absent."""
+    def _find(self, kind: str, place: np.ndarray, keys: np.ndarray, spans: int, values: tuple[str, ...]) -> list[np.ndarray]:
+        """The values of keys at their places; zero where a key is absent. Ids are one more than stored."""
         out = [np.zeros(len(keys), np.int64) for _ in values]
-        cuts = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
-        for s in range(self.shards):
-            lo, hi = cuts[s], cuts[s + 1]
-            if lo == hi:
+        order = np.lexsort((keys, place))
+        place, keys = place[order], keys[order]
+        cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            shard, span = divmod(int(place[lo]), spans)
+            if shard not in self.have[kind]:
                 continue
-            stored = self._map(f"{kind}-{s}-keys")
+            segment = self._segments(f"{kind}-{shard}")[span]
+            stored = segment["keys"]
             if not len(stored):
                 continue
             at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
             hit = stored[at] == keys[lo:hi]
             for o, v in zip(out, values, strict=True):
-                o[lo:hi][hit] = self._map(f"{kind}-{s}-{v}")[at[hit]]
+                o[order[lo:hi][hit]] = segment["ids"][at[hit]].astype(np.int64) + 1 if v == "ids" else _wide(segment, v, at[hit])
         return out
 
-    def log_probabilities(self, previous: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, log10 of the add-one unigram base, known) of every token after its previous one."""
-        pairs, at = np.unique(pair_hash(previous, word), return_inverse=True)
-        (count,) = (c[at] for c in self._find("pair", pairs, ("counts",)))
-        every, at = np.unique(np.concatenate([previous, word]), return_inverse=True)
-        n = dict(zip(NUMBERS, (c[at] for c in self._find("word", every, NUMBERS)), strict=True))
-        context, once, twice, more = (n[k][: len(word)] for k in NUMBERS[:4])
-        tokens, types = n["tokens"][len(word) :], n["types"][len(word) :]
-        uniform = 1 / (self.vocabulary + 1)
-        if self.types:
-            lower = (np.maximum(types - _discount(types, self.word_discounts), 0) + self.word_backoff * uniform) / self.types
-        else:
-            lower = np.full(len(word), uniform)
-        d1, d2, d3 = self.pair_discounts
-        rest = d1 * once + d2 * twice + d3 * more
-        seen = np.maximum(context, 1)
-        p = np.where(context > 0, (np.maximum(count - _discount(count, self.pair_discounts), 0) + rest * lower) / seen, lower)
-        base = np.log10((tokens + 1) / (self.tokens + self.vocabulary + 1))
-        return np.log10(p), base, tokens > 0
+    def ids(self, words: np.ndarray, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, training counts) of hashed words; unseen words have count 0 and the id after the last."""
+        every, at = np.unique(words, return_inverse=True)
+        found = self._find("words", part_of(every, self.layout.shards), every, 1, ("ids", "count") if with_counts else ("ids",))
+        ids = np.where(found[0] > 0, found[0] - 1, self.layout.words + 1).astype(np.uint32 if self.layout.words < (1 << 32) - 2 else np.uint64)
+        return ids[at], found[-1][at]
+
+    def _numbers(self, columns: list[np.ndarray], names: tuple[str, ...]) -> list[np.ndarray]:
+        place, h = self.layout.place(columns)
+        return self._find(f"grams{len(columns)}", place, h, self.layout.spans, names)
+
+    def log_probabilities(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, log10 of the add-one unigram base, known) of every token of whole texts."""
+        ids, count = self.ids(words)
+        base = np.log10((count + 1) / (self.tokens + self.layout.words + 1))
+        columns = windows(ids, sizes, self.order, self.layout.words)
+        p = np.full(len(ids), 1 / (self.layout.words + 1))
+        for n in range(1, self.order + 1):
+            own = columns[self.order - n :]
+            (c,) = self._numbers(own, ("count",))
+            left = np.maximum(c - _discount(c, self.discounts[n - 1]), 0)
+            if n == 1:
+                p = (left + self.base_rest * p) / self.base_tokens if self.base_tokens else p
+                continue
+            tokens, once, twice, more = self._numbers(own[:-1], NUMBERS[1:])
+            d1, d2, d3 = self.discounts[n - 1]
+            p = np.where(tokens > 0, (left + (d1 * once + d2 * twice + d3 * more) * p) / np.maximum(tokens, 1), p)
+        return np.log10(p), base, count > 0
 
 
 def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -235,7 +385,8 @@ def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 def _count_of_counts(counts: np.ndarray) -> list[int]:
-    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+    """Numbers of counts 1, 2, 3, 4; sum of all counts; number of counts above 2."""
+    return [*np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist(), int(counts.sum()), int((counts > 2).sum())]
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -244,95 +395,152 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 7 == 2
 
 
-def fit(docs: DataFrame, train: Column, folder: str | None = None) -> LanguageModel:
+def _tagged(rows: pa.RecordBatch, stats: list[int] | None) -> pa.RecordBatch:
+    """Blobs for the next order and, in a row of its own, numbers for the driver."""
+    parts = list(zip(*(rows.column(c).to_pylist() for c in ("shard", "span", "blob")), [None] * rows.num_rows, strict=True))
+    if stats is not None:
+        parts.append((None, None, None, stats))
+    cols = list(zip(*parts, strict=True)) or [(), (), (), ()]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["shard", "span", "blob", "stats"])
+
+
+TAGGED = BLOB + ", stats array<long>"
+
+
+def _vocabulary(texts: DataFrame, folder: str, layout: Layout) -> tuple[Layout, int, frozenset[int]]:
+    """Count words, write their hashes, ids and counts; (layout with words and frequent, training tokens, shards)."""
+    one = Layout(layout.shards, 1)
+
+    def count(batches):
+        words, keys, counts = Words(), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def send():
+            place = part_of(keys, one.shards)
+            cuts = np.searchsorted(place, np.arange(one.shards + 1)).tolist()
+            return _rows([(s, 0, _pack([keys[a:b]], [_smallest(counts[a:b])])) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b])
+
+        for _, t in _slices(batches, [], SLICE):
+            k, c = np.unique(words.hashes(t)[0], return_counts=True)
+            (keys,), (counts,) = _added_up([np.concatenate([keys, k])], [np.concatenate([counts, c])])
+            if len(keys) >= TOKENS:
+                yield send()
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield send()
+
+    def add_up(batches):
+        for shard, _, blobs in _by_place(batches):
+            (keys,), (counts,) = _added_up(*_joined(blobs, 1, 1))
+            _save(folder, f"counts-{shard}", [{"keys": keys, "count": counts}])
+            yield _tagged(_rows([]), [shard, int(counts.sum()), *np.bincount(_power(counts), minlength=64).tolist()])
+
+    def number(batches):
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                (s,) = _open(f"{folder}/counts-{shards[k]}")
+                power = _power(s["count"])
+                order = np.argsort(power, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes[k]) - sizes[k], sizes[k])
+                ids = place + first[k][power]
+                _save(folder, f"words-{shards[k]}", [{"keys": s["keys"], "ids": _smallest(ids), **_narrow("count", s["count"])}])
+            yield pa.RecordBatch.from_arrays([b.column("id")], ["id"])
+
+    counted = materialize(_dealt(texts.mapInArrow(count, BLOB), one).mapInArrow(add_up, TAGGED).select("stats"), "word-counts")
+    rows = sorted(r.stats for r in counted.collect())  # one row per shard, at most SHARDS
+    discard(counted)
+    shards = [r[0] for r in rows]
+    sizes = np.array([r[2:] for r in rows], np.int64).reshape(-1, 64)  # [shard, power], from the highest power down
+    first = (np.cumsum(sizes.sum(0)) - sizes.sum(0))[None, :] + np.cumsum(sizes, 0) - sizes
+    total = sum(r[1] for r in rows)
+    enough = [k for k in range(64) if 1 << (63 - k) >= max(1, total // FREQUENT)]
+    spark = texts.sparkSession
+    if shards:
+        spark.range(0, len(shards), 1, len(shards)).mapInArrow(number, "id long").write.format("noop").mode("overwrite").save()
+    return Layout(layout.shards, layout.spans, int(sizes.sum()), int(sizes.sum(0)[enough].sum())), total, frozenset(shards)
+
+
+def _power(counts: np.ndarray) -> np.ndarray:
+    """0 for the highest power of two, 63 for one."""
+    return 63 - (np.frexp(np.maximum(counts, 1).astype(float))[1] - 1).astype(np.int64)
+
+
+def _lower(columns: list[np.ndarray], counts: np.ndarray, start: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What n-grams and their counts tell of the next lower order: rows of ids with NUMBERS."""
+    some = counts > 0  # all but contexts that nothing precedes
+    columns, counts = [c[some] for c in columns], counts[some]
+    zero, one = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    as_context = [zero, counts, (counts == 1) * one, (counts == 2) * one, (counts > 2) * one]
+    as_suffix = [np.where(columns[1] == start, counts, one), zero, zero, zero, zero]
+    lower = [np.concatenate(x) for x in zip(columns[:-1], columns[1:], strict=True)]
+    return _added_up(lower, [np.concatenate(x) for x in zip(as_context, as_suffix, strict=True)])
+
+
+def fit(docs: DataFrame, train: Column, folder: str | None = None, order: int = ORDER) -> LanguageModel:
     """Count the texts of docs for which train holds; the arrays go to folder, or to the shared work folder."""
     spark = docs.sparkSession
     folder = local_folder(folder or new_path(spark, "language-model"))
     os.makedirs(folder, exist_ok=True)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = 0 if size >= 1 << 60 else size  # Spark's word for unknown
-    shards = int(max(shuffle_partitions(spark), -(-size // SHARD_INPUT)))
+    shards = min(SHARDS, max(shuffle_partitions(spark), -(-size // SHARD_INPUT)))
+    texts = docs.where(train).select("text")
+    layout, tokens, have = _vocabulary(texts, folder, Layout(shards, max(1, -(-size // (SHARD_INPUT * shards)))))
+    words = LanguageModel(folder, layout, order, tokens, [], 0, 0.0, {"words": have})
 
     def count(batches):
-        words = Words()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        hashes, held, n = Words(), [], 0
 
         def send():
-            previous, word = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(pair_hash(previous, word))
-            previous, word = previous[order], word[order]
-            key = pair_hash(previous, word)
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            counts = np.diff(np.append(first, len(key))).astype(np.uint32)
-            previous, word = previous[first], word[first]
-            cuts = np.searchsorted(shard_of(key[first], shards), np.arange(shards + 1))
-            for s in range(shards):
-                a, b = cuts[s], cuts[s + 1]
-                if a < b:
-                    o = a + np.argsort(previous[a:b], kind="stable")
-                    context, run = np.unique(previous[o], return_counts=True)
-                    blob = _blob(context, run.astype(np.uint32), word[o], counts[o])
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
-
-        for _, texts in _slices(batches, [], SLICE):
-            tokens, sizes = words.hashes(texts)
-            held.append((_previous(tokens, sizes), tokens))
-            n += len(tokens)
-            if n >= PAIRS:
-                yield from send()
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return layout.send(*_added_up(columns, [np.ones(len(columns[0]), np.int64)]))
+
+        for _, t in _slices(batches, [], SLICE):
+            h, sizes = hashes.hashes(t)
+            held.append(windows(words.ids(h, False)[0], sizes, order, layout.words))
+            n += len(h)
+            if n >= TOKENS:
+                yield send()
                 held, n = [], 0
         if n:
-            yield from send()
-
-    def sum_pairs(batches):
-        blobs = [_unblob(x, "<u8", "<u4", "<u8", "<u4") for b in batches for x in b.column("blob").to_pylist()]
-        shard = TaskContext.get().partitionId()
-        previous = np.concatenate([np.repeat(c, r) for c, r, _, _ in blobs] or [np.empty(0, np.uint64)])
-        word = np.concatenate([w for _, _, w, _ in blobs] or [np.empty(0, np.uint64)])
-        counts = np.concatenate([c for *_, c in blobs] or [np.empty(0, np.uint32)]).astype(np.int64)
-        del blobs
-        key = pair_hash(previous, word)
-        order = np.argsort(key)
-        key, previous, word, counts = key[order], previous[order], word[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        counts = np.add.reduceat(counts, first) if len(first) else counts[:0]
-        key, previous, word = key[first], previous[first], word[first]
-        _save(folder, f"pair-{shard}-keys", key)
-        _save(folder, f"pair-{shard}-counts", counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64))
-        one = np.ones(len(key), np.int64)
-        context = _sums(previous, counts, (counts == 1) * one, (counts == 2) * one, (counts > 2) * one)
-        after = _sums(word, counts, one)
-        every = np.union1d(context[0], after[0])
-        rows = np.zeros((len(NUMBERS), len(every)), np.int64)
-        rows[:4, np.searchsorted(every, context[0])] = context[1:]
-        rows[4:, np.searchsorted(every, after[0])] = after[1:]
-        cuts = np.searchsorted(shard_of(every, shards), np.arange(shards + 1))
-        seen = _count_of_counts(counts)
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b or s == 0:
-                blob = _blob(every[a:b], *(r[a:b] for r in rows))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary()), pa.array([seen if s == 0 else None], pa.list_(pa.int64()))], ["shard", "blob", "seen"])
-
-    def sum_words(batches):
-        shard = TaskContext.get().partitionId()
-        blobs = [_unblob(x, "<u8", *["<i8"] * len(NUMBERS)) for b in batches for x in b.column("blob").to_pylist()]
-        key, *numbers = _sums(*(np.concatenate(x) for x in zip(*blobs, strict=True))) if blobs else [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * len(NUMBERS)]
-        _save(folder, f"word-{shard}-keys", key)
-        for name, v in zip(NUMBERS, numbers, strict=True):
-            _save(folder, f"word-{shard}-{name}", v.astype(np.uint32 if v.max(initial=0) < 1 << 32 else np.int64))
-        tokens, types = numbers[4], numbers[5]
-        out = [int(tokens.sum()), int((tokens > 0).sum()), int(types.sum()), *_count_of_counts(types), int((types > 2).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.int64()))], ["sums"])
-
-    sent = docs.where(train).select("text").mapInArrow(count, "shard int, blob binary")
-    partial = materialize(sent.repartitionById(shards, "shard").mapInArrow(sum_pairs, "shard int, blob binary, seen array<long>"), "pair-sums")
-    seen = partial.where("seen IS NOT NULL").agg(*[F.sum(F.get("seen", k)) for k in range(4)]).first()
-    summed = materialize(partial.select("shard", "blob").repartitionById(shards, "shard").mapInArrow(sum_words, "sums array<long>"), "word-sums")
-    t = [x or 0 for x in summed.agg(*[F.sum(F.get("sums", k)) for k in range(8)]).first()]
-    d = discounts(*t[3:7])
-    return LanguageModel(folder, shards, t[0], t[1], t[2], discounts(*(x or 0 for x in seen)), d, d[0] * t[3] + d[1] * t[4] + d[2] * t[7])
+            yield send()
+
+    def add_up(n: int):
+        names = NUMBERS[:1] if n == order else NUMBERS
+
+        def run(batches):
+            none = {"keys": np.empty(0, np.uint64)} | {k: v for name in names for k, v in _narrow(name, np.empty(0, np.int64)).items()}
+            for shard, ranges in groupby(_by_place(batches), lambda x: x[0]):
+                segments, stats = [none] * layout.spans, np.zeros(6, np.int64)
+                for _, span, blobs in ranges:
+                    columns, numbers = _added_up(*_joined(blobs, n, len(names)))
+                    _, h = layout.place(columns)
+                    by_hash = np.argsort(h)
+                    segments[span] = {"keys": h[by_hash]}
+                    for name, v in zip(names, numbers, strict=True):
+                        segments[span] |= _narrow(name, v[by_hash])
+                    stats += _count_of_counts(numbers[0])
+                    if n > 1:
+                        yield _tagged(layout.send(*_lower(columns, numbers[0], layout.words)), None)
+                _save(folder, f"grams{n}-{shard}", segments)
+                yield _tagged(_rows([]), [*stats.tolist(), shard])
+
+        return run
+
+    sent, written, seen, files = texts.mapInArrow(count, BLOB), None, {}, {"words": have}
+    for n in range(order, 0, -1):
+        before, written = written, materialize(_dealt(sent, layout).mapInArrow(add_up(n), TAGGED), f"grams{n}")
+        if before is not None:
+            discard(before)
+        stats = [r.stats for r in written.where("stats IS NOT NULL").select("stats").collect()]  # one row per shard, at most SHARDS
+        seen[n] = np.sum([x[:6] for x in stats] or [[0] * 6], axis=0).tolist()
+        files[f"grams{n}"] = frozenset(x[6] for x in stats)
+        sent = written.where("blob IS NOT NULL").select("shard", "span", "blob")
+    discard(written)
+    by_order = [discounts(*seen[n][:4]) for n in range(1, order + 1)]
+    d, (n1, n2, _, _, base, more) = by_order[0], seen[1]
+    return LanguageModel(folder, layout, order, tokens, by_order, base, d[0] * n1 + d[1] * n2 + d[2] * more, files)
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -342,10 +550,8 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches):
         words = Words()
         for cols, texts in _slices(batches, ["doc_id", "held_out"], SLICE):
-            tokens, sizes = words.hashes(texts)
-            previous = _previous(tokens, sizes)
-            parts = [model.log_probabilities(previous[k : k + LOOKUPS], tokens[k : k + LOOKUPS]) for k in range(0, len(tokens), LOOKUPS)]
-            p, base, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+            hashes, sizes = words.hashes(texts)
+            p, base, known = model.log_probabilities(hashes, sizes)
             first = np.cumsum(sizes) - sizes
             total = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
@@ -359,7 +565,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
+def score_held_out(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Fit on the documents that aren't held out, score all."""
     marked = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
-    return score(marked, fit(marked, ~F.col("held_out")))
+    return score(marked, fit(marked, ~F.col("held_out"), order=order))

@@ -164,36 +164,68 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), vocabulary(WORD_BPE)).count() == 0
 
 
-def test_language_model(spark):
-    out = language_model.score_held_out(docs(spark)).collect()
+def kneser_ney(train, order):
+    """log10 p(word | words before it) by dictionaries, and the distribution's support."""
+    grams = Counter(tuple(p[i - order + 1 : i + 1]) for t in train for p in [["<s>"] * (order - 1) + t] for i in range(order - 1, len(p)))
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        c = Counter()
+        for g, k in levels[n + 1].items():
+            c[g[1:]] += k if g[1] == "<s>" else 1
+        levels[n] = c
+    d = {n: language_model.discounts(*[sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for n, c in levels.items()}
+    after, total = defaultdict(Counter), Counter()
+    for n, c in levels.items():
+        for g, v in c.items():
+            after[n, g[:-1]][min(v, 3)] += 1
+            total[n, g[:-1]] += v
+    vocabulary = {w for t in train for w in t}
+
+    def p(context, w):
+        out = 1 / (len(vocabulary) + 1)
+        for n in range(1, order + 1):
+            h = tuple(context[len(context) - n + 1 :])
+            if t := total[n, h]:
+                c = levels[n][(*h, w)]
+                out = ((c - d[n][min(c, 3) - 1] if c else 0) + sum(d[n][k - 1] * m for k, m in after[n, h].items()) * out) / t
+        return out
+
+    return p, vocabulary
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model(spark, order, monkeypatch):
+    if order == 4:  # many ranges per shard, small buffers, frequent words that are all but rare ones
+        for name, value in (("SHARD_INPUT", 1), ("SHARDS", 3), ("TOKENS", 50), ("SLICE", 200), ("FREQUENT", 40)):
+            monkeypatch.setattr(language_model, name, value)
+        monkeypatch.setattr(language_model, "shuffle_partitions", lambda spark: 3)
+    more = TEXTS + [(200 + k, " ".join(BASE.split()[k % 9 : k % 9 + 12])) for k in range(40)]
+    out = language_model.score_held_out(docs(spark, more), order).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    tok = [(i, held(i), [*words(lower(t)), None]) for i, t in TEXTS]
+    tok = [(i, held(i), [*words(lower(t)), None]) for i, t in more]
     train = [t for _, h, t in tok if not h]
-    uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t[:-1]], t))
-    n, v, types, after = sum(uni.values()), len(uni), Counter(b for _, b in bi), defaultdict(Counter)
-    for (a, _), c in bi.items():
-        after[a][min(c, 3)] += 1
-    total = Counter()
-    for (a, _), c in bi.items():
-        total[a] += c
-    d = language_model.discounts(*[sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    e = language_model.discounts(*[sum(c == k for c in types.values()) for k in (1, 2, 3, 4)])
-    take = lambda c, d: d[min(c, 3) - 1] if c else 0
-
-    def p(a, b):
-        low = (max(types[b] - take(types[b], e), 0) + sum(take(c, e) for c in types.values()) / (v + 1)) / len(bi)
-        return (max(bi[a, b] - take(bi[a, b], d), 0) + sum(d[k - 1] * m for k, m in after[a].items()) * low) / total[a] if total[a] else low
-
+    uni = Counter(w for t in train for w in t)
+    n, v = sum(uni.values()), len(uni)
+    p, vocabulary = kneser_ney(train, order)
     want = {}
     for i, h, t in tok:
-        want[i] = (h, len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t[:-1]], t)))
-    assert len(out) == len(TEXTS)
+        padded = ["<s>"] * (order - 1) + t
+        s = sum(math.log10(p(padded[k : k + order - 1], w)) for k, w in enumerate(t))
+        want[i] = (h, len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), s)
+    assert len(out) == len(more)
     for r in out:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
         assert r.base_score == pytest.approx(want[r.doc_id][4]) and r.score == pytest.approx(want[r.doc_id][5])
-    assert language_model.score_held_out(docs(spark, [])).count() == 0
+    assert language_model.score_held_out(docs(spark, []), order).count() == 0
     # the distribution sums to one over the vocabulary and one unseen word
-    assert sum(p("the", w) for w in uni) + p("the", "\0unseen") == pytest.approx(1)
+    context = ["ran", "past", "the"][4 - order :] if order > 1 else []
+    assert sum(p(context, w) for w in vocabulary) + p(context, "\0unseen") == pytest.approx(1)
+
+
+def test_counts_beyond_a_byte(spark):
+    v = np.array([0, 1, 254, 255, 256, 1 << 40], np.int64)
+    stored = language_model._narrow("n", v)
+    assert language_model._wide(stored, "n", np.array([5, 0, 3, 4, 2, 1])).tolist() == [1 << 40, 0, 255, 256, 254, 1]
 
 
 def simhash_of(t, k):
