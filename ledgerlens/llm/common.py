@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, new_path, shuffle_partitions
 
-__all__ = ["SPACE", "WORD", "discard", "materialize", "new_path", "read_table", "shuffle_partitions", "spread", "without"]
+__all__ = ["SPACE", "WORD", "discard", "materialize", "new_path", "read_table", "shuffle_partitions", "small", "spread", "without"]
 
 #: Word characters of all text operators: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -27,8 +27,11 @@ def split_hot(rows: DataFrame, chunk: int, salt: str) -> DataFrame:
     return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("size", "mine", "other")
 
 
-def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, rows_at_once: int = 1 << 16) -> DataFrame:
-    """run(table, starts) over whole groups, many groups at a time; starts: each group's first row, and the row count."""
+def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, rows_at_once: int = 1 << 16, order: tuple[str, ...] = ()) -> DataFrame:
+    """run(table, starts) over whole groups, many groups at a time; starts: each group's first row, and the row count.
+
+    A group's rows are sorted by the columns of order.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -48,7 +51,7 @@ def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarr
             table = pa.Table.from_batches(held).combine_chunks()
             yield run(table, _starts(table, keys))
 
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(stream, schema)
 
 

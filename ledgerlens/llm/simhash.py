@@ -6,12 +6,15 @@ share at least one. Groups of a key are compared through bit planes (``bitslice`
 forest of their links; hot keys are dealt into pairs of chunks. Each distinct fingerprint takes part once.
 
 ``near_duplicates``: documents whose shingle sets have a Jaccard similarity of at least 0.8. At that
-similarity some 10 of 64 bits differ, which blocks of bits can't find; candidate groups come from pairs of
-min-hashes of the same shingles (8 of them: a similarity of 0.8 is missed with probability 0.0003), are
-joined into candidate components, and checked exactly on the whole shingle sets, chunk by chunk. Of the
-pairs that share min-hashes only those are left out that can't be similar: odd sketches (bit b is the parity
-of the distinct shingles whose hash is b modulo SKETCH) differ in no more bits than the sets in shingles.
-On sets of over 2000 shingles that leaves few out, so long texts cost more there, but none is lost.
+similarity some 10 of 64 bits differ, which blocks of bits can't find; candidates share a pair of min-hashes of
+the same shingles (8 pairs: a similarity of 0.8 is missed with probability 0.0003). Equal sets are settled by
+their digest. Of the rest every row is first held against its key's smallest id only, so that a group of near
+copies costs one comparison a row; whole texts are compared pair by pair of (row, smallest id). Keys whose
+rows are then one component are done. In the others, rows of different components that may be similar are
+compared too, the first few of each row and then ever more, until none is left: no link is lost and no group's
+pairs are listed. Left out are only pairs that can't be similar: odd sketches (bit b is the parity of the
+distinct shingles whose hash is b modulo SKETCH) differ in no more bits than the sets in shingles. On sets of
+over 2000 shingles that leaves few out, so long texts cost more there, but none is lost.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other in
 ``link_documents``; in ``near_duplicates`` texts without words are no duplicates of anything but each other.
@@ -30,13 +33,18 @@ from pyspark.sql import functions as F
 
 from . import bitslice
 from ..operators.components import stars as components
-from .common import materialize, without
+from .common import discard, materialize, small, without
 from .groups import by_group, split_hot
 
 SEED = 42
 CHUNK = 2048  # rows of a key that are compared in one task
 #: near_duplicates
-WORDS, SIMILARITY, BANDS, PER_BAND, SKETCH, CHECKED = 5, 0.8, 8, 2, 1024, 192
+WORDS, SIMILARITY, BANDS, PER_BAND, SKETCH = 5, 0.8, 8, 2, 1024
+CHECKED = 192  # texts that are held against one text in one task
+COMPARED = 1024  # rows of a key whose sketches are compared in one task
+PARTNERS = 8  # candidates of a row that are checked at first; four times as many in every further round
+#: Share of all rows above which a fingerprint is settled map-side; bounds the broadcast to 1/SUPPORT rows.
+SUPPORT = 0.001
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -75,6 +83,11 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def extra_blocks(n: int, radius: int) -> int:
+    """Blocks per key for n fingerprints: enough bits that a key holds a few of them, so pairs grow no faster than n."""
+    return next(k for k in range(2, 64 - radius) if n <= 8 << (64 * k // (radius + k)) or k == 6)
+
+
 def block_keys(fp: Column, radius: int, extra: int = 2) -> Column:
     """Array of keys: one per choice of extra blocks out of radius + extra; the choice is part of the key."""
     n = radius + extra
@@ -103,12 +116,18 @@ def link_documents(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
     """doc_id, fingerprint, component_id (the smallest doc_id reachable) of every row."""
     rows = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    keyed = distinct.select(F.explode(block_keys(F.col("fp"), radius)).alias("key"), F.col("fp").alias("id"), "fp")
+    extra = extra_blocks(distinct.count(), radius)
+    keyed = distinct.select(F.explode(block_keys(F.col("fp"), radius, extra)).alias("key"), F.col("fp").alias("id"), "fp")
     stars = components(bucket_links(keyed, radius))
     linked = distinct.join(stars.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     of_fp = distinct.join(linked.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    named = rows.join(materialize(of_fp, "component-ids"), "fp")
+    of_fp = materialize(of_fp, "component-ids")
+    # rows of frequent fingerprints get their component map-side, the rest in a join
+    names = materialize(rows.stat.freqItems(["fp"], SUPPORT).select(F.explode("fp_freqItems").alias("fp")), "frequent-fingerprints")
+    heavy = of_fp.join(F.broadcast(names), "fp")
+    light = rows.join(F.broadcast(names), "fp", "left_anti").join(of_fp, "fp")
+    named = rows.join(F.broadcast(heavy), "fp").unionByName(light)
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -138,19 +157,22 @@ def odd_sketch(distinct: np.ndarray) -> bytes:
 
 
 def _keyed(tagged: DataFrame) -> DataFrame:
-    """id, size (distinct shingles), sketch, keys of every row (id, text)."""
+    """id, size (distinct shingles), sketch, digest of the shingle set, keys of every row (id, text); no keys without words."""
+    from xxhash import xxh3_128_digest
 
     def run(batches):
         for b in batches:
-            sizes, sketches, keys = [], [], []
+            sizes, sketches, digests, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = np.unique(shingle_hashes(t, WORDS))
                 sizes.append(len(h))
-                sketches.append(odd_sketch(h))
-                keys.append(band_keys(h) if len(h) else [0])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "sketch", "keys"])
+                sketches.append(np.frombuffer(odd_sketch(h), np.int64))
+                digests.append(xxh3_128_digest(h.tobytes()))
+                keys.append(band_keys(h) if len(h) else [])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(sketches, longs), pa.array(digests, pa.binary()), pa.array(keys, longs)], ["id", "size", "sketch", "digest", "keys"])
 
-    return tagged.select("id", "text").mapInArrow(run, "id long, size long, sketch binary, keys array<long>")
+    return tagged.select("id", "text").mapInArrow(run, "id long, size long, sketch array<long>, digest binary, keys array<long>")
 
 
 def _may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -159,97 +181,123 @@ def _may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return (1 + SIMILARITY) * differ <= (1 - SIMILARITY) * sizes + 1e-6
 
 
-def candidate_links(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Spanning links (a, b) between rows (key, id, size, sketch) that share a key and may be similar."""
+def _may_be_similar_rows(a: str, b: str) -> Column:
+    """The same on columns a.sketch, a.size, b.sketch, b.size."""
+    differ = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (1 + SIMILARITY) * differ <= (1 - SIMILARITY) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+
+
+def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes reach SIMILARITY, counted exactly."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+def similar_pairs(tagged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b), a written table, whose texts are similar; each b's text meets its a's in groups of CHECKED."""
+    chunks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHECKED).cast("int").alias("chunks"))
+    members = pairs.join(chunks, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("other"))
+    ones = chunks.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("other"))
+    needed = materialize(members.unionByName(ones), "near-needed")
+    rows = tagged.select("id", "text").join(small(needed), "id")
 
     def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, size = table.column("id").to_numpy(), table.column("n").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), SKETCH // 64)
+        out, ids, text = [], table.column("id").to_pylist(), table.column("text")
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            first, *rest = (np.unique(shingle_hashes(t.as_py(), WORDS)) for t in text.slice(lo, hi - lo))
+            out += [(ids[lo + k], ids[lo]) for k, h in enumerate(rest, 1) if are_similar(h, first)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    out = materialize(by_group(rows, ["b", "chunk"], run, "a long, b long", rows_at_once=256, order=("other",)), "near-links")
+    discard(needed)
+    return out
+
+
+def deal_labelled(rows: DataFrame, chunk: int) -> DataFrame:
+    """Rows (key, id, label, ...) of keys with several labels, with columns i, j: any two rows of a key with different labels meet in one (key, i, j).
+
+    A key of over chunk rows is dealt: the rows of its most frequent label into chunks, each with all others, or,
+    where those are more than chunk too, all rows into pairs of chunks.
+    """
+    per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    met = rows.join(keys, "key")
+    few = F.col("n") - F.col("top.n") <= chunk
+    parts = F.ceil(F.when(few, F.col("top.n")).otherwise(F.col("n")) / chunk).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    is_top = F.col("label") == F.col("top.label")
+    places = (
+        F.when(F.col("n") <= chunk, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+        .when(few & is_top, F.array(F.struct(mine.alias("i"), mine.alias("j"))))
+        .when(few, F.transform(every, lambda k: F.struct(k.alias("i"), k.alias("j"))))
+        .otherwise(F.transform(every, lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
+    )
+    return met.withColumn("at", F.explode(places)).select(*rows.columns, "at.i", "at.j")
+
+
+def partners(rows: DataFrame, most: int, chunk: int = COMPARED) -> DataFrame:
+    """(a, b) of rows (key, id, size, sketch, label): for every row the first candidates of smaller id with another label, at most most of them for each key; a row of nulls where there are more."""
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, size, label = (table.column(c).to_numpy() for c in ("id", "size", "label"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), SKETCH // 64)
         a, b = [], []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            label = np.arange(hi - lo)
-            for q in range(hi - lo - 1):
-                rest = np.flatnonzero(label[q + 1 :] != label[q]) + q + 1
-                if not len(rest):
-                    continue
-                near = rest[_may_be_similar(sketch[lo + rest], sketch[lo + q], size[lo + rest] + size[lo + q])]
-                roots, first = np.unique(label[near], return_index=True)
-                a += [ids[lo + q]] * len(roots)
-                b += ids[lo + near[first]].tolist()
-                label[np.isin(label, roots)] = label[q]
+            for q in range(lo + 1, hi):
+                rest = lo + np.flatnonzero(label[lo:q] != label[q])
+                near = rest[_may_be_similar(sketch[rest], sketch[q], size[rest] + size[q])]
+                a += [ids[q]] * min(len(near), most)
+                b += ids[near[:most]].tolist()
+                if len(near) > most:
+                    a.append(None)
+                    b.append(None)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = split_hot(rows.withColumnRenamed("size", "n"), chunk, "id")
-    return by_group(dealt, ["key", "i", "j"], run, "a long, b long", rows_at_once=1 << 13)
-
-
-def similar_pairs(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """Boolean matrix of the sets whose Jaccard similarity reaches similarity, counted exactly."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    all_, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    _, inverse, count = np.unique(all_, return_inverse=True, return_counts=True)
-    shared = count[inverse] > 1
-    dense = np.cumsum(count > 1) - 1
-    col, row = dense[inverse[shared]], owner[shared]
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    both = np.zeros((n, n), np.float64)
-    width = 4096
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [lo, lo + width])
-        m = np.zeros((n, width), np.float32)
-        m[row[a:b], col[a:b] - lo] = 1
-        both += m @ m.T
-    union = size[:, None] + size[None, :] - both
-    empty = size == 0
-    return (both >= similarity * union - 1e-9) & (union > 0) | (empty[:, None] & empty[None, :])
-
-
-def _tree(adjacent: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a boolean matrix."""
-    n = len(adjacent)
-    seen, edges = np.zeros(n, bool), []
-    for s in range(n):
-        if seen[s]:
-            continue
-        seen[s], stack = True, [s]
-        while stack:
-            x = stack.pop()
-            for y in np.flatnonzero(adjacent[x] & ~seen).tolist():
-                seen[y] = True
-                edges.append((x, y))
-                stack.append(y)
-    return edges
+    return by_group(deal_labelled(rows, chunk), ["key", "i", "j"], run, "a long, b long", rows_at_once=1 << 13, order=("id",)).distinct()
 
 
 def near_duplicates(tagged: DataFrame) -> DataFrame:
     """(node, root) of the rows (id, text) that have near-duplicates; root is the group's smallest id. tagged must be stable."""
     keyed = materialize(_keyed(tagged), "near-keys")
-    rows = keyed.select(F.explode("keys").alias("key"), "id", "size", "sketch")
-    candidates = components(candidate_links(rows), "near-candidates")
-    texts = candidates.join(tagged, candidates["node"] == tagged["id"]).select(F.col("root").alias("key"), "id", "text")
-
-    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
-        ids, text = table.column("id").to_pylist(), table.column("text")
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            sets = [np.unique(shingle_hashes(t, WORDS)) for t in text.slice(lo, hi - lo).to_pylist()]
-            for x, y in _tree(similar_pairs(sets)):
-                a.append(ids[lo + x])
-                b.append(ids[lo + y])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    checked = by_group(split_hot(texts, CHECKED, "id"), ["key", "i", "j"], run, "a long, b long", rows_at_once=1 << 10)
-    return components(checked, "near-groups")
+    sets = materialize(keyed.groupBy("digest").agg(F.min(F.struct("id", "size", "sketch", "keys")).alias("r"), F.count(F.lit(1)).alias("n")), "near-sets")
+    equal = sets.where("n > 1").select("digest", F.col("r.id").alias("b"))
+    links = materialize(keyed.select(F.col("id").alias("a"), "digest").join(equal, "digest").where("a <> b").select("a", "b"), "near-equal")
+    rows = sets.select(F.explode("r.keys").alias("key"), "r.id", "r.size", "r.sketch")
+
+    one = F.struct("id", "size", "sketch")
+    firsts = rows.groupBy("key").agg(F.min(one).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = rows.select("key", one.alias("x")).join(firsts, "key").where(F.col("x.id") != F.col("y.id"))
+    tested = materialize(held.where(_may_be_similar_rows("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "near-pairs")
+    links = links.unionByName(similar_pairs(tagged, tested))
+    most = PARTNERS
+    while True:
+        labels = components(links, "near-components")
+        labelled = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "size", "sketch", F.coalesce("root", "id").alias("label"))
+        found = materialize(partners(labelled, most), "near-partners")
+        fresh = materialize(found.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if not fresh.isEmpty():
+            links = links.unionByName(similar_pairs(tagged, fresh))
+            tested = tested.unionByName(fresh)
+        if found.where("a IS NULL").isEmpty():
+            return labels if fresh.isEmpty() else components(links, "near-components")
+        most *= 4
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs where it is a plain scan of files, whose row ids come out alike in every run; else written once."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return docs if plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation") else materialize(docs, "near-input")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group of near-duplicates the smallest doc_id. docs must be a stable scan."""
+    """The rows of docs that stay, with all their columns: of each group of near-duplicates the smallest doc_id."""
     key = "__near_row_id"
-    tagged = docs.withColumn(key, F.monotonically_increasing_id())
+    tagged = stable(docs).withColumn(key, F.monotonically_increasing_id())
     groups = materialize(near_duplicates(tagged.select(F.col(key).alias("id"), "text")), "near-members")
-    members = groups.join(tagged.select(F.col(key).alias("node"), "doc_id"), "node")
+    members = tagged.select(F.col(key).alias("node"), "doc_id").join(small(groups), "node")
     stays = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("stay"))
     lost = members.join(stays, "root").where(F.col("node") != F.col("stay.node")).select(F.col("node").alias(key))
     return without(tagged, materialize(lost, "near-lost"), key).drop(key)

@@ -32,3 +32,55 @@ def test_bound_leaves_out_no_similar_pair():
             assert may or not similar
             left_out += not may
     assert left_out >= 8  # and it does leave pairs out
+
+
+def test_rounds_lose_no_link(spark, monkeypatch):
+    """Small chunks and few partners at a time: components equal those of all pairs of the whole table."""
+    monkeypatch.setattr(simhash, "CHECKED", 5)
+    monkeypatch.setattr(simhash, "COMPARED", 8)
+    monkeypatch.setattr(simhash, "PARTNERS", 1)
+    rng = np.random.default_rng(9)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = rng.choice(vocab, 200).tolist()
+    rows = []
+    for k in range(240):  # versions of one text that drift apart: similar to some of the others only
+        if k % 3 == 0:
+            base = list(base)
+            for at in rng.integers(0, 200, 6):
+                base[at] = vocab[int(rng.integers(0, 3000))]
+        t = list(base)
+        for at in rng.integers(0, 200, int(rng.integers(0, 4))):
+            t[at] = "x"
+        rows.append((k, " ".join(t)))
+    docs = materialize(spark.createDataFrame(rows, "id long, text string").repartition(3), "test-near")
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    want = list(range(len(rows)))
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if simhash.are_similar(sets[i], sets[j]):
+                links += 1
+                x, y = want[i], want[j]
+                want = [min(x, y) if v in (x, y) else v for v in want]
+    got = dict(map(tuple, simhash.near_duplicates(docs).collect()))
+    assert links > 150 and 1 < len(set(want)) < 200
+    assert [got.get(k, k) for k in range(len(rows))] == want
+
+
+def test_recall_against_all_pairs_on_documents(spark):
+    """Pairs of the test documents that are similar by brute force over shared shingles, and those in one group."""
+    from pathlib import Path
+
+    import pytest
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id AS id", "text")
+    rows = sorted(docs.collect())
+    sets = {r.id: np.unique(simhash.shingle_hashes(r.text, 5)) for r in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if simhash.are_similar(sets[a], sets[b])]
+    got = dict(map(tuple, simhash.near_duplicates(materialize(docs, "test-near")).collect()))
+    found = sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in pairs)
+    assert pairs and found >= 0.99 * len(pairs)
