@@ -6,16 +6,40 @@ _W = r"[^\x20\x09-\x0D]+"
 _S = r"[\x20\x09-\x0D]+"
 
 
-def _line_fails(line: str) -> str:
-    q = lambda p: "'" + p.replace("'", "''") + "'"
-    some = " OR ".join(f"regexp_matches({line}, {q(p)})" for p in (Q.NAVIGATION, Q.SHOUTING, Q.NOISE, Q.BOILERPLATE))
-    return f"({some} OR (regexp_matches({line}, {q(Q.LONG_LINE)}) AND len(regexp_split_to_array(trim({line}, ' '), '{_S}')) >= {Q.LONG_LINE_WORDS}))"
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _count(line: str, chars: str) -> str:
+    return f"(length({line}) - length(translate({line}, {_q(chars)}, '')))"
+
+
+def _is_open(line: str) -> str:
+    return f"(right(rtrim({line}, {_q(Q.CLOSING)}), 1) NOT IN ({', '.join(map(_q, Q.ENDS))}))"
+
+
+def _line_fails(t: str, following: str, in_menu: str) -> str:
+    """t: a trimmed line."""
+    words, seps, exclaimed = f"({_count(t, ' ' + chr(9))} + 1)", _count(t, Q.SEPARATORS), _count(t, Q.EXCLAMATIONS)
+    letters = f"(length({t}) - {_count(t, ' ' + chr(9))})"
+    c = f"left(trim({following}, ' '), 1)"
+    phrases = " OR ".join(f"contains(lower({t}), {_q(p)})" for p in Q.BOILERPLATE)
+    return f"""(({words} >= {Q.OPEN_WORDS} AND {_is_open(t)} AND NOT coalesce({c} = lower({c}) AND {c} <> upper({c}), false))
+      OR ({seps} >= 2 AND {words} <= {Q.ITEM_WORDS} * ({seps} + 1) + {seps}) OR 100 * {_count(t, Q.MARKS)} > {Q.MAX_MARK_PERCENT} * {letters}
+      OR ({exclaimed} >= 3 AND 4 * {exclaimed} >= {words}) OR ({words} >= 3 AND 2 * {_count(t, Q.CAPITALS)} > {letters})
+      OR ({words} <= {Q.BOILERPLATE_WORDS} AND ({phrases})) OR ({in_menu} AND {words} <= {Q.SHORT_WORDS} AND {_is_open(t)}))"""
 
 
 OP7 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS ls FROM d),
+sep AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+nx AS (SELECT doc_id, x, trim(x, ' ') AS y, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM sep),
+lines_ AS (SELECT *, count(*) FILTER ({_count('y', ' ' + chr(9))} + 1 <= {Q.SHORT_WORDS} AND {_is_open('y')}) OVER (PARTITION BY doc_id) AS menu,
+           count(*) OVER (PARTITION BY doc_id) AS n FROM nx WHERE regexp_matches(x, '{_W}')),
+lost AS (SELECT doc_id, sum(length(x))::BIGINT AS line_chars, coalesce(sum(length(x)) FILTER ({_line_fails('y', 'following', f'(menu >= {Q.MENU_LINES} AND 2 * menu > n)')}), 0)::BIGINT AS lost_chars
+         FROM lines_ GROUP BY 1),
 win AS (SELECT doc_id, u.i AS i, array_to_string(ws[u.i:u.i + {Q.WINDOW - 1}], ' ') AS k
         FROM w, unnest(range(1, len(ws) - {Q.WINDOW - 2})) AS u(i)),
 dup AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win),
@@ -23,9 +47,8 @@ rep AS (SELECT doc_id, count(DISTINCT i + s.o) AS n FROM dup, range({Q.WINDOW})
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{_S}', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(translate(t, '{Q.SYMBOLS}', '')))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-        coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0)::BIGINT AS line_chars,
-        coalesce(list_sum(list_transform(list_filter(ls, lambda x: {_line_fails('x')}), lambda x: length(x))), 0)::BIGINT AS lost_chars
-      FROM w LEFT JOIN rep USING (doc_id))
+        coalesce(line_chars, 0) AS line_chars, coalesce(lost_chars, 0) AS lost_chars
+      FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
   NOT (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words)

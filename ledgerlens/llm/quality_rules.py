@@ -1,11 +1,14 @@
 """Line-first quality rules, as Column expressions only: no Python runs per row and nothing is shuffled.
 
-Each line is judged on its own (navigation, shouting, symbol noise, boilerplate, missing end punctuation);
-failing lines are removed; a document that loses more than MAX_LOSS of its characters is rejected. Base
-counts reject documents that are too short or that mostly repeat themselves.
+Each line is judged by ratios, in any language: a line of several words without end punctuation that the next
+line doesn't go on with, short items between separators, mostly symbols, mostly capitals, exclamation marks
+every few words, boilerplate phrases in a short line, and short unpunctuated lines where most of a text's lines
+are such (menus). Failing lines are removed; a document that loses more than MAX_LOSS_PERCENT of its characters
+is rejected. Base counts reject documents that are too short or that mostly repeat themselves.
 
 Cases: a null text has no words and is rejected like an empty one; other columns may be null, repeated or
 carry any name. Lengths count code points. Equal rows get equal results. An empty table gives an empty one.
+Very long texts: windows of words are told apart by their words, not by hashes alone.
 """
 
 from __future__ import annotations
@@ -22,79 +25,158 @@ MAX_LOSS_PERCENT = 50
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
-#: Line rules: fixed patterns, written so that Java's and RE2's regular expressions agree.
-NAVIGATION = r"(^|[^|])\|([^|]+\|){2}"
-SHOUTING = r"!![\x20\x09-\x0D]+[^\x20\x09-\x0D]+!![\x20\x09-\x0D]+[^\x20\x09-\x0D]+!!"
-NOISE = r"([#*$%&]{3}[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){3}"
-BOILERPLATE = r"(?i)(all rights reserved|cookie policy|terms of (use|service)|privacy policy|subscribe to our|click here to)"
-#: A line of this many words or more has to hold some sentence punctuation.
-LONG_LINE = r"^[^.!?;:…。！？]*$"
-LONG_LINE_WORDS = 30
-
-
-def line_fails(line: Column) -> Column:
-    words = F.size(F.split(F.trim(line), SPACE))
+#: Marks that end a sentence, and what may follow them.
+ENDS = (".", "!", "?", "…", ":", ";", ",", "-", "。", "！", "？", "」")
+CLOSING = "\"')»”’] "
+#: A line of this many words or more needs end punctuation, or a next line that goes on in lower case.
+OPEN_WORDS = 12
+#: Separators of navigation items, and the words an item has at most on average.
+SEPARATORS = "|»›·•>"
+ITEM_WORDS = 4
+#: Characters that hardly stand in prose; a line fails with more of them than this percentage of its letters.
+MARKS = "#*$%&<>|~^_=+\\{}[]@"
+MAX_MARK_PERCENT = 10
+EXCLAMATIONS = "!¡"
+CAPITALS = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
+#: Lines of at most this many words without end punctuation are menu lines where they are MENU_LINES or more and the most of a text's lines.
+SHORT_WORDS, MENU_LINES = 4, 4
+#: Phrases of site furniture; a line of at most BOILERPLATE_WORDS words with one fails.
+BOILERPLATE_WORDS = 25
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "subscribe to our", "click here", "sign up for",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "hier klicken",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "haga clic",
+)
+
+
+def _count(line: Column, chars: str) -> Column:
+    return F.length(line) - F.length(F.translate(line, chars, ""))
+
+
+def _words(line: Column) -> Column:
+    """Words of a trimmed line, as its blanks and one."""
+    return _count(line, " \t") + 1
+
+
+def _is_open(line: Column) -> Column:
+    return ~F.substring(F.rtrim(line, F.lit(CLOSING)), -1, 1).isin(*ENDS)
+
+
+def _goes_on(following: Column) -> Column:
+    """Whether a line starts with a lower-case letter; false where there is none."""
+    c = F.substring(F.trim(following), 1, 1)
+    return F.coalesce((c == F.lower(c)) & (c != F.upper(c)), F.lit(False))
+
+
+def is_menu_line(line: Column) -> Column:
+    line = F.trim(line)
+    return (_words(line) <= SHORT_WORDS) & _is_open(line)
+
+
+def line_fails(line: Column, following: Column, in_menu: Column) -> Column:
+    """in_menu: whether the text's short open lines are a menu."""
+    line = F.trim(line)
+    words, letters, seps = _words(line), _count(line, " \t"), _count(line, SEPARATORS)
+    letters = F.length(line) - letters
+    odd = _count(line, MARKS + SEPARATORS + EXCLAMATIONS) > 0
+    exclaimed = _count(line, EXCLAMATIONS)
+    boilerplate = F.lit(False)
+    for phrase in BOILERPLATE:
+        boilerplate |= F.contains(F.lower(line), F.lit(phrase))
     return (
-        line.rlike(NAVIGATION)
-        | line.rlike(SHOUTING)
-        | line.rlike(NOISE)
-        | line.rlike(BOILERPLATE)
-        | (line.rlike(LONG_LINE) & (words >= LONG_LINE_WORDS))
+        ((words >= OPEN_WORDS) & _is_open(line) & ~_goes_on(following))
+        | (odd & ((seps >= 2) & (words <= ITEM_WORDS * (seps + 1) + seps) | (100 * _count(line, MARKS) > MAX_MARK_PERCENT * letters) | (exclaimed >= 3) & (4 * exclaimed >= words)))
+        | ((words >= 3) & (2 * _count(line, CAPITALS) > letters))
+        | ((words <= BOILERPLATE_WORDS) & boilerplate)
+        | (in_menu & (words <= SHORT_WORDS) & _is_open(line))
     )
 
 
+def _is_blank(line: Column) -> Column:
+    return F.length(F.translate(line, " \t\x0b\x0c\r", "")) == 0
+
+
+def failing(lines: Column) -> Column:
+    """Whether each of an array of lines fails; blank ones don't."""
+    blank = F.size(F.filter(lines, _is_blank))
+    menu = F.size(F.filter(lines, lambda x: ~_is_blank(x) & is_menu_line(x)))
+    is_menu = (menu >= MENU_LINES) & (2 * menu > F.size(lines) - blank)
+    return _let(is_menu, lambda m: F.transform(lines, lambda x, i: ~_is_blank(x) & line_fails(x, F.get(lines, i + 1), m)))
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Hash of a window's words; equal hashes are compared word by word.
+window_hash = F.xxhash64
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside WINDOW-word windows that occur at least twice in the array, first occurrence included.
 
     Each window's 64-bit hash keeps its high bits and takes its position in the low ones, as many as the
-    word count needs; one primitive sort then brings equal windows together in position order.
+    word count needs; one primitive sort then brings equal windows together in position order. Where windows
+    of equal hashes differ in their words, the text's windows are sorted by their words instead.
     """
     bits = F.length(F.bin(F.size(words).cast("long")))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     n = F.size(words) - WINDOW + 1
+    each = F.sequence(F.lit(0), n - 1)
 
     def packed(i: Column) -> Column:
-        h = F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+        h = window_hash(*[F.get(words, i + k) for k in range(WINDOW)])
         return F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))
 
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), packed))
+    def high(x: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x, bits)
 
-    def covered(s: Column) -> Column:
-        same = lambda a, b: F.call_function("shiftrightunsigned", a, bits) == F.call_function("shiftrightunsigned", b, bits)
-        twice = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
-        at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+    def window(x: Column) -> Column:
+        return F.slice(words, x.bitwiseAND(mask).cast("int") + 1, WINDOW)
+
+    def twice(s: Column, same) -> Column:
+        return F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
+
+    def covered(positions: Column) -> Column:
+        at = F.sort_array(positions)
         return _let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    return F.when(n < 2, F.lit(0).cast("long")).otherwise(_let(windows, covered))
+    def by_words() -> Column:
+        rows = F.array_sort(F.transform(each, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.cast("long").alias("i"))))
+        return _let(rows, lambda s: covered(F.transform(twice(s, lambda a, b: a["w"] == b["w"]), lambda x: x["i"])))
+
+    def by_hash(t: Column) -> Column:
+        mixed = F.exists(F.transform(t, lambda x, i: F.coalesce((high(x) == high(F.get(t, i + 1))) & (window(x) != window(F.get(t, i + 1))), F.lit(False))), lambda x: x)
+        return F.when(mixed, by_words()).otherwise(covered(F.transform(t, lambda x: x.bitwiseAND(mask))))
+
+    hits = _let(F.sort_array(F.transform(each, packed)), lambda s: twice(s, lambda a, b: high(a) == high(b)))
+    return F.when(n < 2, F.lit(0).cast("long")).otherwise(_let(hits, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(by_hash(t))))
 
 
 def measures(text: Column) -> Column:
     """Struct of the base counts and of the line rules' loss for one text."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     on_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), total(w).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
-    on_lines = _let(
-        lines,
-        lambda a: F.struct(
-            (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-            total(a).alias("line_chars"),
-            total(F.filter(a, line_fails)).alias("lost_chars"),
-        ),
-    )
-    n_symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
-    return F.struct(on_words.alias("w"), on_lines.alias("l"), n_symbols.alias("n_symbols"))
+
+    def judged(a: Column) -> Column:
+        some = F.filter(a, lambda x: ~_is_blank(x))
+        return F.struct(
+            (F.size(some) - F.size(F.array_distinct(some))).cast("long").alias("n_dup_lines"),
+            total(some).alias("line_chars"),
+            _let(failing(a), lambda f: total(F.filter(a, lambda x, i: F.get(f, i)))).alias("lost_chars"),
+        )
+
+    n_symbols = _count(text, SYMBOLS).cast("long")
+    return F.struct(on_words.alias("w"), _let(F.split(text, "\n"), judged).alias("l"), n_symbols.alias("n_symbols"))
 
 
 def clean_text(text: Column) -> Column:
     """The text without its failing lines."""
-    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~line_fails(x)), "\n")
+    return _let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda a: _let(failing(a), lambda f: F.array_join(F.filter(a, lambda x, i: ~F.get(f, i)), "\n")))
 
 
 def _verdict(m: Column) -> tuple[Column, Column]:
