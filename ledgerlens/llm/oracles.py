@@ -24,7 +24,7 @@ def _line_fails(t: str, following: str, in_menu: str) -> str:
     letters = f"(length({t}) - {_count(t, ' ' + chr(9))})"
     c = f"left(trim({following}, ' '), 1)"
     phrases = " OR ".join(f"contains(lower({t}), {_q(p)})" for p in Q.BOILERPLATE)
-    return f"""(({words} >= {Q.OPEN_WORDS} AND {_is_open(t)} AND NOT coalesce({c} = lower({c}) AND {c} <> upper({c}), false))
+    return f"""(({words} >= {Q.OPEN_WORDS} AND {_is_open(t)} AND {Q.SENTENCE_WORDS} * {_count(t, Q.SENTENCE_ENDS)} < {words} AND NOT coalesce({c} = lower({c}) AND {c} <> upper({c}), false))
       OR ({seps} >= 2 AND {words} <= {Q.ITEM_WORDS} * ({seps} + 1) + {seps}) OR 100 * {_count(t, Q.MARKS)} > {Q.MAX_MARK_PERCENT} * {letters}
       OR ({exclaimed} >= 3 AND 4 * {exclaimed} >= {words}) OR ({words} >= 3 AND 2 * {_count(t, Q.CAPITALS)} > {letters})
       OR ({words} <= {Q.BOILERPLATE_WORDS} AND ({phrases})) OR ({in_menu} AND {words} <= {Q.SHORT_WORDS} AND {_is_open(t)}))"""

@@ -1,7 +1,7 @@
 """Line-first quality rules, as Column expressions only: no Python runs per row and nothing is shuffled.
 
-Each line is judged by ratios, in any language: a line of several words without end punctuation that the next
-line doesn't go on with, short items between separators, mostly symbols, mostly capitals, exclamation marks
+Each line is judged by ratios, in any language: a line of several words with hardly a sentence in it and without
+end punctuation, which the next line doesn't go on with, short items between separators, mostly symbols, mostly capitals, exclamation marks
 every few words, boilerplate phrases in a short line, and short unpunctuated lines where most of a text's lines
 are such (menus). Failing lines are removed; a document that loses more than MAX_LOSS_PERCENT of its characters
 is rejected. Base counts reject documents that are too short or that mostly repeat themselves.
@@ -28,8 +28,9 @@ SYMBOLS = "#*$%&|<>"
 #: Marks that end a sentence, and what may follow them.
 ENDS = (".", "!", "?", "…", ":", ";", ",", "-", "。", "！", "？", "」")
 CLOSING = "\"')»”’] "
-#: A line of this many words or more needs end punctuation, or a next line that goes on in lower case.
-OPEN_WORDS = 12
+#: A line of this many words or more needs end punctuation, a next line that goes on in lower case, or a sentence's end in every SENTENCE_WORDS words.
+OPEN_WORDS, SENTENCE_WORDS = 12, 30
+SENTENCE_ENDS = ".!?…。！？"
 #: Separators of navigation items, and the words an item has at most on average.
 SEPARATORS = "|»›·•>"
 ITEM_WORDS = 4
@@ -85,7 +86,7 @@ def line_fails(line: Column, following: Column, in_menu: Column) -> Column:
     for phrase in BOILERPLATE:
         boilerplate |= F.contains(F.lower(line), F.lit(phrase))
     return (
-        ((words >= OPEN_WORDS) & _is_open(line) & ~_goes_on(following))
+        ((words >= OPEN_WORDS) & _is_open(line) & (SENTENCE_WORDS * _count(line, SENTENCE_ENDS) < words) & ~_goes_on(following))
         | (odd & ((seps >= 2) & (words <= ITEM_WORDS * (seps + 1) + seps) | (100 * _count(line, MARKS) > MAX_MARK_PERCENT * letters) | (exclaimed >= 3) & (4 * exclaimed >= words)))
         | ((words >= 3) & (2 * _count(line, CAPITALS) > letters))
         | ((words <= BOILERPLATE_WORDS) & boilerplate)
