@@ -78,7 +78,7 @@ class Thresholds:
 #: CPV prefixes of the services that have higher limits (a list fixed by law).
 ANNEX2_PREFIXES = ("75", "80", "85", "92", "55", "791", "797", "7995", "7961", "7962", "641", "9800", "9812", "9813", "9820", "9850", "98513", "98514", "989")
 
-TIERS = {"late_publication": "violation", "annex_over_cap": "violation", "unplanned_spending": "violation", "missing_quantity": "opacity", "missing_value": "opacity", "price_unverifiable": "opacity", "near_threshold": "opacity", "missing_monthly_report": "opacity", "eu_funded_irregularity": "meta"}
+TIERS = {"late_publication": "violation", "annex_over_cap": "violation", "unplanned_spending": "violation", "missing_quantity": "opacity", "missing_value": "opacity", "price_unverifiable": "opacity", "near_threshold": "opacity", "missing_monthly_report": "opacity"}
 
 
 def tier_of(rule: str) -> str:

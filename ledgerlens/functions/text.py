@@ -5,18 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning for matching (our own short list).
-STOP_WORDS = ("and", "for", "from", "the", "this", "with", "на", "за", "от", "със", "при", "или", "град", "община")
-#: A cadastral identifier: settlement code, district, parcel and optional building parts.
-PARCEL = r"\d{5}\.\d{1,4}\.\d{1,4}(?:\.\d{1,4}){0,2}"
+# Words without meaning for matching, named places, the forms of parcel identifiers and streets.
+STOP_WORDS = tuple(
+    """
+    за на в от до и или по към при с със да не се като през тази този тези то ще е са бр
+    план плана планa проект проектиране изграждане основен ремонт текущ аварийно укрепване
+    реконструкция преустройство устройство устройството строеж строителство
+    на територията територия община общината общ гр град града с кв ул уpи упи м обект обекти
+    района район находящ представляващ разположен участък участъка част нов нова нови
+    сграда сградата сгради територия терена имот имота
+    достав доставка доставки услуга услуги монтаж демонтаж баланс избор изпълнител нуждите
+    нужди обособена обособени позиция позиции дейност дейности предмет брой броя вид видове
+    смр оп етап етапа
+    """.split()
+)
+PLACE_NAMES = ("свети", "влас", "равда", "обзор", "оризаре", "гюльовца", "кошарица", "баня", "тънково", "слънчев", "бряг", "русалка", "черно", "море", "раковсково", "паницово", "приселци")
+PARCEL = r"\d+(?:[.,]\d+){2,}"
+STREET = r"(?:^|[^\p{L}\p{N}_])(?:ул\.|улица)\s*[\"„]?\s*([a-zа-я]+)"
+_NO_WORD = r"[^a-zа-я]+"
+
+
+def _literals(words) -> Column:
+    return F.array(*map(F.lit, dict.fromkeys(words)))
+
+
+def _parcels(low: Column) -> Column:
+    return F.transform(F.regexp_extract_all(low, F.lit(f"({PARCEL})"), F.lit(1)), lambda p: F.concat(F.lit("CAD:"), p))
 
 
 def tokens(text: Column, stop_words=STOP_WORDS, min_length: int = 3) -> Column:
-    """Distinct lower-case words of at least min_length letters, and parcel identifiers as CAD:…"""
+    """Distinct lower-case words of at least min_length letters without stop words, and parcel identifiers as CAD:…"""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= min_length)
-    parcels = F.transform(F.regexp_extract_all(low, F.lit(f"({PARCEL})"), 1), lambda p: F.concat(F.lit("CAD:"), p))
-    return F.array_distinct(F.concat(F.array_except(words, F.array(*map(F.lit, stop_words))), parcels))
+    words = F.filter(F.split(F.regexp_replace(low, PARCEL, " "), _NO_WORD), lambda w: F.length(w) >= min_length)
+    return F.array_distinct(F.concat(F.array_except(words, _literals(stop_words)), _parcels(low)))
+
+
+def distinctive(text: Column, places=PLACE_NAMES, stop_words=STOP_WORDS) -> Column:
+    """Tokens that identify an object alone: parcels as CAD:…, places, streets as ST:…"""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = F.array_intersect(F.split(low, _NO_WORD), _literals(places))
+    streets = F.array_except(F.regexp_extract_all(low, F.lit(STREET), F.lit(1)), _literals(stop_words))
+    return F.array_distinct(F.concat(_parcels(low), named, F.transform(streets, lambda s: F.concat(F.lit("ST:"), s))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

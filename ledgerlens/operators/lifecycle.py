@@ -68,3 +68,53 @@ def replace_children(stored: DataFrame, incoming: DataFrame, parent: str) -> Dat
 def survivors(rows: DataFrame, valid: DataFrame, key: str) -> DataFrame:
     """What NOT IN leaves behind: rows whose key is valid, and rows without a key."""
     return rows.join(valid.select(key).distinct(), key, "left_semi").unionByName(rows.where(F.col(key).isNull()))
+
+
+def upsert_officials(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """stored (name, short_name, role, mandate, name_source_url, ...) with incoming laid over it.
+
+    A record is the same where, within role and mandate, the full names are equal or the short ones are (a
+    missing short name is the full one). A full name that was resolved is never replaced by a short one.
+    """
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    others = [c for c in incoming.columns if c not in ("name", "short_name", "role", "mandate", "name_source_url")]
+
+    def side(rows: DataFrame) -> DataFrame:
+        short = F.coalesce("short_name", "name")
+        return rows.withColumn("short_name", short).withColumn("__full", key(F.col("name"))).withColumn("__short", key(short))
+
+    s, i = side(stored).withColumn("__sid", F.struct("role", "mandate", "__full")), side(incoming)
+    on = lambda c: (F.col("s.role").eqNullSafe(F.col("i.role"))) & (F.col("s.mandate").eqNullSafe(F.col("i.mandate"))) & (F.col(f"s.{c}") == F.col(f"i.{c}"))
+    pairs = [s.alias("s").join(i.alias("i"), on(c)).select(F.col("s.__sid").alias("sid"), F.struct("i.*").alias("i"), F.lit(k).alias("k")) for k, c in enumerate(("__full", "__short"))]
+    best = pairs[0].unionByName(pairs[1]).groupBy("sid").agg(F.min_by("i", "k").alias("i"))
+    hits = best.select("i.*").alias("h")
+    same = F.col("n.role").eqNullSafe(F.col("h.role")) & F.col("n.mandate").eqNullSafe(F.col("h.mandate")) & (F.col("n.__full") == F.col("h.__full"))
+    new = i.alias("n").join(hits, same, "left_anti")
+    met = s.join(best, s["__sid"] == best["sid"], "left")
+    hit, resolved, enriched = F.col("i").isNotNull(), F.col("i.__full") != F.col("i.__short"), F.col("__full") != F.col("__short")
+    rename = hit & (resolved | ~enriched)
+    kept = met.select(
+        F.when(rename, F.col("i.name")).otherwise(F.col("name")).alias("name"),
+        F.when(hit, F.col("i.short_name")).otherwise(F.col("short_name")).alias("short_name"),
+        "role",
+        "mandate",
+        F.when(hit & resolved, F.col("i.name_source_url")).otherwise(F.col("name_source_url")).alias("name_source_url"),
+        *[F.when(hit, F.col(f"i.{c}")).otherwise(F.col(c)).alias(c) for c in others],
+    )
+    url = F.when(F.col("__full") != F.col("__short"), F.col("name_source_url")).alias("name_source_url")
+    return kept.unionByName(new.select("name", "short_name", "role", "mandate", url, *others))
+
+
+def upsert_reports(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """stored (url, period, kind, period_source, kind_source, heading_period, file_path, fetched_at) with incoming (url, period, kind, file_path, fetched_at).
+
+    A period or kind that was read from the file's content (source 'content') survives; the period that the
+    site gives then goes to heading_period.
+    """
+    s, i = stored.withColumn("__old", F.lit(True)).alias("s"), incoming.withColumn("__new", F.lit(True)).alias("i")
+    old, given = F.col("s.__old").isNotNull(), F.col("i.__new").isNotNull()
+    locked = {c: F.coalesce(F.col(f"s.{c}_source") == "content", F.lit(False)) for c in ("period", "kind")}
+    field = lambda c: F.when(old & locked[c], F.col(f"s.{c}")).otherwise(F.coalesce(f"i.{c}", f"s.{c}")).alias(c)
+    fresh = lambda c: F.coalesce(f"i.{c}", f"s.{c}").alias(c)
+    heading = F.when(old & given & locked["period"] & F.col("i.period").isNotNull(), F.col("i.period")).otherwise(F.col("s.heading_period")).alias("heading_period")
+    return s.join(i, F.col("s.url") == F.col("i.url"), "full_outer").select(F.coalesce("s.url", "i.url").alias("url"), field("period"), field("kind"), "s.period_source", "s.kind_source", heading, fresh("file_path"), fresh("fetched_at"))

@@ -61,23 +61,43 @@ def greedy_one_to_one(left: DataFrame, right: DataFrame, key: str, left_schema:
     return episodes(both, "k", "at", reach).groupBy("k", "episode").applyInPandas(match, "left_id long, right_id long")
 
 
+def _rare_first(tokens: DataFrame, frequency: DataFrame, key: str, min_jaccard: float) -> DataFrame:
+    """The tokens (key, token, n) of each set that a set with an overlap of min_jaccard can't all miss: its rarest ones."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "token"))
+    needed = F.col("n") - F.ceil(F.lit(min_jaccard) * F.col("n") - 1e-9) + 1
+    return tokens.join(frequency, "token").withColumn("__rank", rank).where(F.col("__rank") <= needed).select(key, "token")
+
+
 def best_match(objects: DataFrame, candidates: DataFrame, *, min_jaccard: float = 0.35, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """objects (object_id, text, size) with their best candidates (candidate_id, text, size): best_id and jaccard.
 
-    The size ratio has to lie in [low, high] and the token sets have to overlap by min_jaccard. Pairs come
-    from shared tokens and from bands of the sizes' logarithm (own and neighbouring), never from a cross join.
+    The ratio of the sizes has to lie in [low, high], and the token sets have to overlap by min_jaccard or to
+    share a distinctive token (a parcel, a place, a street). The largest overlap wins, then the smallest id.
+    Pairs come from the rarest tokens of both sides, as many as the overlap can't all miss, and from shared
+    distinctive tokens, within bands of the sizes' logarithm; ids travel alone, token sets join the pairs.
     """
-    band = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1)).cast("double"))).cast("int")
+    band = lambda c: F.floor(F.log2(F.col(c).cast("double"))).cast("int")
     reach = range(math.floor(math.log2(low)), math.ceil(math.log2(high)) + 1)
-    o = objects.select("object_id", X.tokens(F.col("text")).alias("ot"), F.col("size").alias("os")).where("os > 0")
-    c = candidates.select("candidate_id", X.tokens(F.col("text")).alias("ct"), F.col("size").alias("cs")).where("cs > 0")
-    keyed_o = o.withColumn("token", F.explode("ot")).withColumn("band", band("os"))
-    keyed_c = c.withColumn("token", F.explode("ct")).withColumn("band", F.explode(F.array(*[band("cs") - k for k in reach])))
-    shared = keyed_o.join(keyed_c, ["token", "band"]).where((F.col("cs") >= F.lit(low) * F.col("os")) & (F.col("cs") <= F.lit(high) * F.col("os")))
-    both = shared.groupBy("object_id", "candidate_id").agg(F.count(F.lit(1)).alias("both"), F.first(F.size("ot") + F.size("ct")).alias("sizes"))
-    scored = both.withColumn("jaccard", F.col("both") / (F.col("sizes") - F.col("both"))).where(F.col("jaccard") >= min_jaccard)
-    best = F.row_number().over(Window.partitionBy("object_id").orderBy(F.desc("jaccard"), "candidate_id"))
-    return scored.withColumn("__best", best).where("__best = 1").select("object_id", F.col("candidate_id").alias("best_id"), "jaccard")
+
+    def side(rows: DataFrame, key: str) -> DataFrame:
+        return rows.where("size > 0").select(key, F.col("size").cast("double").alias("size"), X.tokens(F.col("text")).alias("tokens"), X.distinctive(F.col("text")).alias("marks"))
+
+    o, c = side(objects, "object_id"), side(candidates, "candidate_id")
+    bands = lambda c: F.array(*[(c + k) for k in reach])
+    o_size = o.select("object_id", F.col("size").alias("os"), band("size").alias("band"))
+    c_size = c.select("candidate_id", F.col("size").alias("cs"), F.explode(bands(band("size"))).alias("band"))
+    each = lambda rows, key: rows.select(key, F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
+    ot, ct = each(o, "object_id"), each(c, "candidate_id")
+    frequency = ot.select("token").unionByName(ct.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    marks = lambda rows, key: rows.select(key, F.explode("marks").alias("token"))
+    keyed_o = _rare_first(ot, frequency, "object_id", min_jaccard).select("object_id", "token", F.lit(0).alias("kind")).unionByName(marks(o, "object_id").select("object_id", "token", F.lit(1).alias("kind")))
+    keyed_c = _rare_first(ct, frequency, "candidate_id", min_jaccard).select("candidate_id", "token", F.lit(0).alias("kind")).unionByName(marks(c, "candidate_id").select("candidate_id", "token", F.lit(1).alias("kind")))
+    met = keyed_o.join(o_size, "object_id").join(keyed_c.join(c_size, "candidate_id"), ["kind", "token", "band"])
+    pairs = met.where((F.col("os") >= F.lit(low) * F.col("cs")) & (F.col("os") <= F.lit(high) * F.col("cs"))).groupBy("object_id", "candidate_id").agg(F.max("kind").alias("marked"))
+    both = pairs.join(o.select("object_id", F.col("tokens").alias("a")), "object_id").join(c.select("candidate_id", F.col("tokens").alias("b")), "candidate_id")
+    scored = both.select("object_id", "candidate_id", "marked", X.jaccard(F.col("a"), F.col("b")).alias("jaccard")).where((F.col("jaccard") >= min_jaccard) | (F.col("marked") == 1))
+    best = scored.groupBy("object_id").agg(F.min(F.struct((-F.col("jaccard")).alias("score"), "candidate_id")).alias("best"))
+    return best.select("object_id", F.col("best.candidate_id").alias("best_id"), (-F.col("best.score")).alias("jaccard"))
 
 
 def unmatched(objects: DataFrame, matches: DataFrame, key: str = "object_id") -> DataFrame:

@@ -38,6 +38,36 @@ def lookup_keys(ids: Column) -> Column:
     return F.array_distinct(F.transform(ids, lambda i: F.regexp_extract(i, r"^(\d+\.\d+\.\d+)", 1)))
 
 
+def settlements(text: Column, aliases: Sequence[tuple[str, str]], ekatte: dict[str, str] | None = None, municipal: str | None = None, before: Sequence[str] = ("община", "общ.")) -> Column:
+    """Keys of the settlements that a text names, by first position: (key, alias) names as whole words in any case, dots and blanks optional, and parcels by their settlement code.
+
+    The alias municipal doesn't count right after the words of before: there it names the municipality.
+    """
+    loose = lambda a: "".join(r"\.?\s*" if c == "." else r"\s*" if c.isspace() else c if c.isalnum() else "\\" + c for c in a)
+    bare = lambda a: "".join(c for c in a.lower() if c != "." and not c.isspace())
+    not_after = "".join(rf"(?<!{loose(w).replace('*', '{0,9}')}\s{{0,9}})" for w in before)
+    names = [(not_after if a == municipal else "") + loose(a) for _, a in sorted(aliases, key=lambda x: (-len(x[1]), x))]
+    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join([*names, r'\d{5}(?=\.\d{1,4}\.\d{1,5})'])})(?![\p{{L}}\p{{N}}_])"
+    known = {bare(a): k for k, a in reversed(list(aliases))} | (ekatte or {})
+    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    return F.array_distinct(F.array_compact(F.transform(found, lambda x: F.try_element_at(lookup, F.regexp_replace(F.lower(x), r"[.\s]+", "")))))
+
+
+def object_settlements(name: Column, *args, **kwargs) -> Column:
+    """Settlements of a budget object's name: the one that stands alone after the last comma first, then by position."""
+    found, tail = settlements(name, *args, **kwargs), settlements(F.when(F.contains(name, F.lit(",")), F.substring_index(name, ",", -1)), *args, **kwargs)
+    return F.when(F.size(tail) == 1, F.array_distinct(F.concat(tail, found))).otherwise(found)
+
+
+def referenced(parcels: DataFrame, ids: DataFrame, street_keys: DataFrame, street_types: Sequence[str]) -> DataFrame:
+    """Parcels whose number is in ids (cadnum), and street parcels of a named street (ekatte, street_key)."""
+    by_id = parcels.join(ids.select("cadnum").distinct(), "cadnum", "left_semi")
+    keyed = parcels.where(F.col("usetype").isin(*street_types)).withColumn("street_key", street_key(F.col("street")))
+    by_street = keyed.join(street_keys.select("ekatte", "street_key").distinct(), ["ekatte", "street_key"], "left_semi").select(*parcels.columns)
+    return by_id.unionByName(by_street.join(ids.select("cadnum").distinct(), "cadnum", "left_anti").select(*parcels.columns))
+
+
 def streets(text: Column) -> Column:
     """Street names after their markers, in order; quoted names whole, others up to the first stop."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_STREET), F.lit(1))

@@ -8,7 +8,14 @@ from ..functions import text as X
 from ..operators import linking as L
 from .base import Tables, query
 
-_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 AND NOT list_contains(" + str(list(X.STOP_WORDS)) + ", w)))"
+_TOKENS = (
+    "list_distinct(list_concat(list_filter(regexp_split_to_array(regexp_replace(lower({c}), '" + X.PARCEL + "', ' ', 'g'), '[^a-zа-я]+'), lambda w: length(w) >= 3 AND NOT list_contains("
+    + str(list(X.STOP_WORDS)) + ", w)), list_transform(regexp_extract_all(lower({c}), '" + X.PARCEL + "'), lambda p: 'CAD:' || p)))"
+)
+_MARKS = (
+    "list_distinct(list_concat(list_transform(regexp_extract_all(lower({c}), '" + X.PARCEL + "'), lambda p: 'CAD:' || p), list_filter(regexp_split_to_array(lower({c}), '[^a-zа-я]+'), lambda w: list_contains("
+    + str(list(X.PLACE_NAMES)) + ", w)), list_transform(list_filter(regexp_extract_all(lower({c}), '" + X.STREET + "', 1), lambda s: NOT list_contains(" + str(list(X.STOP_WORDS)) + ", s)), lambda s: 'ST:' || s)))"
+)
 
 
 def _sized(df, key: str, name: str):
@@ -16,24 +23,24 @@ def _sized(df, key: str, name: str):
 
 
 def _documents(t: Tables):
-    return _sized(t.documents.where(F.col("lang") == "en"), "doc_id", "object_id")
+    return _sized(t.documents, "doc_id", "object_id")
 
 
 def _fuzzy(t: Tables):
-    return L.best_match(_documents(t), _sized(t.benchmark, "item_id", "candidate_id"), min_jaccard=0.1, low=0.25, high=2.0)
+    return L.best_match(_documents(t), _sized(t.benchmark, "item_id", "candidate_id"), min_jaccard=0.1, low=0.5, high=4.0)
 
 
 def fuzzy_best_match(t: Tables):
-    """Documents and the benchmark item that shares most of their tokens, at a length ratio within [0.25, 2]."""
+    """Documents and the benchmark item that shares most of their tokens, or a distinctive one, at a length ratio within [0.5, 4]."""
     return _fuzzy(t).select("object_id", "best_id", F.round("jaccard", 9).alias("jaccard"))
 
 
 _FUZZY = f"""
-d AS (SELECT doc_id, length(text) AS n, {_TOKENS.format(c="text")} AS ts FROM documents WHERE lang = 'en'),
-b AS (SELECT item_id, length(text) AS n, {_TOKENS.format(c="text")} AS ts FROM benchmark),
-p AS (SELECT doc_id, item_id, len(list_intersect(d.ts, b.ts)) AS k, len(d.ts) + len(b.ts) AS s FROM d JOIN b ON b.n >= 0.25 * d.n AND b.n <= 2 * d.n),
-m AS (SELECT doc_id AS object_id, item_id AS best_id, k / CAST(s - k AS DOUBLE) AS jaccard FROM p WHERE k > 0 AND k / CAST(s - k AS DOUBLE) >= 0.1
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k / CAST(s - k AS DOUBLE) DESC, item_id) = 1)"""
+d AS (SELECT doc_id, length(text) AS n, {_TOKENS.replace("{c}", "text")} AS ts, {_MARKS.replace("{c}", "text")} AS ms FROM documents WHERE length(text) > 0),
+b AS (SELECT item_id, length(text) AS n, {_TOKENS.replace("{c}", "text")} AS ts, {_MARKS.replace("{c}", "text")} AS ms FROM benchmark WHERE length(text) > 0),
+p AS (SELECT doc_id, item_id, len(list_intersect(d.ts, b.ts)) AS k, len(d.ts) + len(b.ts) AS s, len(list_intersect(d.ms, b.ms)) > 0 AS marked FROM d JOIN b ON d.n >= 0.5 * b.n AND d.n <= 4 * b.n),
+j AS (SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE k / CAST(s - k AS DOUBLE) END AS jaccard FROM p),
+m AS (SELECT doc_id AS object_id, item_id AS best_id, jaccard FROM j WHERE jaccard >= 0.1 OR marked QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) = 1)"""
 FUZZY = f"WITH {_FUZZY} SELECT object_id, best_id, round(jaccard, 9) AS jaccard FROM m"
 
 

@@ -70,7 +70,7 @@ def unmatched_spending(rows: DataFrame, view: DataFrame, t: Thresholds) -> DataF
 
 def missing_reports(reports: DataFrame, t: Thresholds, now: Column) -> DataFrame:
     """Months without a cash report, and years without a closing one; nothing where there are no reports at all."""
-    have = reports.where(F.col("kind").isin("B1", "B3")).select("period").distinct()
+    have = reports.where(F.upper("kind").isin("B1", "B3")).select("period").distinct()
     span = reports.limit(1).select(F.lit(f"{t.reports_from}-01").cast("date").alias("a"), F.add_months(F.trunc(now, "month"), -2).alias("z"))
     months = span.where("z >= a").select(F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("m")).select(F.date_format("m", "yyyy-MM").alias("period"))
     years = reports.limit(1).select(F.explode(F.sequence(F.lit(int(t.reports_from[:4])), F.year(now) - 1)).alias("y")).where(F.to_date(now) > F.make_date(F.col("y") + 1, F.lit(3), F.lit(31)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
@@ -17,9 +17,9 @@ def units(view: DataFrame, by_contractor: bool) -> DataFrame:
     """One unit per tender (and contractor): summed value, first day, attributes of the first row."""
     rows = with_regime(view.where("source = 'eop' AND signed AND tender IS NOT NULL"))
     keys = ["tender", "contractor"] if by_contractor else ["tender"]
-    first = F.min_by(F.struct("level", "category", "cpv_code", "contractor", "id", X.tokens(F.col("title")).alias("tokens")), "id").alias("f")
+    first = F.min_by(F.struct("level", "category", "cpv_code", "contractor", "id", X.tokens(F.col("title")).alias("tokens"), X.distinctive(F.col("title")).alias("marks")), "id").alias("f")
     out = rows.groupBy(*keys).agg(F.sum(money("eur")).cast("double").alias("value"), F.min("signed_on").alias("on"), first, F.sort_array(F.collect_list("subject")).alias("subjects"))
-    flat = out.select("value", F.datediff("on", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), "f.level", "f.category", "f.cpv_code", F.col("f.contractor").alias("contractor"), F.col("f.id").alias("unit_id"), "f.tokens", "subjects")
+    flat = out.select("value", F.datediff("on", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), "f.level", "f.category", "f.cpv_code", F.col("f.contractor").alias("contractor"), F.col("f.id").alias("unit_id"), "f.tokens", F.filter("f.marks", _one_object).alias("objects"), "subjects")
     return flat.where("category IS NOT NULL AND day IS NOT NULL AND level IS NOT NULL")
 
 
@@ -28,8 +28,9 @@ def _groups(rows: DataFrame, key: str, category: str, t: Thresholds, similar) ->
     return G.rolling_groups(rows.where(F.col("category") == category), key, "unit_id", "day", "value", bands=limits, level="level", days=t.splitting_days, min_members=t.splitting_min, renewal_gap=t.splitting_gap_days, similar=similar)
 
 
-def _objects(tokens) -> set:
-    return {x for x in tokens if x.startswith(("CAD:", "ST:"))}
+def _one_object(mark: Column) -> Column:
+    """Parcels and streets tell one building site from another; a place doesn't."""
+    return mark.startswith("CAD:") | mark.startswith("ST:")
 
 
 def _same_division(a, b) -> bool:
@@ -37,7 +38,7 @@ def _same_division(a, b) -> bool:
 
 
 def _same_place(a, b) -> bool:
-    return bool(_objects(a.tokens) & _objects(b.tokens))
+    return bool(set(a.objects) & set(b.objects))
 
 
 def _alike(a, b) -> bool:
