@@ -18,8 +18,8 @@ precedes them.
 Scoring. A worker maps the shards' files into memory, one map per order and shard, looks up a few million
 tokens at a time in sorted order (so that pages are read forward), and sums log10 probabilities per document.
 The folder has to be a file system that all workers mount: spark.checkpoint.dir with scheme file, or
-``folder``. Two n-grams of one hash count as one; among 10^13 n-grams a lookup meets another's with
-probability 10^-6.
+``folder``. Counting is exact; a lookup of an unseen n-gram meets another's count with a probability of about
+2 in 10^9, at any size of the model (32 bits behind an index of about eight hashes an entry).
 
 Cases: null and empty texts have one token, their end. A null doc_id counts as the text ''. Repeated rows
 are counted and scored like any other. Without training tokens every probability is uniform over one unseen
@@ -45,7 +45,7 @@ from .common import discard, materialize, new_path, shuffle_partitions
 
 ORDER = 3
 SLICE = 4 << 20  # bytes of text hashed at a time
-TOKENS = 3 << 20  # tokens counted at a time in a task
+TOKENS = 5 << 19  # tokens counted at a time in a task
 SHARDS = 8192  # at most
 SHARD_INPUT = 32 << 20  # input bytes per shard, or per range of a shard
 FREQUENT = 4096
@@ -164,6 +164,29 @@ def _open(path: str) -> list[dict[str, np.ndarray]]:
     return [{k: np.frombuffer(data, t, size, at) for k, (t, at, size) in s.items()} for s in json.loads(data[-8 - n : -8])]
 
 
+def _indexed(h: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes as 32 bits each behind an index of their leading bits, about eight hashes to an entry."""
+    lead = max(0, len(h).bit_length() - 4)
+    starts = np.searchsorted(h >> np.uint64(64 - lead) if lead else np.zeros(len(h), np.uint64), np.arange((1 << lead) + 1))
+    return {"starts": _smallest(starts), "tails": (h >> np.uint64(32 - lead)).astype(np.uint32)}
+
+
+def _places(segment: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, found) of hashes among the stored ones."""
+    starts, tails = segment["starts"], segment["tails"]
+    lead = len(starts).bit_length() - 1 if len(starts) > 2 else 0
+    entry = (h >> np.uint64(64 - lead) if lead else np.zeros(len(h), np.uint64)).astype(np.int64)
+    tail = (h >> np.uint64(32 - lead)).astype(np.uint32)
+    lo, hi = starts[entry].astype(np.int64), starts[entry + 1].astype(np.int64)
+    end = hi.copy()
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (tails[np.minimum(mid, len(tails) - 1)] < tail) & (mid < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    at = np.minimum(lo, len(tails) - 1)
+    return at, (lo < end) & (tails[at] == tail)
+
+
 def _narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
     """Counts in one byte each; those of 255 and more stand in a list of places and values."""
     big = np.flatnonzero(values >= 255)
@@ -212,18 +235,34 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
+def _sort_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """As few 64-bit keys as hold the columns, in their order, most significant first."""
+    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    keys, used = [], 64
+    for c, n in zip(columns, bits, strict=True):
+        if used + n > 64:
+            keys.append(c.astype(np.uint64))
+            used = n
+        else:
+            keys[-1] = keys[-1] << np.uint64(n) | c
+            used += n
+    return keys
+
+
 def _added_up(columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of columns, sorted, and the sums of their numbers."""
     if not len(columns[0]):
         return columns, numbers
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
+    keys = _sort_keys(columns)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], [np.add.reduceat(v[order], first) for v in numbers]
+    chosen = order[first]
+    return [c[chosen] for c in columns], [np.add.reduceat(v[order], first) for v in numbers]
 
 
 def _joined(blobs: list[bytes], n: int, m: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -273,9 +312,9 @@ class Layout:
         return part_of(by, self.shards) * self.spans + part_of(_mix(h), self.spans), h
 
     def send(self, columns: list[np.ndarray], numbers: list[np.ndarray]) -> pa.RecordBatch:
-        """Rows (distinct) as one blob for each shard and range."""
+        """Rows (distinct, sorted) as one blob for each shard and range."""
         place, _ = self.place(columns)
-        order = np.lexsort([*columns[::-1], place])
+        order = np.argsort(place.astype(np.uint16) if self.shards * self.spans <= 1 << 16 else place, kind="stable")
         columns, numbers, place = [c[order] for c in columns], [v[order] for v in numbers], place[order]
         cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
         return _rows([(int(place[a]) // self.spans, int(place[a]) % self.spans, _pack([c[a:b] for c in columns], [_smallest(v[a:b]) for v in numbers])) for a, b in zip(cuts, cuts[1:], strict=False)])
@@ -333,7 +372,8 @@ class LanguageModel:
     def _find(self, kind: str, place: np.ndarray, keys: np.ndarray, spans: int, values: tuple[str, ...]) -> list[np.ndarray]:
         """The values of keys at their places; zero where a key is absent. Ids are one more than stored."""
         out = [np.zeros(len(keys), np.int64) for _ in values]
-        order = np.lexsort((keys, place))
+        width = np.uint64(max(1, (self.layout.shards * spans).bit_length()))
+        order = np.argsort(place.astype(np.uint64) << (np.uint64(64) - width) | keys >> width)
         place, keys = place[order], keys[order]
         cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
         for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -341,13 +381,12 @@ class LanguageModel:
             if shard not in self.have[kind]:
                 continue
             segment = self._segments(f"{kind}-{shard}")[span]
-            stored = segment["keys"]
-            if not len(stored):
+            if not len(segment["tails"]):
                 continue
-            at = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
-            hit = stored[at] == keys[lo:hi]
+            at, hit = _places(segment, keys[lo:hi])
+            where, at = order[lo:hi][hit], at[hit]
             for o, v in zip(out, values, strict=True):
-                o[order[lo:hi][hit]] = segment["ids"][at[hit]].astype(np.int64) + 1 if v == "ids" else _wide(segment, v, at[hit])
+                o[where] = segment["ids"][at].astype(np.int64) + 1 if v == "ids" else _wide(segment, v, at)
         return out
 
     def ids(self, words: np.ndarray, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -366,17 +405,23 @@ class LanguageModel:
         ids, count = self.ids(words)
         base = np.log10((count + 1) / (self.tokens + self.layout.words + 1))
         columns = windows(ids, sizes, self.order, self.layout.words)
+        starts = np.cumsum(sizes) - sizes
         p = np.full(len(ids), 1 / (self.layout.words + 1))
+        context: list[np.ndarray] = []
         for n in range(1, self.order + 1):
-            own = columns[self.order - n :]
-            (c,) = self._numbers(own, ("count",))
+            c, *own = self._numbers(columns[self.order - n :], NUMBERS if n < self.order else NUMBERS[:1])
             left = np.maximum(c - _discount(c, self.discounts[n - 1]), 0)
             if n == 1:
                 p = (left + self.base_rest * p) / self.base_tokens if self.base_tokens else p
-                continue
-            tokens, once, twice, more = self._numbers(own[:-1], NUMBERS[1:])
-            d1, d2, d3 = self.discounts[n - 1]
-            p = np.where(tokens > 0, (left + (d1 * once + d2 * twice + d3 * more) * p) / np.maximum(tokens, 1), p)
+            else:
+                tokens, once, twice, more = context
+                d1, d2, d3 = self.discounts[n - 1]
+                p = np.where(tokens > 0, (left + (d1 * once + d2 * twice + d3 * more) * p) / np.maximum(tokens, 1), p)
+            if n < self.order:  # a token's context is the n-gram that ends one token earlier, or what precedes a text
+                first = self._numbers([np.full(1, self.layout.words, ids.dtype)] * n, NUMBERS[1:])
+                context = [np.concatenate([f, v[:-1]]) for f, v in zip(first, own, strict=True)]
+                for f, v in zip(first, context, strict=True):
+                    v[starts] = f
         return np.log10(p), base, count > 0
 
 
@@ -444,7 +489,7 @@ def _vocabulary(texts: DataFrame, folder: str, layout: Layout) -> tuple[Layout,
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes[k]) - sizes[k], sizes[k])
                 ids = place + first[k][power]
-                _save(folder, f"words-{shards[k]}", [{"keys": s["keys"], "ids": _smallest(ids), **_narrow("count", s["count"])}])
+                _save(folder, f"words-{shards[k]}", [{**_indexed(s["keys"]), "ids": _smallest(ids), **_narrow("count", s["count"])}])
             yield pa.RecordBatch.from_arrays([b.column("id")], ["id"])
 
     counted = materialize(_dealt(texts.mapInArrow(count, BLOB), one).mapInArrow(add_up, TAGGED).select("stats"), "word-counts")
@@ -510,14 +555,14 @@ def fit(docs: DataFrame, train: Column, folder: str | None = None, order: int =
         names = NUMBERS[:1] if n == order else NUMBERS
 
         def run(batches):
-            none = {"keys": np.empty(0, np.uint64)} | {k: v for name in names for k, v in _narrow(name, np.empty(0, np.int64)).items()}
+            none = _indexed(np.empty(0, np.uint64)) | {k: v for name in names for k, v in _narrow(name, np.empty(0, np.int64)).items()}
             for shard, ranges in groupby(_by_place(batches), lambda x: x[0]):
                 segments, stats = [none] * layout.spans, np.zeros(6, np.int64)
                 for _, span, blobs in ranges:
                     columns, numbers = _added_up(*_joined(blobs, n, len(names)))
                     _, h = layout.place(columns)
                     by_hash = np.argsort(h)
-                    segments[span] = {"keys": h[by_hash]}
+                    segments[span] = _indexed(h[by_hash])
                     for name, v in zip(names, numbers, strict=True):
                         segments[span] |= _narrow(name, v[by_hash])
                     stats += _count_of_counts(numbers[0])
