@@ -14,19 +14,27 @@ def _count(line: str, chars: str) -> str:
     return f"(length({line}) - length(translate({line}, {_q(chars)}, '')))"
 
 
+def _letters(t: str) -> str:
+    return f"length(replace({t}, ' ', ''))"
+
+
+def _words(t: str) -> str:
+    return f"(length({t}) - {_letters(t)} + 1)"
+
+
 def _is_open(line: str) -> str:
     return f"(right(rtrim({line}, {_q(Q.CLOSING)}), 1) NOT IN ({', '.join(map(_q, Q.ENDS))}))"
 
 
 def _line_fails(t: str, following: str, in_menu: str) -> str:
     """t: a trimmed line."""
-    words, seps, exclaimed = f"({_count(t, ' ' + chr(9))} + 1)", _count(t, Q.SEPARATORS), _count(t, Q.EXCLAMATIONS)
-    letters = f"(length({t}) - {_count(t, ' ' + chr(9))})"
+    words, letters, seps, exclaimed = _words(t), _letters(t), _count(t, Q.SEPARATORS), _count(t, Q.EXCLAMATIONS)
     c = f"left(trim({following}, ' '), 1)"
     phrases = " OR ".join(f"contains(lower({t}), {_q(p)})" for p in Q.BOILERPLATE)
+    capitals = f"length(regexp_replace({t}, '\\P{{Lu}}+', '', 'g'))"
     return f"""(({words} >= {Q.OPEN_WORDS} AND {_is_open(t)} AND {Q.SENTENCE_WORDS} * {_count(t, Q.SENTENCE_ENDS)} < {words} AND NOT coalesce({c} = lower({c}) AND {c} <> upper({c}), false))
       OR ({seps} >= 2 AND {words} <= {Q.ITEM_WORDS} * ({seps} + 1) + {seps}) OR 100 * {_count(t, Q.MARKS)} > {Q.MAX_MARK_PERCENT} * {letters}
-      OR ({exclaimed} >= 3 AND 4 * {exclaimed} >= {words}) OR ({words} >= 3 AND 2 * {_count(t, Q.CAPITALS)} > {letters})
+      OR ({exclaimed} >= 3 AND 4 * {exclaimed} >= {words}) OR (regexp_matches({t}, '\\p{{Lu}}\\p{{Lu}}') AND {words} >= 3 AND 2 * {capitals} > {letters})
       OR ({words} <= {Q.BOILERPLATE_WORDS} AND ({phrases})) OR ({in_menu} AND {words} <= {Q.SHORT_WORDS} AND {_is_open(t)}))"""
 
 
@@ -36,7 +44,7 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS ls FROM d),
 sep AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
 nx AS (SELECT doc_id, x, trim(x, ' ') AS y, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM sep),
-lines_ AS (SELECT *, count(*) FILTER ({_count('y', ' ' + chr(9))} + 1 <= {Q.SHORT_WORDS} AND {_is_open('y')}) OVER (PARTITION BY doc_id) AS menu,
+lines_ AS (SELECT *, count(*) FILTER ({_words('y')} <= {Q.SHORT_WORDS} AND {_is_open('y')}) OVER (PARTITION BY doc_id) AS menu,
            count(*) OVER (PARTITION BY doc_id) AS n FROM nx WHERE regexp_matches(x, '{_W}')),
 lost AS (SELECT doc_id, sum(length(x))::BIGINT AS line_chars, coalesce(sum(length(x)) FILTER ({_line_fails('y', 'following', f'(menu >= {Q.MENU_LINES} AND 2 * menu > n)')}), 0)::BIGINT AS lost_chars
          FROM lines_ GROUP BY 1),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, WORD
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -38,7 +38,6 @@ ITEM_WORDS = 4
 MARKS = "#*$%&<>|~^_=+\\{}[]@"
 MAX_MARK_PERCENT = 10
 EXCLAMATIONS = "!¡"
-CAPITALS = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 #: Lines of at most this many words without end punctuation are menu lines where they are MENU_LINES or more and the most of a text's lines.
 SHORT_WORDS, MENU_LINES = 4, 4
 #: Phrases of site furniture; a line of at most BOILERPLATE_WORDS words with one fails.
@@ -55,9 +54,14 @@ def _count(line: Column, chars: str) -> Column:
     return F.length(line) - F.length(F.translate(line, chars, ""))
 
 
+def _letters(line: Column) -> Column:
+    """Characters of a line but blanks."""
+    return F.length(F.replace(line, F.lit(" "), F.lit("")))
+
+
 def _words(line: Column) -> Column:
     """Words of a trimmed line, as its blanks and one."""
-    return _count(line, " \t") + 1
+    return F.length(line) - _letters(line) + 1
 
 
 def _is_open(line: Column) -> Column:
@@ -71,39 +75,47 @@ def _goes_on(following: Column) -> Column:
 
 
 def is_menu_line(line: Column) -> Column:
-    line = F.trim(line)
-    return (_words(line) <= SHORT_WORDS) & _is_open(line)
+    return _is_open(F.trim(line)) & (_words(F.trim(line)) <= SHORT_WORDS)
+
+
+def _some_phrase(text: Column) -> Column:
+    out = F.lit(False)
+    for phrase in BOILERPLATE:
+        out |= F.contains(text, F.lit(phrase))
+    return out
+
 
+#: What lines of these kinds have at least; where a whole text has none, its lines aren't looked at for it.
+ODD = "[" + "".join("\\" + c for c in MARKS + SEPARATORS + EXCLAMATIONS) + "]"
+TWO_CAPITALS = r"\p{Lu}\p{Lu}"
 
-def line_fails(line: Column, following: Column, in_menu: Column) -> Column:
+
+def hints(text: Column) -> Column:
+    return F.struct(text.rlike(ODD).alias("odd"), text.rlike(TWO_CAPITALS).alias("capitals"), _let(F.lower(text), _some_phrase).alias("phrase"))
+
+
+def line_fails(line: Column, following: Column, in_menu: Column, hint: Column) -> Column:
     """in_menu: whether the text's short open lines are a menu."""
     line = F.trim(line)
-    words, letters, seps = _words(line), _count(line, " \t"), _count(line, SEPARATORS)
-    letters = F.length(line) - letters
-    odd = _count(line, MARKS + SEPARATORS + EXCLAMATIONS) > 0
-    exclaimed = _count(line, EXCLAMATIONS)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate |= F.contains(F.lower(line), F.lit(phrase))
+    words, letters, seps, exclaimed = _words(line), _letters(line), _count(line, SEPARATORS), _count(line, EXCLAMATIONS)
     return (
-        ((words >= OPEN_WORDS) & _is_open(line) & (SENTENCE_WORDS * _count(line, SENTENCE_ENDS) < words) & ~_goes_on(following))
-        | (odd & ((seps >= 2) & (words <= ITEM_WORDS * (seps + 1) + seps) | (100 * _count(line, MARKS) > MAX_MARK_PERCENT * letters) | (exclaimed >= 3) & (4 * exclaimed >= words)))
-        | ((words >= 3) & (2 * _count(line, CAPITALS) > letters))
-        | ((words <= BOILERPLATE_WORDS) & boilerplate)
-        | (in_menu & (words <= SHORT_WORDS) & _is_open(line))
+        (_is_open(line) & ((in_menu & (words <= SHORT_WORDS)) | ((words >= OPEN_WORDS) & ~_goes_on(following) & (SENTENCE_WORDS * _count(line, SENTENCE_ENDS) < words))))
+        | (hint["odd"] & line.rlike(ODD) & ((seps >= 2) & (words <= ITEM_WORDS * (seps + 1) + seps) | (100 * _count(line, MARKS) > MAX_MARK_PERCENT * letters) | (exclaimed >= 3) & (4 * exclaimed >= words)))
+        | (hint["capitals"] & line.rlike(TWO_CAPITALS) & (words >= 3) & (2 * F.length(F.regexp_replace(line, r"\P{Lu}+", "")) > letters))
+        | (hint["phrase"] & (words <= BOILERPLATE_WORDS) & _let(F.lower(line), _some_phrase))
     )
 
 
-def _is_blank(line: Column) -> Column:
-    return F.length(F.translate(line, " \t\x0b\x0c\r", "")) == 0
+def _has_words(line: Column) -> Column:
+    return line.rlike(WORD)
 
 
-def failing(lines: Column) -> Column:
+def failing(lines: Column, hint: Column) -> Column:
     """Whether each of an array of lines fails; blank ones don't."""
-    blank = F.size(F.filter(lines, _is_blank))
-    menu = F.size(F.filter(lines, lambda x: ~_is_blank(x) & is_menu_line(x)))
-    is_menu = (menu >= MENU_LINES) & (2 * menu > F.size(lines) - blank)
-    return _let(is_menu, lambda m: F.transform(lines, lambda x, i: ~_is_blank(x) & line_fails(x, F.get(lines, i + 1), m)))
+    some = F.size(F.filter(lines, _has_words))
+    menu = F.size(F.filter(lines, lambda x: is_menu_line(x) & _has_words(x)))
+    is_menu = (menu >= MENU_LINES) & (2 * menu > some)
+    return _let(is_menu, lambda m: F.transform(lines, lambda x, i: line_fails(x, F.get(lines, i + 1), m, hint) & _has_words(x)))
 
 
 def _let(value: Column, body) -> Column:
@@ -118,17 +130,17 @@ window_hash = F.xxhash64
 def repeated_words(words: Column) -> Column:
     """Words inside WINDOW-word windows that occur at least twice in the array, first occurrence included.
 
-    Each window's 64-bit hash keeps its high bits and takes its position in the low ones, as many as the
-    word count needs; one primitive sort then brings equal windows together in position order. Where windows
-    of equal hashes differ in their words, the text's windows are sorted by their words instead.
+    Where all windows' 64-bit hashes differ there are none. Else each hash keeps its high bits and takes its
+    position in the low ones, as many as the word count needs; one primitive sort then brings equal windows
+    together in position order. Where windows of equal hashes differ in their words, the text's windows are
+    sorted by their words instead.
     """
     bits = F.length(F.bin(F.size(words).cast("long")))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     n = F.size(words) - WINDOW + 1
     each = F.sequence(F.lit(0), n - 1)
 
-    def packed(i: Column) -> Column:
-        h = window_hash(*[F.get(words, i + k) for k in range(WINDOW)])
+    def packed(h: Column, i: Column) -> Column:
         return F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))
 
     def high(x: Column) -> Column:
@@ -152,8 +164,13 @@ def repeated_words(words: Column) -> Column:
         mixed = F.exists(F.transform(t, lambda x, i: F.coalesce((high(x) == high(F.get(t, i + 1))) & (window(x) != window(F.get(t, i + 1))), F.lit(False))), lambda x: x)
         return F.when(mixed, by_words()).otherwise(covered(F.transform(t, lambda x: x.bitwiseAND(mask))))
 
-    hits = _let(F.sort_array(F.transform(each, packed)), lambda s: twice(s, lambda a, b: high(a) == high(b)))
-    return F.when(n < 2, F.lit(0).cast("long")).otherwise(_let(hits, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(by_hash(t))))
+    zero = F.lit(0).cast("long")
+
+    def repeats(hashes: Column) -> Column:
+        hits = _let(F.sort_array(F.transform(hashes, packed)), lambda s: twice(s, lambda a, b: high(a) == high(b)))
+        return F.when(F.size(F.array_distinct(hashes)) == n, zero).otherwise(_let(hits, lambda t: F.when(F.size(t) == 0, zero).otherwise(by_hash(t))))
+
+    return F.when(n < 2, zero).otherwise(_let(F.transform(each, lambda i: window_hash(*[F.get(words, i + k) for k in range(WINDOW)])), repeats))
 
 
 def measures(text: Column) -> Column:
@@ -163,21 +180,24 @@ def measures(text: Column) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     on_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), total(w).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
 
-    def judged(a: Column) -> Column:
-        some = F.filter(a, lambda x: ~_is_blank(x))
+    def judged(a: Column, hint: Column) -> Column:
+        some = F.filter(a, _has_words)
         return F.struct(
             (F.size(some) - F.size(F.array_distinct(some))).cast("long").alias("n_dup_lines"),
             total(some).alias("line_chars"),
-            _let(failing(a), lambda f: total(F.filter(a, lambda x, i: F.get(f, i)))).alias("lost_chars"),
+            _let(failing(a, hint), lambda f: total(F.filter(a, lambda x, i: F.get(f, i)))).alias("lost_chars"),
         )
 
-    n_symbols = _count(text, SYMBOLS).cast("long")
-    return F.struct(on_words.alias("w"), _let(F.split(text, "\n"), judged).alias("l"), n_symbols.alias("n_symbols"))
+    n_symbols = F.when(text.rlike(f"[{SYMBOLS}]"), _count(text, SYMBOLS)).otherwise(0).cast("long")
+    on_lines = _let(F.split(text, "\n"), lambda a: _let(hints(text), lambda h: judged(a, h)))
+    return F.struct(on_words.alias("w"), on_lines.alias("l"), n_symbols.alias("n_symbols"))
 
 
 def clean_text(text: Column) -> Column:
     """The text without its failing lines."""
-    return _let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda a: _let(failing(a), lambda f: F.array_join(F.filter(a, lambda x, i: ~F.get(f, i)), "\n")))
+    text = F.coalesce(text, F.lit(""))
+    kept = lambda a, h: _let(failing(a, h), lambda f: F.array_join(F.filter(a, lambda x, i: ~F.get(f, i)), "\n"))
+    return _let(F.split(text, "\n"), lambda a: _let(hints(text), lambda h: kept(a, h)))
 
 
 def _verdict(m: Column) -> tuple[Column, Column]:

@@ -25,7 +25,7 @@ def failing(spark, text):
 
     df = spark.createDataFrame([(text,)], "text string")
     lines = F.split("text", "\n")
-    return [x for x, bad in zip(text.split("\n"), df.select(quality_rules.failing(lines)).first()[0]) if bad]
+    return [x for x, bad in zip(text.split("\n"), df.select(quality_rules.failing(lines, quality_rules.hints(F.col("text")))).first()[0]) if bad]
 
 
 def test_lines_by_ratio_in_any_form(spark):
