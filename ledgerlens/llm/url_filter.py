@@ -3,7 +3,8 @@
 The urls that a rule decides are the labelled ones. The trees are fitted on the driver on at most FIT_ROWS
 distinct labelled urls (those with the smallest hashes, so the choice doesn't depend on order or
 partitioning) and compiled into one Column expression; every url is scored inside the JVM. The suffix
-statistics come from all labelled urls and are joined by suffix.
+statistics come from all labelled urls and are joined by suffix; the fitted rows see those of the other FOLDS
+only (leaving out single labels would tell the label by the difference). ``held_out_accuracy`` fits on four fifths of the labelled urls and judges the last one.
 
 Cases: a null url, or one without ``://``, has an empty host and path; no rule fits it and the trees judge
 its characters. Repeated urls get equal rows. Without labelled urls of both classes the trees are constant
@@ -31,6 +32,7 @@ RULES = (
 FIT_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAF = 20, 3, 0.3, 32, 20
 SMOOTHING = 20.0
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("f_length", "f_host_length", "f_depth", "f_path_length", "f_digit_ratio", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_https", "f_suffix1", "f_suffix2")
 
@@ -152,12 +154,24 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple]:
     return base, tuple(trees)
 
 
-def with_suffix_rates(urls: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    out = urls
+def fold(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
+def with_suffix_rates(urls: DataFrame, suffixes: DataFrame, prior: float, folds: DataFrame | None = None) -> DataFrame:
+    """Adds the smoothed share of blocked urls of both suffixes; with folds (suffix, fold, blocked, n), without the url's own fold."""
+    out = urls.withColumn("__fold", fold())
     for k in ("1", "2"):
-        rates = suffixes.select(F.col("suffix").alias(f"suffix{k}"), F.col("rate").alias(f"f_suffix{k}"))
-        out = out.join(rates, f"suffix{k}", "left").fillna({f"f_suffix{k}": prior})
-    return out
+        counts = suffixes.select(F.col("suffix").alias(f"suffix{k}"), F.col("blocked").alias("__b"), F.col("n").alias("__n"))
+        out = out.join(counts, f"suffix{k}", "left")
+        b, n = F.col("__b"), F.col("__n")
+        if folds is not None:
+            own = folds.select(F.col("suffix").alias(f"suffix{k}"), F.col("fold").alias("__fold"), F.col("blocked").alias("__fb"), F.col("n").alias("__fn"))
+            out = out.join(own, [f"suffix{k}", "__fold"], "left")
+            b, n = b - F.coalesce("__fb", F.lit(0.0)), n - F.coalesce("__fn", F.lit(0))
+        rate = (b + SMOOTHING * prior) / (n + SMOOTHING)
+        out = out.withColumn(f"f_suffix{k}", F.coalesce(rate, F.lit(prior))).drop("__b", "__n", "__fb", "__fn")
+    return out.drop("__fold")
 
 
 def fit(urls: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
@@ -165,21 +179,36 @@ def fit(urls: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
     labelled = urls.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("y")).distinct()
     prior = labelled.agg(F.avg("y")).first()[0]
     prior = 0.0 if prior is None else float(prior)
-    pairs = with_lexical(labelled).select(F.explode(F.array_distinct(F.array("suffix1", "suffix2"))).alias("suffix"), "y")
-    suffixes = materialize(pairs.groupBy("suffix").agg(((F.sum("y") + SMOOTHING * prior) / (F.count("y") + SMOOTHING)).alias("rate")), "url-suffixes")
+    pairs = with_lexical(labelled).select(F.explode(F.array_distinct(F.array("suffix1", "suffix2"))).alias("suffix"), fold().alias("fold"), "y")
+    folds = materialize(pairs.groupBy("suffix", "fold").agg(F.sum("y").alias("blocked"), F.count("y").alias("n")), "url-folds")
+    sums = folds.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
+    suffixes = materialize(sums.withColumn("rate", (F.col("blocked") + SMOOTHING * prior) / (F.col("n") + SMOOTHING)), "url-suffixes")
     sample = materialize(with_lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(fit_rows)), "url-sample")
-    rows = with_suffix_rates(sample, suffixes, prior).orderBy("url").select(*FEATURES, "y").collect()
+    rows = with_suffix_rates(sample, suffixes, prior, folds).orderBy("url").select(*FEATURES, "y").collect()
     data = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(FEATURES) + 1)
     base, trees = boost(data[:, :-1], data[:, -1])
     return UrlModel(base, trees, suffixes, prior)
 
 
-def judge(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict and the trees' score for every row."""
+def _ruled(pages: DataFrame, rules) -> DataFrame:
     host, path = host_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = split.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    return split.select("*", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """One row: urls judged, share judged as their rule says, share of the more frequent verdict among them."""
+    known = _ruled(pages, rules).where("verdict IS NOT NULL")
+    last = F.pmod(F.xxhash64("url", "host"), F.lit(5)) == 0
+    model = fit(known.where(~last), fit_rows)
+    judged = with_suffix_rates(with_lexical(known.where(last)), model.suffixes, model.prior).select((F.col("verdict") == "block").alias("y"), (model.score() >= 0.5).alias("said"))
+    return judged.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("said")).cast("double")).alias("accuracy"), F.greatest(F.avg(F.col("y").cast("double")), 1 - F.avg(F.col("y").cast("double"))).alias("majority"))
+
+
+def judge(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict and the trees' score for every row."""
+    ruled = _ruled(pages, rules)
     model = fit(ruled, fit_rows)
     scored = with_suffix_rates(with_lexical(ruled), model.suffixes, model.prior).withColumn("score", model.score())
     by_trees = F.when(F.col("score") >= 0.5, "block").otherwise("allow")

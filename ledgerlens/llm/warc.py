@@ -1,32 +1,35 @@
 """WARC derivatives: metadata and plain-text conversion records built from response records.
 
 ``responses`` makes response records of pages, ``read_records`` splits WARC files (plain or gzip members)
-into records, ``derive`` turns every response into two records that refer to it, and ``write_records``
-writes records as gzip members. Records are whole WARC/1.1 records in one binary column. Both derivatives
-carry WARC-Refers-To, the target URI and the source's date; the metadata record keeps the source's record
-headers, HTTP status and HTTP headers, its digests as given and as computed, and the outgoing links.
-
-Cases: a null url or body counts as empty. A block that isn't an HTTP response is converted as it is. Bytes
-that aren't UTF-8 become U+FFFD. Equal pages give records with equal ids only where page_id and url are
-equal too. Records that aren't responses have no derivatives. An empty table gives an empty result.
+into records as it streams through them, ``derive`` turns every response into two records that refer to it,
+and ``write_records`` writes records as gzip members. Records are whole WARC/1.1 records in one binary column.
+Both derivatives carry WARC-Refers-To, the target URI and the source's date; the metadata record keeps the
+source's record headers, HTTP status and HTTP headers, its digests as given and as computed, and the outgoing
+links. Files are opened through Arrow's file systems, by uri.
+
+Cases: a null url or body counts as empty; a null record has no derivatives. A block that isn't an HTTP
+response is converted as it is. Bytes that aren't in the declared charset, or whose charset isn't known, become
+U+FFFD or are read as UTF-8. A binary may hold several records: each has its row. What isn't a record (no end
+of the headers, no length, a block cut short, other bytes, broken gzip) gives a row with column error and never
+fails the job. An element whose text isn't shown and that is never closed hides nothing. Equal pages give
+records with equal ids only where page_id and url are equal too. Records that aren't responses have no
+derivatives. An empty table gives an empty result. Columns of other names are carried by ``derive``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-
-from .language_model import local_folder
+from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 SKIPPED = frozenset(("script", "style", "template", "noscript"))
@@ -51,19 +54,52 @@ def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of the records in data."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
+HEAD = 1 << 20  # bytes of a record's headers at most
+PIECE = 1 << 20  # bytes read at a time
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """(headers, block, error) of all records in a stream of bytes; it holds one record and one piece."""
+    buffer, source = bytearray(), iter(pieces)
+
+    def more() -> bool:
+        if (piece := next(source, None)) is None:
+            return False
+        buffer.extend(piece)
+        return True
+
+    while True:
+        while (at := buffer.find(b"WARC/1.")) < 0 and more():
+            pass
+        between = bytes(buffer[:at] if at >= 0 else buffer).strip()
+        if between:
+            yield [], between, "bytes that are no record"
+        if at < 0:
+            return
+        del buffer[:at]
+        while (end := buffer.find(b"\r\n\r\n")) < 0 and len(buffer) < HEAD and more():
+            pass
         if end < 0:
-            raise ValueError("a record's headers don't end")
-        headers = _headers(data[at:end])
-        size = int(get(headers, "Content-Length") or 0)
-        if end + 4 + size > len(data):
-            raise ValueError("a record's block is cut short")
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+            yield [], bytes(buffer[:HEAD]), "headers don't end"
+            del buffer[:HEAD]
+            continue
+        headers = _headers(bytes(buffer[:end]))
+        length = get(headers, "Content-Length") or ""
+        if not (length.isascii() and length.isdigit()):
+            yield headers, b"", "no length"
+            del buffer[: end + 4]
+            continue
+        whole = end + 4 + int(length)
+        while len(buffer) < whole and more():
+            pass
+        block = bytes(buffer[end + 4 : whole])
+        yield headers, block, None if len(buffer) >= whole else "block is cut short"
+        del buffer[:whole]
+
+
+def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of the whole records in data."""
+    return ((h, b) for h, b, error in records([data]) if error is None)
 
 
 def _headers(head: bytes) -> list[tuple[str, str]]:
@@ -81,14 +117,20 @@ def get(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
-def gunzip_members(data: bytes) -> bytes:
-    """All gzip members in data; data itself where it isn't gzip."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out) or data
+def plain(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of all gzip members in a stream; the stream itself where it isn't gzip."""
+    member, packed = None, None
+    for piece in pieces:
+        packed = piece[:2] == b"\x1f\x8b" if packed is None else packed
+        if not packed:
+            yield piece
+        while packed and piece:
+            member = member or zlib.decompressobj(31)
+            yield member.decompress(piece, PIECE)
+            while member.unconsumed_tail:
+                yield member.decompress(member.unconsumed_tail, PIECE)
+            piece = member.unused_data
+            member = None if member.eof else member
 
 
 class _Page(HTMLParser):
@@ -97,12 +139,13 @@ class _Page(HTMLParser):
         self.parts: list[str] = []
         self.links: list[str] = []
         self.title: list[str] = []
-        self.skip = 0
+        self.hidden: list[str] = []  # open elements whose text isn't shown
+        self.held: list[str] = []  # their text, until they are closed
         self.in_title = False
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
-            self.skip += 1
+            self.hidden.append(tag)
         if tag in BLOCKS:
             self.parts.append("\n")
         if tag == "title":
@@ -115,18 +158,27 @@ class _Page(HTMLParser):
             self.parts.append("\n")
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
+        if tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+            if not self.hidden:
+                self.held = []
         if tag in BLOCKS:
-            self.parts.append("\n")
+            (self.held if self.hidden else self.parts).append("\n")
         if tag == "title":
             self.in_title = False
 
     def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
-            if self.in_title:
-                self.title.append(data)
+        if self.hidden:
+            if self.hidden[-1] not in ("script", "style"):
+                self.held.append(data)
+            return
+        self.parts.append(data)
+        if self.in_title:
+            self.title.append(data)
+
+    def close(self):
+        super().close()
+        self.parts += self.held
 
 
 def page_text(html: str) -> tuple[str, str, list[str]]:
@@ -195,7 +247,7 @@ def derivatives(headers: list[tuple[str, str]], block: bytes) -> tuple[bytes, by
 def _decode(body: bytes, charset: str) -> str:
     try:
         return body.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, UnicodeError, ValueError):
         return body.decode("utf-8", "replace")
 
 
@@ -213,51 +265,83 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, record binary")
 
 
-def derive(records: DataFrame) -> DataFrame:
-    """records with columns metadata and conversion added; null where the record is no response."""
-    from pyspark.sql import functions as F
+def derive(rows: DataFrame) -> DataFrame:
+    """rows with columns position, metadata, conversion and error added: one row for every record in column record."""
+
+    def made(data: bytes | None) -> list[dict]:
+        out = []
+        for k, (headers, block, error) in enumerate(records([data or b""])):
+            metadata, conversion = (None if error else derivatives(headers, block)) or (None, None)
+            out.append({"position": k, "metadata": metadata, "conversion": conversion, "error": error})
+        return out or [{"position": 0, "metadata": None, "conversion": None, "error": None}]
+
+    kind = pa.list_(pa.struct([("position", pa.int64()), ("metadata", pa.binary()), ("conversion", pa.binary()), ("error", pa.string())]))
 
     def run(record: pa.Array) -> pa.Array:
-        made = [next(iter([derivatives(h, b) for h, b in parse(x)]), None) if x is not None else None for x in record.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([m and m[k] for m in made], pa.binary()) for k in (0, 1)], ["metadata", "conversion"])
+        return pa.array([made(x) for x in record.to_pylist()], kind)
+
+    made_of = F.arrow_udf(run, "array<struct<position: long, metadata: binary, conversion: binary, error: string>>")
+    own = ("position", "metadata", "conversion", "error")
+    each = rows.select(*[c for c in rows.columns if c not in own], F.explode(made_of("record")).alias("__made"))
+    return each.select(*[c for c in rows.columns if c not in own], *[f"__made.{c}" for c in own])
 
-    made = records.withColumn("__made", F.arrow_udf(run, "struct<metadata: binary, conversion: binary>")("record"))
-    return made.select(*records.columns, "__made.metadata", "__made.conversion")
+
+def _files(uri: str):
+    """(Arrow file system, path) of a uri or a plain path."""
+    from pyarrow.fs import FileSystem
+
+    scheme, sep, rest = uri.partition(":")
+    return FileSystem.from_uri("file:///" + rest.lstrip("/") if sep and scheme == "file" else uri)
+
+
+def _pieces(uri: str) -> Iterator[bytes]:
+    files, path = _files(uri)
+    with files.open_input_stream(path, compression=None) as f:
+        while piece := f.read(PIECE):
+            yield piece
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """path, position and record of all records in the WARC files under path."""
+    """path, position, record and error of all records in the WARC files under path; a task holds one record of a file at a time."""
 
     def run(batches):
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for k, (h, block) in enumerate(parse(gunzip_members(data))):
-                    again = build([x for x in h if x[0].lower() != "content-length"], block)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([again], pa.binary())], ["path", "position", "record"])
+            for name in b.column("path").to_pylist():
+                k = 0
+                try:
+                    for headers, block, error in records(plain(_pieces(name))):
+                        record = block if error else build([x for x in headers if x[0].lower() != "content-length"], block)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([record], pa.binary()), pa.array([error], pa.string())], ["path", "position", "record", "error"])
+                        k += 1
+                except zlib.error as e:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([None], pa.binary()), pa.array([str(e)])], ["path", "position", "record", "error"])
+
+    names = spark.read.format("binaryFile").load(path).select("path")  # the files' contents aren't read here
+    return names.mapInArrow(run, "path string, position long, record binary, error string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, position long, record binary")
 
+def write_records(rows: DataFrame, folder: str) -> DataFrame:
+    """Write column record as one .warc.gz file per task into folder; returns file and n_records.
 
-def write_records(records: DataFrame, folder: str) -> DataFrame:
-    """Write column record as one .warc.gz file per task into a mounted folder; returns file and n_records."""
-    where = local_folder(folder)
-    os.makedirs(where, exist_ok=True)
+    A file is written beside its name and moved, so a repeated task leaves one whole file.
+    """
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        name, n = f"part-{part:06d}.warc.gz", 0
+        files, where = _files(folder)
+        files.create_dir(where, recursive=True)
+        name, n = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
         beside = f"{where}/.{name}-{uuid.uuid4().hex}"
-        with open(beside, "wb") as f:
+        with files.open_output_stream(beside, compression=None) as f:
             for b in batches:
                 for x in b.column("record").to_pylist():
                     if x is not None:
                         z = zlib.compressobj(wbits=31)
                         f.write(z.compress(x) + z.flush())
                         n += 1
-        os.replace(beside, f"{where}/{name}")
+        files.move(beside, f"{where}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "n_records"])
 
-    return records.select("record").mapInArrow(run, "file string, n_records long")
+    return rows.select("record").mapInArrow(run, "file string, n_records long")
 
 
 def summary(pages: DataFrame) -> DataFrame:

@@ -434,6 +434,7 @@ def test_warc(spark, tmp_path):
         assert f"source-warc-payload-digest: {warc.get(h, 'WARC-Payload-Digest')}".encode() in about
         assert warc.get(ch, "WARC-Block-Digest") == warc.digest(text)
     assert warc.derivatives([("WARC-Type", "request")], b"") is None
+    assert all(r.error is None for r in back.collect())
     assert warc.summary(df.where("false")).count() == 0
 
 
