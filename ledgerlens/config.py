@@ -1,4 +1,4 @@
-"""Thresholds of the rules, frozen; RULES_<NAME> in the environment (JSON) overrides one of them."""
+"""Thresholds of the rules, frozen; RULES_<NAME> in the environment or in a .env file (JSON or text) overrides one of them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields, replace
 PEG = 1.95583
 
 
+# The limits that the law and the rules' definitions set.
 @dataclass(frozen=True)
 class Thresholds:
     late_deadline_days: int = 30
@@ -85,11 +86,55 @@ def tier_of(rule: str) -> str:
     return TIERS.get(rule, "signal")
 
 
+#: Documented names of overrides where they differ from ours.
+NAMES = {
+    "late_publication_deadline_days": "late_deadline_days", "late_publication_grace_days": "late_grace_days",
+    "late_publication_warning_days": "late_warning_days", "late_publication_high_days": "late_high_days",
+    "overspend_abs_eur": "overspend_abs", "unplanned_min_spent_eur": "unplanned_spent", "unplanned_min_excess_eur": "unplanned_excess",
+    "plan_jump_ratio": "jump_ratio", "plan_jump_abs_eur": "jump_delta", "new_object_min_eur": "new_object",
+    "single_bidder_warning_eur": "single_bidder_value", "single_bidder_high_eur": "single_bidder_high",
+    "concentration_min_contracts": "concentration_count", "concentration_window_days": "concentration_days",
+    "direct_award_threshold_bgn": "direct_award_bgn", "match_jaccard_threshold": "match_jaccard",
+    "match_value_ratio_low": "match_low", "match_value_ratio_high": "match_high", "annex_max_plausible_ratio": "annex_implausible_ratio",
+    "missing_quantity_min_value_eur": "quantity_value", "missing_quantity_warning_eur": "quantity_warning", "missing_quantity_high_eur": "quantity_high",
+    "price_unverifiable_min_description_chars": "price_text_chars", "zop_thresholds_effective_from": "near_from",
+    "splitting_window_days": "splitting_days", "splitting_min_members": "splitting_min", "splitting_renewal_gap_days": "splitting_gap_days",
+    "splitting_high_multiple": "splitting_high_ratio", "near_threshold_pct": "near_share",
+    "exceptional_warning_eur": "exceptional_warning", "exceptional_high_eur": "exceptional_high",
+    "collecting_offers_rule_effective_from": "collecting_from", "offer_evaluation_margin_days": "deadline_margin_days",
+    "bid_ceiling_ratio": "ceiling_low", "bid_ceiling_max_ratio": "ceiling_high", "bid_ceiling_warning_eur": "ceiling_value", "bid_ceiling_high_eur": "ceiling_high_value",
+    "reports_first_period": "reports_from", "related_party_high_eur": "related_high",
+    "person_concentration_min_contracts": "person_count", "person_concentration_min_eur": "person_total",
+    "person_concentration_high_contracts": "person_high_count", "person_concentration_high_eur": "person_high_total",
+    "young_company_window_days": "young_days", "young_company_high_window_days": "young_high_days",
+    "young_company_min_eur": "young_value", "young_company_high_eur": "young_high_value",
+    "company_status_recent_years": "status_years", "company_status_min_eur_for_report": "status_value",
+    "company_status_report_lag_years": "status_lag_years", "activity_mismatch_min_eur": "mismatch_value",
+}
+#: Documented lists of boundaries; the levels that they require stay.
+BOUNDS = {"zop_works_bounds_bgn": "works_bands_bgn", "zop_supplies_bounds_bgn": "supplies_bands_bgn", "zop_annex2_bounds_bgn": "annex2_bands_bgn"}
+
+
+def dotenv(path: str = ".env") -> dict[str, str]:
+    """NAME=value lines of a file; nothing where there is none."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.split("=", 1) for line in map(str.strip, f) if "=" in line and not line.startswith("#")]
+    return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+
+
 def thresholds(environ=None) -> Thresholds:
-    env = os.environ if environ is None else environ
-    given = {f.name: json.loads(env[f"RULES_{f.name.upper()}"]) for f in fields(Thresholds) if f"RULES_{f.name.upper()}" in env}
-    return replace(Thresholds(), **{k: _frozen(v) for k, v in given.items()})
+    env = dotenv() | dict(os.environ) if environ is None else environ
+    base, given = Thresholds(), {}
+    for name in [*NAMES, *BOUNDS, *(f.name for f in fields(Thresholds))]:
+        if (value := env.get(f"RULES_{name.upper()}")) is None:
+            continue
+        field = BOUNDS.get(name) or NAMES.get(name, name)
+        read = value if isinstance(getattr(base, field), str) and not value.startswith('"') else json.loads(value)
+        given[field] = [(b, level) for b, (_, level) in zip(read, getattr(base, field), strict=True)] if name in BOUNDS else read
+    return replace(base, **{k: _frozen(v) for k, v in given.items()})
 
 
 def _frozen(v):
-    return tuple(map(_frozen, v)) if isinstance(v, list) else v
+    return tuple(map(_frozen, v)) if isinstance(v, (list, tuple)) else v

@@ -68,14 +68,33 @@ def canonical_ids(text: Column, width: int = 9) -> Column:
 
 #: The entities that XML predefines, and the non-breaking space.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_REFERENCE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescape(text: Column) -> Column:
+    """text with its character references resolved in one pass: all named ones of HTML, decimal and hexadecimal ones; unknown ones stay."""
+    from html.entities import html5
+
+    known = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}
+    named = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
+
+    def resolved(part: Column) -> Column:
+        name = F.regexp_extract(part, _REFERENCE, 1)
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        code = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).try_cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        found = F.when(code.isNull(), F.try_element_at(named, name)).when(valid, char).otherwise("\ufffd")
+        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), part)))
+
+    parts = F.split(text, "&", -1)
+    whole = F.array_join(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(resolved(p))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
-    """Text of flat markup: tags become blanks, the basic entities are resolved, white space is collapsed."""
-    out = F.regexp_replace(html, r"<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    """Text of flat markup: tags become blanks, character references are resolved, white space is collapsed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]*>", " ")), r"[ \t\n\r\u00a0]+", " "))
 
 
 def truncate(text: Column, n: int) -> Column:

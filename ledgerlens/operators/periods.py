@@ -28,7 +28,7 @@ def period_changes(rows: DataFrame, keys: Sequence[str], period: str, amount: st
     Periods are ranked over the distinct periods only; the self-join is on keys and rank.
     """
     ranks = rows.select(period).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(period)))
-    ranked = rows.join(F.broadcast(ranks), period)  # one row per period
+    ranked = rows.join(ranks, period)
     before = ranked.select(*keys, (F.col("rank") + 1).alias("rank"), F.col(period).alias("previous_period"), F.col(amount).alias("previous_amount"))
     delta = F.col(amount) - F.col("previous_amount")
     return ranked.join(before, [*keys, "rank"]).withColumn("delta", delta).where(F.abs("delta") > min_delta).drop("rank")

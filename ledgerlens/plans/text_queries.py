@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import linking as L
+from ..operators.places import settlements
 from .base import Tables, query
 
 _TOKENS = (
@@ -84,7 +87,7 @@ def html_strip(t: Tables):
 
 
 _ENTITIES = "t"
-for _e, _c in X.ENTITIES:
+for _e, _c in [("&#39;", "'"), *((f"&{n};", chr(c) if n != "nbsp" else " ") for n, c in sorted(name2codepoint.items(), key=lambda x: x[0] == "amp"))]:
     _ENTITIES = f"replace({_ENTITIES}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
 HTML_STRIP = f"""
 WITH s AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages),
@@ -122,19 +125,13 @@ PLACES = [("bgs", "the"), ("bgs", "and"), ("var", "which"), ("sof", "her"), ("pl
 
 
 def settlement_detect(t: Tables):
-    """Places whose aliases stand in a text as whole words, in the order of their first positions."""
-    from ..operators.amounts import dimension
-
-    alias = dimension(t.spark, ["place", "alias"], PLACES)  # seven literal rows
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), F.lit(" "))
-    hits = t.documents.select("doc_id", padded.alias("t")).join(F.broadcast(alias)).withColumn("pos", F.expr("locate(concat(' ', alias, ' '), t)")).where("pos > 0")
-    first = hits.groupBy("doc_id", "place").agg(F.min("pos").alias("pos"))
-    places = F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda x: x["place"])
-    return first.groupBy("doc_id").agg(F.array_join(places, ",").alias("places"))
+    """Places whose aliases stand in a text as whole words, in the order of their first positions; one alias doesn't count after two words."""
+    found = settlements(F.col("text"), PLACES, {}, "and", ("the", "of"))
+    return t.documents.select("doc_id", F.array_join(found, ",").alias("places")).where("places <> ''")
 
 
 SETTLEMENT = rf"""
-WITH t AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g') || ' ' AS t FROM documents),
+WITH t AS (SELECT doc_id, ' ' || regexp_replace(regexp_replace(lower(text), '(the|of)(\s{{0,9}})and', '\1\2_', 'g'), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || ' ' AS t FROM documents),
 h AS (SELECT doc_id, place, min(instr(t, ' ' || alias || ' ')) AS pos FROM t, (VALUES {", ".join(map(str, PLACES))}) AS a(place, alias) WHERE instr(t, ' ' || alias || ' ') > 0 GROUP BY 1, 2)
 SELECT doc_id, string_agg(place, ',' ORDER BY pos, place) AS places FROM h GROUP BY 1"""
 

@@ -154,6 +154,7 @@ def near_threshold(view: DataFrame, t: Thresholds, split_members: DataFrame | No
 
 # quantities
 
+# Wordings of framework agreements.
 FRAMEWORK = r"рамков|единични\s*цени|заявк|периодично\s*възлагане"
 
 

@@ -192,3 +192,23 @@ def test_parcels_kept_by_reference(spark):
     parcels = spark.createDataFrame(p, "cadnum string, ekatte string, street string, usetype string")
     out = places.referenced(parcels, spark.createDataFrame([("1.1.3",)], "cadnum string"), spark.createDataFrame([("1", "роза")], "ekatte string, street_key string"), ["За второстепенна улица"])
     assert sorted(r.cadnum for r in out.collect()) == ["1.1.1", "1.1.3"]
+
+
+def test_character_references(spark):
+    import html as h
+
+    texts = ["a &amp;lt; b", "&eacute;&Eacute;&euro;&hellip;", "&#39;&#x27;&#X1F600;&#1087;", "R&D & more", "&unheard; &;", "&#0;&#xD800;&#99999999;", "plain", "", "x&nbsp;y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(X.unescape(F.col("t"))).collect()]
+    assert got == [h.unescape(t).replace("\xa0", " ") for t in texts[:5]] + ["\ufffd\ufffd\ufffd", "plain", "", "x y"]
+    assert one(spark, X.strip_html(F.lit("<p>a&nbsp;&amp;\n<b>b</b></p>")))[0] == "a & b"
+
+
+def test_threshold_overrides(tmp_path, monkeypatch):
+    from ledgerlens import config
+
+    t = config.thresholds({"RULES_LATE_PUBLICATION_DEADLINE_DAYS": "45", "RULES_ZOP_WORKS_BOUNDS_BGN": "[1, 2, 3]", "RULES_REPORTS_FIRST_PERIOD": "2020-02", "RULES_SPLITTING_DAYS": "10"})
+    assert (t.late_deadline_days, t.works_bands_bgn, t.reports_from, t.splitting_days) == (45, ((1, 1), (2, 2), (3, 3)), "2020-02", 10)
+    (tmp_path / ".env").write_text("# local\nRULES_OVERSPEND_ABS_EUR=7\n")
+    monkeypatch.chdir(tmp_path)
+    assert config.thresholds().overspend_abs == 7
