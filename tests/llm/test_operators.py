@@ -450,3 +450,17 @@ def test_pipeline(spark, tmp_path):
     assert 3 not in kept and 12 not in kept and 10 not in kept and len({1, 2} & kept) <= 1
     texts = dict(rows)
     assert all(texts[i] for i in kept)
+
+
+def test_quality_scores_rank_the_labels(spark):
+    """Area under the curve of the score against the table of quality labels, which the classifier never reads."""
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    scored = quality_classifier.judge(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "score")
+    rows = scored.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    won = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+    assert good and bad and won >= 0.97 * len(good) * len(bad)
