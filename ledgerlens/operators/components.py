@@ -11,12 +11,11 @@ from ..storage import discard, materialize
 def stars(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node of edges (a, b) that has a neighbour; root is the component's smallest node.
 
-    Alternating large-star and small-star steps until nothing moves, each written to the shared folder; no
+    Alternating large-star and small-star steps until only stars are left, each written to the shared folder; no
     step gathers a node's neighbours, only their minimum. Rounds grow with the logarithm of the longest chain.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    before = None
-    while True:
+    while not _is_forest_of_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -25,9 +24,13 @@ def stars(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, e = e, materialize(small.where("u <> v").distinct(), label)
         discard(old, large)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return out.unionByName(out.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether every edge (u, v), v the smaller, leads to a center: no node has two edges down, or one down and one up."""
+    one, none = F.lit(1), F.lit(0)
+    ends = e.select(F.col("u").alias("n"), one.alias("down"), none.alias("up")).unionByName(e.select(F.col("v").alias("n"), none.alias("down"), one.alias("up")))
+    nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()

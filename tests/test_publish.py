@@ -212,3 +212,28 @@ def test_threshold_overrides(tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("# local\nRULES_OVERSPEND_ABS_EUR=7\n")
     monkeypatch.chdir(tmp_path)
     assert config.thresholds().overspend_abs == 7
+
+
+def test_provenance(spark):
+    from ledgerlens.rules import common, provenance
+    from ledgerlens.schemas import PROCUREMENTS
+
+    none = {"sigma": None, "procedure": None, "tender_detail": None}
+    contract = {"ContractDate": "/Date(1700000000000)/", "TenderNumber": "00-1", "TypeOfContract": 2, "ContractValue": 195.583, "Currency": 3, "CurrentContractValue": 100.0, "CurrentContractCurrency": 1}
+    base = dict.fromkeys(("title", "cpv_code", "procedure_type", "currency", "contractor_name", "contractor_eik", "bids_received", "published_at", "contract_date", "url"))
+    rows = [base | {"id": 1, "source": "eop", "source_id": "7", "url": "http://e/7", "raw": none | {"contract": contract}}, base | {"id": 2, "source": "sigma", "source_id": "9", "bids_received": 1, "raw": none | {"contract": None, "sigma": {"unp": "00-1"}}}]
+    view = common.contracts_view(spark.createDataFrame(rows, PROCUREMENTS))
+    got = {r.id: r.s for r in view.select("id", provenance.contract_sources().alias("s")).collect()}
+    (e,) = got[1]
+    assert (e.kind, e.label, e.url) == ("eop_contract", "contract 7 of 00-1", "http://e/7")
+    values = {f.name: (f.value, f.value_eur) for f in e.fields}
+    assert values["ContractValue"] == ("195.583", 100.0) and values["ContractDate"] == ("2023-11-15", None) and "TedPublishDate" not in values
+    (s,) = got[2]
+    assert s.kind == "sigma" and {f.name: f.value for f in s.fields} == {"id": "9", "unp": "00-1", "bids_received": "1"}
+    line = spark.createDataFrame([("BGN", 51.13, None, None, 100.0, "p", "2020-12", None, "Общо", 12, ("http://x/a%20b.xlsx", None, "2020-12"))], "currency string, estimated_total double, spent_prior double, plan_current double, spent_period double, object_name string, period string, source_sheet string, unit string, source_row int, report struct<url: string, file_path: string, period: string>")
+    b = line.select(provenance.budget_row().alias("b")).first().b
+    assert (b.file, b.sheet, b.row, b.period, b.label) == ("a b.xlsx", "Общо", 12, "2020-12", "CAPITAL, декември 2020: p")
+    assert [(f.name, f.value, f.value_eur) for f in b.fields] == [("estimated_total", "100.0", 51.13), ("spent_period", "195.58", 100.0)]
+    lit = lambda x: F.lit(x).cast("string")
+    f, r, d, p = one(spark, provenance.flag(lit("r"), lit("k"), lit("l")), provenance.registry(lit("1"), lit("A"), lit("u"), status=lit("active")), provenance.declaration(lit("N"), lit("2023"), lit("u")), provenance.reports_page(lit("u"), lit("2020-01")))
+    assert (f.kind, r.label, d.label, p.label) == ("flag", "A (1)", "N, 2023", "reports page, looked for януари 2020") and r.fields[0].value == "active"
