@@ -73,10 +73,11 @@ _REFERENCE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 def unescape(text: Column) -> Column:
     """text with its character references resolved in one pass: all named ones of HTML, decimal and hexadecimal ones; unknown ones stay."""
+    import json
     from html.entities import html5
 
     known = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}
-    named = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
+    named = F.from_json(F.lit(json.dumps(known)), "map<string,string>")  # one literal, folded once: plans stay small
 
     def resolved(part: Column) -> Column:
         name = F.regexp_extract(part, _REFERENCE, 1)
@@ -92,9 +93,18 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
-def strip_html(html: Column) -> Column:
-    """Text of flat markup: tags become blanks, character references are resolved, white space is collapsed."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]*>", " ")), r"[ \t\n\r\u00a0]+", " "))
+def strip_html(html: Column, references: bool = False) -> Column:
+    """Text of flat markup: tags become blanks, character references are resolved, white space is collapsed.
+
+    The predefined entities only, or, with references, all of HTML's (a large table in the plan: for single passes).
+    """
+    out = F.regexp_replace(html, r"<[^>]*>", " ")
+    if references:
+        out = unescape(out)
+    else:
+        for entity, char in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
 
 
 def truncate(text: Column, n: int) -> Column:

@@ -82,7 +82,7 @@ HAVING max(length(trim(replace(text, title, '')))) < 400 AND NOT bool_or(regexp_
 
 
 def html_strip(t: Tables):
-    text = X.strip_html(F.col("html"))
+    text = X.strip_html(F.col("html"), references=True)
     return t.pages.select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 

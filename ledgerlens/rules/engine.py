@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..operators import lifecycle
+from ..storage import materialize
 from . import budget, companies, contracts, splitting
 from .common import contracts_view, findings, twins
 
@@ -87,7 +88,7 @@ def run_all(tables: dict[str, DataFrame], t: Thresholds, now: Column) -> DataFra
         companies.company_status(view, c, t, now),
         companies.activity_mismatch(view, c, t),
     ]
-    flags = reduce(DataFrame.unionByName, parts)
+    flags = materialize(reduce(DataFrame.unionByName, parts), "findings")  # read twice, computed once
     return flags.unionByName(eu_funded(view, flags, t.twin_tolerance))
 
 
