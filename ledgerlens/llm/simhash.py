@@ -41,8 +41,8 @@ CHUNK = 2048  # rows of a key that are compared in one task
 #: near_duplicates
 WORDS, SIMILARITY, BANDS, PER_BAND, SKETCH = 5, 0.8, 8, 2, 1024
 CHECKED = 192  # texts that are held against one text in one task
-COMPARED = 1024  # rows of a key whose sketches are compared in one task
-PARTNERS = 8  # candidates of a row that are checked at first; four times as many in every further round
+COMPARED = 256  # rows of a key whose sketches are compared in one task
+PARTNERS = 64  # candidates of a row that are checked at first; four times as many in every further round
 #: Share of all rows above which a fingerprint is settled map-side; bounds the broadcast to 1/SUPPORT rows.
 SUPPORT = 0.001
 
@@ -236,8 +236,8 @@ def deal_labelled(rows: DataFrame, chunk: int) -> DataFrame:
     return met.withColumn("at", F.explode(places)).select(*rows.columns, "at.i", "at.j")
 
 
-def partners(rows: DataFrame, most: int, chunk: int = COMPARED) -> DataFrame:
-    """(a, b) of rows (key, id, size, sketch, label): for every row the first candidates of smaller id with another label, at most most of them for each key; a row of nulls where there are more."""
+def partners(rows: DataFrame, sketches: DataFrame, most: int, chunk: int = COMPARED) -> DataFrame:
+    """(a, b) of rows (key, id, label) with sketches (id, size, sketch): for every row the first candidates of smaller id with another label, at most most of them for each key; a row of nulls where there are more."""
 
     def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         ids, size, label = (table.column(c).to_numpy() for c in ("id", "size", "label"))
@@ -254,7 +254,8 @@ def partners(rows: DataFrame, most: int, chunk: int = COMPARED) -> DataFrame:
                     b.append(None)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return by_group(deal_labelled(rows, chunk), ["key", "i", "j"], run, "a long, b long", rows_at_once=1 << 13, order=("id",)).distinct()
+    dealt = deal_labelled(rows, chunk).join(sketches, "id")
+    return by_group(dealt, ["key", "i", "j"], run, "a long, b long", rows_at_once=1 << 13, order=("id",)).distinct()
 
 
 def near_duplicates(tagged: DataFrame) -> DataFrame:
@@ -263,24 +264,29 @@ def near_duplicates(tagged: DataFrame) -> DataFrame:
     sets = materialize(keyed.groupBy("digest").agg(F.min(F.struct("id", "size", "sketch", "keys")).alias("r"), F.count(F.lit(1)).alias("n")), "near-sets")
     equal = sets.where("n > 1").select("digest", F.col("r.id").alias("b"))
     links = materialize(keyed.select(F.col("id").alias("a"), "digest").join(equal, "digest").where("a <> b").select("a", "b"), "near-equal")
-    rows = sets.select(F.explode("r.keys").alias("key"), "r.id", "r.size", "r.sketch")
-
-    one = F.struct("id", "size", "sketch")
-    firsts = rows.groupBy("key").agg(F.min(one).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = rows.select("key", one.alias("x")).join(firsts, "key").where(F.col("x.id") != F.col("y.id"))
-    tested = materialize(held.where(_may_be_similar_rows("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "near-pairs")
+    sketches = sets.select("r.id", "r.size", "r.sketch")
+
+    each = sets.select(F.explode("r.keys").alias("key"), "r.id")  # ids travel alone, sketches join the pairs
+    firsts = each.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = materialize(each.join(firsts, "key"), "near-rows")
+    met = rows.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    x, y = (sketches.select(F.col("id").alias(c), F.struct("size", "sketch").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    tested = materialize(met.join(x, "a").join(y, "b").where(_may_be_similar_rows("x", "y")).select("a", "b"), "near-pairs")
     links = links.unionByName(similar_pairs(tagged, tested))
-    most = PARTNERS
+    most, labels = PARTNERS, components(links, "near-components")
     while True:
-        labels = components(links, "near-components")
-        labelled = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "size", "sketch", F.coalesce("root", "id").alias("label"))
-        found = materialize(partners(labelled, most), "near-partners")
+        labelled = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+        found = materialize(partners(labelled, sketches, most, COMPARED), "near-partners")
         fresh = materialize(found.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        more = not found.where("a IS NULL").isEmpty()
         if not fresh.isEmpty():
-            links = links.unionByName(similar_pairs(tagged, fresh))
-            tested = tested.unionByName(fresh)
-        if found.where("a IS NULL").isEmpty():
-            return labels if fresh.isEmpty() else components(links, "near-components")
+            similar = similar_pairs(tagged, fresh)
+            if not similar.isEmpty():  # labels and new links hold all links so far
+                known = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+                labels = components(known.unionByName(similar), "near-components")
+        if not more:
+            return labels
+        tested = tested.unionByName(fresh)
         most *= 4
 
 
