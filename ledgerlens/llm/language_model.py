@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, new_path, shuffle_partitions
 
 ORDER = 3
-SLICE = 4 << 20  # bytes of text hashed at a time
-TOKENS = 5 << 19  # tokens counted at a time in a task
+SLICE = 2 << 20  # bytes of text hashed at a time
+TOKENS = 2 << 20  # tokens counted at a time in a task
 SHARDS = 8192  # at most
 SHARD_INPUT = 32 << 20  # input bytes per shard, or per range of a shard
 FREQUENT = 4096
