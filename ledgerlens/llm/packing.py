@@ -175,6 +175,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, k
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]):
+        pa.default_memory_pool().release_unused()  # what earlier stages' batches left in this worker
         words, part, seen = word_ids(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:

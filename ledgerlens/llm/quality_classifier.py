@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 FIT_ROWS = 5000
 BUCKETS = 1 << 13
 THRESHOLD = 0.5
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 GOOD, BAD, NONE = 1, 0, 2
 #: Dirichlet priors of a labeller's votes (bad, good, none) by the text's class, and of the corpus (bad, good), as pseudo-counts.
 VOTE_PRIOR = {BAD: (25.0, 10.0, 65.0), GOOD: (0.5, 40.0, 59.5)}
@@ -157,14 +157,6 @@ class Remember(dict):
         return out
 
 
-def _kinds() -> Remember:
-    """One per worker process."""
-    return _KINDS.setdefault("table", Remember(word_kind))
-
-
-_KINDS: dict[str, Remember] = {}
-
-
 @dataclass
 class QualityModel:
     posterior: dict[int, float]  # by vote code
@@ -183,7 +175,7 @@ class QualityModel:
             return float(weights[a] + weights[b])
 
         def run(text: pa.Array) -> pa.Array:
-            table, kinds = held.setdefault("table", Remember(weigh)), _kinds()
+            table, kinds = held.setdefault("table", Remember(weigh)), held.setdefault("kinds", Remember(word_kind))
             codes, scores = [], []
             for t in text.to_pylist():
                 w = (t or "").split()
@@ -200,7 +192,7 @@ def _patterns(docs: DataFrame) -> list:
     """(code, count) of every vote pattern in the corpus; each task sends one row per pattern it met."""
 
     def run(batches):
-        count, kinds = Counter(), _kinds()
+        count, kinds = Counter(), Remember(word_kind)
         for b in batches:
             for t in b.column("text").to_pylist():
                 w = (t or "").split()
@@ -214,7 +206,7 @@ def _sample(docs: DataFrame, rows: int) -> list:
     """(code, feature ids, feature shares) of at most rows distinct texts with words."""
 
     def run(batches):
-        kinds, known = _kinds(), Remember(features)
+        kinds, known = Remember(word_kind), Remember(features)
         for b in batches:
             codes, ids, shares = [], [], []
             for t in b.column("text").to_pylist():
