@@ -68,4 +68,56 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
-ORACLES = {"op7_quality_rules": OP7, "op10_exact_dedup": OP10}
+
+
+def _edit(state: str, cost: str, letters: str, line: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}', 't': {state}.t || {line}}}"
+
+
+def _turn_states() -> str:
+    """The four states after row r of conversation w, inserts before it included."""
+    user, both = "chr(10) || 'user:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    inserted = {
+        "s2": ["s2", *(_edit(a, "3", "I", user) for a in ("s0", "s1", "s3"))],
+        "s3": ["s3", _edit("s2", "3", "I", "chr(10) || 'assistant:'"), *(_edit(a, "6", "II", both) for a in ("s0", "s1"))],
+    }
+    return ", ".join(["s0", "s1", *(f"least({', '.join(x)}) AS {s}" for s, x in inserted.items())])
+
+
+def _row_states() -> str:
+    stay = "CASE WHEN blank OR again THEN 1000000000000 WHEN cut THEN 3 ELSE 0 END"
+    options: list[list[str]] = [[_edit(f"s{k}", "4", "D", "''")] for k in range(4)]
+    for a, role, b in ((0, "system", 1), (0, "user", 2), (1, "user", 2), (2, "assistant", 3), (3, "user", 2)):
+        options[b].append(_edit(f"s{a}", f"{stay} + CASE WHEN left(role, 1) = '{role[0]}' THEN 0 ELSE 1000000000000 END", "K", "chr(10) || role || ':' || text"))
+        if role != "system":
+            options[b].append(_edit(f"s{a}", f"{stay} + 3", "R", f"chr(10) || '{role}:' || text"))
+    return ", ".join(f"least({', '.join(x)}) AS s{k}" if len(x) > 1 else f"{x[0]} AS s{k}" for k, x in enumerate(options))
+
+
+_NONE = "{'c': 1000000000000::BIGINT, 'a': '', 't': ''}"
+OP12 = rf"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT k, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind
+  FROM (SELECT DISTINCT k FROM named)),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM named JOIN kinds USING (k)),
+placed AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+flags AS MATERIALIZED (SELECT conv_id, turn, i, role, text, last = '' AS blank, last <> '' AND seen AS again, last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS cut,
+    pair NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+walk AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {_NONE} AS s1, {_NONE} AS s2, {_NONE} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, {_row_states()} FROM (
+    SELECT w.conv_id, r.i, r.role, r.text, r.blank, r.again, r.cut, {_turn_states()} FROM walk w JOIN flags r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+ends AS (SELECT conv_id, least(s0, s3) AS e FROM (
+  SELECT conv_id, {_turn_states()} FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM walk) WHERE back = 1)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM flags GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, e.e.c AS cost, e.e.a AS audit, sha256(substr(e.e.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+ORACLES = {"op12_turn_repair": OP12, "op7_quality_rules": OP7, "op10_exact_dedup": OP10}
