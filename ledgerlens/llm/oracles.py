@@ -120,4 +120,23 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
   coalesce(illegal, 0)::BIGINT AS illegal, e.e.c AS cost, e.e.a AS audit, sha256(substr(e.e.t, 2)) AS repaired_sha256
 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
-ORACLES = {"op12_turn_repair": OP12, "op7_quality_rules": OP7, "op10_exact_dedup": OP10}
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+o AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+n AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, coalesce(s.n, 0) + 2 * coalesce(v, 0) AS total FROM g LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM n GROUP BY ALL) s USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2)::HUGEINT // total::HUGEINT)::BIGINT AS p
+  FROM totals JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 2)::HUGEINT // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang))::HUGEINT)::BIGINT AS q FROM n GROUP BY lang, term),
+pairs AS (SELECT lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b USING (lang) LEFT JOIN (
+    SELECT lang, a.source AS source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source),
+tops AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM tops) WHERE rank <= 10"""
+
+ORACLES = {"op11_divergence": OP11, "op12_turn_repair": OP12, "op7_quality_rules": OP7, "op10_exact_dedup": OP10}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, exact_dedup, language_model, packing, quality_classifier, quality_rules, simhash, token_files, turn_repair, url_filter, warc
+from . import bpe_stream, divergence, exact_dedup, language_model, packing, quality_classifier, quality_rules, simhash, token_files, turn_repair, url_filter, warc
 from .common import read_table, spread
 from .oracles import ORACLES
 
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact(read_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spread(read_table(spark, sf_dir, "documents")))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.audit_damaged(read_table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_url_filter,
         op10_exact_dedup,
+        op11_divergence,
         op12_turn_repair,
     )
 }
