@@ -12,7 +12,8 @@ def stars(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node of edges (a, b) that has a neighbour; root is the component's smallest node.
 
     Alternating large-star and small-star steps until only stars are left, each written to the shared folder; no
-    step gathers a node's neighbours, only their minimum. Rounds grow with the logarithm of the longest chain.
+    step gathers a node's neighbours, only their minimum. Rounds grow with the logarithm of the longest chain. The
+    result reads one written table, which ``discard`` removes.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     while not _is_forest_of_stars(e):
@@ -25,7 +26,9 @@ def stars(edges: DataFrame, label: str = "components") -> DataFrame:
         old, e = e, materialize(small.where("u <> v").distinct(), label)
         discard(old, large)
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return out.unionByName(out.select(F.col("root").alias("node"), "root").distinct())
+    out = out.unionByName(out.select(F.col("root").alias("node"), "root").distinct())
+    out._written_to = e._written_to
+    return out
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
