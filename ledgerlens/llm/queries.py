@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, divergence, exact_dedup, language_model, packing, quality_classifier, quality_rules, simhash, token_files, turn_repair, url_filter, warc
+from . import bpe_stream, divergence, exact_dedup, language_model, minhash, packing, quality_classifier, quality_rules, simhash, token_files, turn_repair, url_filter, warc
 from .common import read_table, spread
 from .oracles import ORACLES
 
@@ -67,6 +67,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.audit_damaged(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link_documents(spread(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_divergence,
         op12_turn_repair,
+        op13_minhash,
     )
 }
 

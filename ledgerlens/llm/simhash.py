@@ -5,19 +5,12 @@ k of r + k equal blocks of bits, so every C(r + k, k) choice of blocks is a key
 share at least one. Groups of a key are compared through bit planes (``bitslice``) and yield a spanning
 forest of their links; hot keys are dealt into pairs of chunks. Each distinct fingerprint takes part once.
 
-``near_duplicates``: documents whose shingle sets have a Jaccard similarity of at least 0.8. At that
+``drop_near``: of documents whose shingle sets have a Jaccard similarity of at least 0.8, one stays. At that
 similarity some 10 of 64 bits differ, which blocks of bits can't find; candidates share a pair of min-hashes of
-the same shingles (8 pairs: a similarity of 0.8 is missed with probability 0.0003). Equal sets are settled by
-their digest. Of the rest every row is first held against its key's smallest id only, so that a group of near
-copies costs one comparison a row; whole texts are compared pair by pair of (row, smallest id). Keys whose
-rows are then one component are done. In the others, rows of different components that may be similar are
-compared too, the first few of each row and then ever more, until none is left: no link is lost and no group's
-pairs are listed. Left out are only pairs that can't be similar: odd sketches (bit b is the parity of the
-distinct shingles whose hash is b modulo SKETCH) differ in no more bits than the sets in shingles. On sets of
-over 2000 shingles that leaves few out, so long texts cost more there, but none is lost.
+the same shingles (8 pairs: a similarity of 0.8 is missed with probability 0.0003), and ``similar_sets`` verifies them.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other in
-``link_documents``; in ``near_duplicates`` texts without words are no duplicates of anything but each other.
+``link_documents``; in ``drop_near`` texts without words are no duplicates of anything but each other.
 Null doc_ids are no component's smallest id unless it has no other. Repeated rows are members like any
 other. An empty table gives an empty result. Extra columns are ignored or carried.
 """
@@ -33,35 +26,17 @@ from pyspark.sql import functions as F
 
 from . import bitslice
 from ..operators.components import stars as components
-from .common import discard, materialize, small, without
+from .common import discard, materialize, without
 from .groups import by_group, split_hot
+from .similar_sets import Likeness, members, min_hash, shingle_hashes, stable
 
-SEED = 42
 CHUNK = 2048  # rows of a key that are compared in one task
-#: near_duplicates
-WORDS, SIMILARITY, BANDS, PER_BAND, SKETCH = 5, 0.8, 8, 2, 1024
-CHECKED = 192  # texts that are held against one text in one task
-COMPARED = 256  # rows of a key whose sketches are compared in one task
-PARTNERS = 64  # candidates of a row that are checked at first; four times as many in every further round
+#: drop_near
+WORDS, PERCENT, BANDS, PER_BAND = 5, 80, 8, 2
 #: Share of all rows above which a fingerprint is settled map-side; bounds the broadcast to 1/SUPPORT rows.
 SUPPORT = 0.001
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 of every run of words, repeats included; of the whole sequence where it is shorter."""
-    from xxhash import xxh64_intdigest
-
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    if len(w) <= words:
-        return np.array([xxh64_intdigest(b" ".join(w), SEED)], np.uint64)
-    joined = b" ".join(w)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    starts = [0, *(ends[: -words] + 1).tolist()]
-    return np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
-
-
 def fingerprint(h: np.ndarray) -> int:
     """Bit b is 1 if set in over half the hashes."""
     if not len(h):
@@ -133,177 +108,26 @@ def link_documents(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
 
 # documents that share most of their shingles
 
-_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k * 0xD1B54A32D192ED03)) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(1, BANDS * PER_BAND + 1)], np.uint64)
-
-
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    x = h * _MULTIPLIERS[k]
-    x ^= x >> np.uint64(29)
-    return x * _MULTIPLIERS[-1 - k]
-
+class MinHashPairs(Likeness):
+    """Keys are BANDS groups of PER_BAND min-hashes each."""
 
-def band_keys(h: np.ndarray) -> list[int]:
-    """BANDS keys of PER_BAND min-hashes each."""
-    from xxhash import xxh64_intdigest
+    def signature(self, h: np.ndarray) -> list[int]:
+        from xxhash import xxh64_intdigest
 
-    lows = np.array([_mixed(h, k).min() for k in range(BANDS * PER_BAND)], np.uint64).reshape(BANDS, PER_BAND)
-    return [xxh64_intdigest(lows[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+        lows = np.array([min_hash(h, k) for k in range(BANDS * PER_BAND)], np.uint64).reshape(BANDS, PER_BAND)
+        return [xxh64_intdigest(lows[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
+    def keys(self, signature: Column) -> Column:
+        return signature
 
-def odd_sketch(distinct: np.ndarray) -> bytes:
-    """SKETCH bits: the parity of the number of hashes at each place."""
-    at = np.bincount((distinct % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-    return np.packbits(at & 1 == 1, bitorder="little").tobytes()
-
-
-def _keyed(tagged: DataFrame) -> DataFrame:
-    """id, size (distinct shingles), sketch, digest of the shingle set, keys of every row (id, text); no keys without words."""
-    from xxhash import xxh3_128_digest
-
-    def run(batches):
-        for b in batches:
-            sizes, sketches, digests, keys = [], [], [], []
-            for t in b.column("text").to_pylist():
-                h = np.unique(shingle_hashes(t, WORDS))
-                sizes.append(len(h))
-                sketches.append(np.frombuffer(odd_sketch(h), np.int64))
-                digests.append(xxh3_128_digest(h.tobytes()))
-                keys.append(band_keys(h) if len(h) else [])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(sketches, longs), pa.array(digests, pa.binary()), pa.array(keys, longs)], ["id", "size", "sketch", "digest", "keys"])
-
-    return tagged.select("id", "text").mapInArrow(run, "id long, size long, sketch array<long>, digest binary, keys array<long>")
 
-
-def _may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether sets of these sketches and together these sizes can reach SIMILARITY; false only if they can't."""
-    differ = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
-    return (1 + SIMILARITY) * differ <= (1 - SIMILARITY) * sizes + 1e-6
-
-
-def _may_be_similar_rows(a: str, b: str) -> Column:
-    """The same on columns a.sketch, a.size, b.sketch, b.size."""
-    differ = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (1 + SIMILARITY) * differ <= (1 - SIMILARITY) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
-
-
-def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets of hashes reach SIMILARITY, counted exactly."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
-
-
-def similar_pairs(tagged: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b), a written table, whose texts are similar; each b's text meets its a's in groups of CHECKED."""
-    chunks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHECKED).cast("int").alias("chunks"))
-    members = pairs.join(chunks, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("other"))
-    ones = chunks.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("other"))
-    needed = materialize(members.unionByName(ones), "near-needed")
-    rows = tagged.select("id", "text").join(small(needed), "id")
-
-    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        out, ids, text = [], table.column("id").to_pylist(), table.column("text")
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            first, *rest = (np.unique(shingle_hashes(t.as_py(), WORDS)) for t in text.slice(lo, hi - lo))
-            out += [(ids[lo + k], ids[lo]) for k, h in enumerate(rest, 1) if are_similar(h, first)]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    out = materialize(by_group(rows, ["b", "chunk"], run, "a long, b long", rows_at_once=256, order=("other",)), "near-links")
-    discard(needed)
-    return out
-
-
-def deal_labelled(rows: DataFrame, chunk: int) -> DataFrame:
-    """Rows (key, id, label, ...) of keys with several labels, with columns i, j: any two rows of a key with different labels meet in one (key, i, j).
-
-    A key of over chunk rows is dealt: the rows of its most frequent label into chunks, each with all others, or,
-    where those are more than chunk too, all rows into pairs of chunks.
-    """
-    per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    met = rows.join(keys, "key")
-    few = F.col("n") - F.col("top.n") <= chunk
-    parts = F.ceil(F.when(few, F.col("top.n")).otherwise(F.col("n")) / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    every = F.sequence(F.lit(0), parts - 1)
-    is_top = F.col("label") == F.col("top.label")
-    places = (
-        F.when(F.col("n") <= chunk, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-        .when(few & is_top, F.array(F.struct(mine.alias("i"), mine.alias("j"))))
-        .when(few, F.transform(every, lambda k: F.struct(k.alias("i"), k.alias("j"))))
-        .otherwise(F.transform(every, lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
-    )
-    return met.withColumn("at", F.explode(places)).select(*rows.columns, "at.i", "at.j")
-
-
-def partners(rows: DataFrame, sketches: DataFrame, most: int, chunk: int = COMPARED) -> DataFrame:
-    """(a, b) of rows (key, id, label) with sketches (id, size, sketch): for every row the first candidates of smaller id with another label, at most most of them for each key; a row of nulls where there are more."""
-
-    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, size, label = (table.column(c).to_numpy() for c in ("id", "size", "label"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), SKETCH // 64)
-        a, b = [], []
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            for q in range(lo + 1, hi):
-                rest = lo + np.flatnonzero(label[lo:q] != label[q])
-                near = rest[_may_be_similar(sketch[rest], sketch[q], size[rest] + size[q])]
-                a += [ids[q]] * min(len(near), most)
-                b += ids[near[:most]].tolist()
-                if len(near) > most:
-                    a.append(None)
-                    b.append(None)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt = deal_labelled(rows, chunk).join(sketches, "id")
-    return by_group(dealt, ["key", "i", "j"], run, "a long, b long", rows_at_once=1 << 13, order=("id",)).distinct()
-
-
-def near_duplicates(tagged: DataFrame) -> DataFrame:
-    """(node, root) of the rows (id, text) that have near-duplicates; root is the group's smallest id. tagged must be stable."""
-    keyed = materialize(_keyed(tagged), "near-keys")
-    sets = materialize(keyed.groupBy("digest").agg(F.min(F.struct("id", "size", "sketch", "keys")).alias("r"), F.count(F.lit(1)).alias("n")), "near-sets")
-    equal = sets.where("n > 1").select("digest", F.col("r.id").alias("b"))
-    links = materialize(keyed.select(F.col("id").alias("a"), "digest").join(equal, "digest").where("a <> b").select("a", "b"), "near-equal")
-    sketches = sets.select("r.id", "r.size", "r.sketch")
-
-    each = sets.select(F.explode("r.keys").alias("key"), "r.id")  # ids travel alone, sketches join the pairs
-    firsts = each.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = materialize(each.join(firsts, "key"), "near-rows")
-    met = rows.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    x, y = (sketches.select(F.col("id").alias(c), F.struct("size", "sketch").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    tested = materialize(met.join(x, "a").join(y, "b").where(_may_be_similar_rows("x", "y")).select("a", "b"), "near-pairs")
-    links = links.unionByName(similar_pairs(tagged, tested))
-    most, labels = PARTNERS, components(links, "near-components")
-    while True:
-        labelled = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", F.coalesce("root", "id").alias("label"))
-        found = materialize(partners(labelled, sketches, most, COMPARED), "near-partners")
-        fresh = materialize(found.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        more = not found.where("a IS NULL").isEmpty()
-        if not fresh.isEmpty():
-            similar = similar_pairs(tagged, fresh)
-            if not similar.isEmpty():  # labels and new links hold all links so far
-                known = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-                labels = components(known.unionByName(similar), "near-components")
-        if not more:
-            return labels
-        tested = tested.unionByName(fresh)
-        most *= 4
-
-
-def stable(docs: DataFrame) -> DataFrame:
-    """docs where it is a plain scan of files, whose row ids come out alike in every run; else written once."""
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter"):
-        plan = plan.children().apply(0)
-    return docs if plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation") else materialize(docs, "near-input")
-
-
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, like: Likeness = MinHashPairs(WORDS, PERCENT)) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near-duplicates the smallest doc_id."""
     key = "__near_row_id"
     tagged = stable(docs).withColumn(key, F.monotonically_increasing_id())
-    groups = materialize(near_duplicates(tagged.select(F.col(key).alias("id"), "text")), "near-members")
-    members = tagged.select(F.col(key).alias("node"), "doc_id").join(small(groups), "node")
-    stays = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("stay"))
-    lost = members.join(stays, "root").where(F.col("node") != F.col("stay.node")).select(F.col("node").alias(key))
-    return without(tagged, materialize(lost, "near-lost"), key).drop(key)
+    rows = members(tagged.select(F.col(key).alias("id"), "doc_id", "text"), like)
+    stays = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("stay")).where("n > 1")
+    lost = rows.join(stays, "root").where(F.col("id") != F.col("stay.id")).select(F.col("id").alias(key))
+    lost = materialize(lost, "near-lost")
+    discard(rows)
+    return without(tagged, lost, key).drop(key)

@@ -2,9 +2,16 @@
 
 import numpy as np
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import similar_sets, simhash
 from ledgerlens.llm.common import materialize
 
+LIKE = simhash.MinHashPairs(simhash.WORDS, simhash.PERCENT)
+
+
+def groups(tagged):
+    """Row id -> smallest id of its group."""
+    return {r.id: r.root for r in similar_sets.members(tagged, LIKE).collect()}
+
 
 def test_near_duplicates_with_other_repeat_counts(spark):
     rng = np.random.default_rng(7)
@@ -26,8 +33,8 @@ def test_bound_leaves_out_no_similar_pair():
             own = rng.integers(0, 2**63, (3, n), dtype=np.uint64)
             both = own[0][: round(n * share)]
             a, b = (np.unique(np.concatenate([both, x[: n - len(both)]])) for x in own[1:])
-            sketches = [np.frombuffer(simhash.odd_sketch(x), np.uint64) for x in (a, b)]
-            may = simhash._may_be_similar(*sketches, np.int64(len(a) + len(b)))
+            sketches = [np.frombuffer(similar_sets.odd_sketch(x), np.uint64) for x in (a, b)]
+            may = LIKE.may_be_similar(*sketches, np.int64(len(a) + len(b)))
             similar = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
             assert may or not similar
             left_out += not may
@@ -36,9 +43,9 @@ def test_bound_leaves_out_no_similar_pair():
 
 def test_rounds_lose_no_link(spark, monkeypatch):
     """Small chunks and few partners at a time: components equal those of all pairs of the whole table."""
-    monkeypatch.setattr(simhash, "CHECKED", 5)
-    monkeypatch.setattr(simhash, "COMPARED", 8)
-    monkeypatch.setattr(simhash, "PARTNERS", 1)
+    monkeypatch.setattr(similar_sets, "CHECKED", 5)
+    monkeypatch.setattr(similar_sets, "COMPARED", 8)
+    monkeypatch.setattr(similar_sets, "PARTNERS", 1)
     rng = np.random.default_rng(9)
     vocab = [f"w{k}" for k in range(3000)]
     base = rng.choice(vocab, 200).tolist()
@@ -52,17 +59,17 @@ def test_rounds_lose_no_link(spark, monkeypatch):
         for at in rng.integers(0, 200, int(rng.integers(0, 4))):
             t[at] = "x"
         rows.append((k, " ".join(t)))
-    docs = materialize(spark.createDataFrame(rows, "id long, text string").repartition(3), "test-near")
-    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("doc_id AS id", "doc_id", "text"), "test-near")
+    sets = [np.unique(similar_sets.shingle_hashes(t, 5)) for _, t in rows]
     want = list(range(len(rows)))
     links = 0
     for i in range(len(rows)):
         for j in range(i):
-            if simhash.are_similar(sets[i], sets[j]):
+            if LIKE.are_similar(sets[i], sets[j]):
                 links += 1
                 x, y = want[i], want[j]
                 want = [min(x, y) if v in (x, y) else v for v in want]
-    got = dict(map(tuple, simhash.near_duplicates(docs).collect()))
+    got = groups(docs)
     assert links > 150 and 1 < len(set(want)) < 200
     assert [got.get(k, k) for k in range(len(rows))] == want
 
@@ -76,11 +83,11 @@ def test_recall_against_all_pairs_on_documents(spark):
     folder = Path("/root/testdata/sf0.001")
     if not folder.exists():
         pytest.skip("no test tables")
-    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id AS id", "text")
-    rows = sorted(docs.collect())
-    sets = {r.id: np.unique(simhash.shingle_hashes(r.text, 5)) for r in rows}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id AS id", "doc_id", "text")
+    rows = docs.collect()
+    sets = {r.id: np.unique(similar_sets.shingle_hashes(r.text, 5)) for r in rows}
     ids = sorted(sets)
-    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if simhash.are_similar(sets[a], sets[b])]
-    got = dict(map(tuple, simhash.near_duplicates(materialize(docs, "test-near")).collect()))
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if LIKE.are_similar(sets[a], sets[b])]
+    got = groups(materialize(docs, "test-near"))
     found = sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in pairs)
     assert pairs and found >= 0.99 * len(pairs)
