@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .amounts import money
 from .components import stars
 from .periods import episodes
+from .sorted_groups import by_group
 
 #: (key, anchor id, boundary, members, total, first and last day) of an accepted group.
 GROUP_SCHEMA = "group_key {key}, anchor_id long, boundary double, n long, total double, first_day long, last_day long, member_ids array<long>"
@@ -22,38 +26,51 @@ def rolling_groups(rows: DataFrame, key: str, row_id: str, day: str, amount: str
     without a level column) is lower. Anchors are taken in (day, id) order; members are the anchor and the
     unused rows that ``similar(anchor, row)`` accepts. A group whose consecutive gaps are all renewal_gap or
     more is a renewal and not a split. Accepted rows are used up, across bands too. The choice is sequential
-    within a key and independent between keys.
+    within a key and independent between keys, and between gaps longer than days in a key, at which it is dealt into
+    episodes. Rows without a day or an amount take no part. A task holds its largest episode as arrays; rows become
+    objects only where ``similar`` asks for them, and only in episodes that can reach a boundary.
     """
-
-    import numpy as np
-    import pandas as pd
-
-    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = list(pdf.sort_values([day, row_id]).itertuples(index=False))
-        at = np.array([getattr(r, day) for r in records], np.int64)
-        cents = np.array([round(getattr(r, amount) * 100) for r in records], np.int64)
-        used, out = np.zeros(len(records), bool), []
-        for boundary, required in sorted(bands, reverse=True):
-            eligible = np.array([getattr(r, amount) < boundary and (level is None or getattr(r, level) < required) for r in records], bool)
-            for k in np.flatnonzero(eligible).tolist():
-                if used[k]:
-                    continue
-                lo, hi = np.searchsorted(at, [at[k], at[k] + days + 1])
-                window = lo + np.flatnonzero(eligible[lo:hi] & ~used[lo:hi])
-                if similar is not None:
-                    window = np.array([m for m in window.tolist() if m == k or similar(records[k], records[m])], np.int64)
-                total = round(int(cents[window].sum()) / 100, 2)
-                if len(window) < min_members or total < boundary or bool((np.diff(at[window]) >= renewal_gap).all()):
-                    continue
-                used[window] = True
-                ids = [int(getattr(records[m], row_id)) for m in window.tolist()]
-                out.append((getattr(records[k], key), int(getattr(records[k], row_id)), float(boundary), len(ids), total, int(at[window[0]]), int(at[window[-1]]), ids))
-        return pd.DataFrame(out, columns=["group_key", "anchor_id", "boundary", "n", "total", "first_day", "last_day", "member_ids"])
+    lowest = min(b for b, _ in bands)
+
+    def groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        at, ids, value = (table.column(c).to_numpy() for c in (day, row_id, amount))
+        cents = np.rint(value * 100).astype(np.int64)
+        needed = table.column(level).to_numpy() if level else np.zeros(len(at))
+        # a group that is too small in number or together stays below every boundary can't give any
+        worth = np.flatnonzero((np.diff(starts) >= min_members) & (np.add.reduceat(cents, starts[:-1]) >= round(lowest * 100) - 1))
+        used, out = np.zeros(len(at), bool), []
+        for first, last in zip(starts[worth].tolist(), starts[worth + 1].tolist(), strict=True):
+            here = slice(first, last)
+            records = [SimpleNamespace(**r) for r in table.slice(first, last - first).to_pylist()] if similar else ()
+            for boundary, required in sorted(bands, reverse=True):
+                eligible = (value[here] < boundary) & (needed[here] < required)
+                anchors = np.flatnonzero(eligible)
+                ends = np.searchsorted(at[here], at[here][anchors] + days + 1)
+                for k, end in zip(anchors.tolist(), ends.tolist(), strict=True):
+                    if used[first + k]:
+                        continue
+                    begin = int(np.searchsorted(at[here], at[first + k]))
+                    window = begin + np.flatnonzero(eligible[begin:end] & ~used[first + begin : first + end])
+                    if similar is not None:
+                        window = np.array([m for m in window.tolist() if m == k or similar(records[k], records[m])], np.int64)
+                    total = round(int(cents[first + window].sum()) / 100, 2)
+                    if len(window) < min_members or total < boundary or bool((np.diff(at[first + window]) >= renewal_gap).all()):
+                        continue
+                    used[first + window] = True
+                    members = first + window
+                    out.append((first + k, float(boundary), len(members), total, int(at[members[0]]), int(at[members[-1]]), ids[members].tolist()))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        anchor = pa.array(columns[0], pa.int64())
+        kinds = (pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        made = [pa.array(c, kind) for c, kind in zip(columns[1:], kinds, strict=True)]
+        keys = [table.column(c).take(anchor).combine_chunks() for c in (key, row_id)]
+        return pa.RecordBatch.from_arrays([*keys, *made], ["group_key", "anchor_id", "boundary", "n", "total", "first_day", "last_day", "member_ids"])
 
     cols = [key, row_id, day, amount] + ([level] if level else [])
     schema = GROUP_SCHEMA.format(key=rows.schema[key].dataType.simpleString())
-    dealt = episodes(rows if similar else rows.select(*dict.fromkeys(cols)), key, day, days)
-    return dealt.groupBy(key, "episode").applyInPandas(groups, schema)
+    typed = rows.where(F.col(day).isNotNull() & F.col(amount).isNotNull()).withColumns({row_id: F.col(row_id).cast("long"), day: F.col(day).cast("long"), amount: F.col(amount).cast("double")})
+    dealt = episodes(typed if similar else typed.select(*dict.fromkeys(cols)), key, day, days)
+    return by_group(dealt, [key, "episode"], groups, schema, order=(day, row_id))
 
 
 def overlapping(groups: DataFrame, ids: DataFrame, id_name: str) -> DataFrame:
