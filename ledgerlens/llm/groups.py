@@ -1,15 +1,13 @@
-"""Groups dealt to tasks: splitting of hot keys, streaming over sorted partitions."""
+"""Groups dealt to tasks: splitting of hot keys; whole groups as numpy slices."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from ..operators.sorted_groups import by_group
+
+__all__ = ["by_group", "split_hot"]
 
 
 def split_hot(rows: DataFrame, chunk: int, salt: str) -> DataFrame:
@@ -25,41 +23,3 @@ def split_hot(rows: DataFrame, chunk: int, salt: str) -> DataFrame:
     other = F.when(F.col("size") <= chunk, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))
     dealt = met.withColumn("mine", F.when(F.col("size") <= chunk, 0).otherwise(mine)).withColumn("other", F.explode(other))
     return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("size", "mine", "other")
-
-
-def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, rows_at_once: int = 1 << 16, order: tuple[str, ...] = ()) -> DataFrame:
-    """run(table, starts) over whole groups, many groups at a time; starts: each group's first row, and the row count.
-
-    A group's rows are sorted by the columns of order.
-    """
-
-    def stream(batches: Iterator[pa.RecordBatch]):
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for b in batches:
-            held.append(b)
-            count += b.num_rows
-            if count >= rows_at_once:
-                table = pa.Table.from_batches(held).combine_chunks()
-                starts = _starts(table, keys)
-                if len(starts) > 2:  # the last group may go on
-                    yield run(table.slice(0, starts[-2]), starts[:-1])
-                    table = table.slice(starts[-2])
-                held = table.combine_chunks().to_batches()
-                count = table.num_rows
-        if count:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield run(table, _starts(table, keys))
-
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(stream, schema)
-
-
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.ones(table.num_rows, bool)
-    if table.num_rows:
-        new[1:] = False
-        for k in keys:
-            x = table.column(k).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-    return np.append(np.flatnonzero(new), table.num_rows)
