@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize, new_path, shuffle_partitions
+from ..storage import bounded_batches, discard, materialize, new_path, shuffle_partitions
 
 __all__ = ["SPACE", "WORD", "discard", "materialize", "new_path", "read_table", "shuffle_partitions", "small", "spread", "without"]
 
@@ -26,6 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     The bound is what opening a file counts for (spark.sql.files.openCostInBytes, 4 MB) for every core.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * (4 << 20) else df
