@@ -52,6 +52,7 @@ def flag(rows: DataFrame) -> DataFrame:
     seen = Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.col("turn").asc_nulls_first())
     before = Window.partitionBy("conv_id", "gone").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     last = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
+    rows = rows.repartition("conv_id")  # one shuffle for both windows and for the collected turns
     out = rows.withColumn("again", F.row_number().over(seen) > 1).withColumn("initial", F.left("role", F.lit(1)))
     pair = F.concat(F.lag("initial").over(before), F.col("initial"))
     return out.select(
