@@ -94,7 +94,7 @@ def rule_single_bidder(t: Tables):
 
 def rule_concentration(t: Tables):
     small = Thresholds(concentration_share=0.001, concentration_days=365)
-    return _found(contracts.contractor_concentration(_view(t), small, F.lit(NOW).cast("timestamp")))
+    return _found(contracts.contractor_concentration(_view(t), F.lit(NOW).cast("timestamp"), small))
 
 
 CONCENTRATION = f"""WITH {_C}, w AS (SELECT *, lpad(CAST(o_custkey + 200000000 AS VARCHAR), 9, '0') AS k FROM s WHERE source = 'eop' AND eur IS NOT NULL AND o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY),
@@ -123,7 +123,7 @@ p AS (SELECT eik, min(o_custkey) AS k, count(*) AS n, sum(CAST(eur AS DECIMAL(18
 
 
 def rule_company_status(t: Tables):
-    return _found(companies.company_status(_view(t), _companies(t), T, F.lit(NOW).cast("timestamp")))
+    return _found(companies.company_status(_view(t), _companies(t), F.lit(NOW).cast("timestamp"), T))
 
 
 STATUS = f"""WITH {_F}, j AS (SELECT *, (k % 11 = 0 OR k % 13 = 0) AND last_on >= DATE '{NOW}' - INTERVAL 1095 DAY AS bad,

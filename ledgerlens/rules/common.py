@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PEG, tier_of
 from ..functions import text as X
 from ..operators.dates import local_date, net_date
-from ..schemas import FLAGS, SOURCE
+from ..schemas import SOURCE
+
 
+# Wordings of framework agreements.
+FRAMEWORK = r"рамков|единични\s*цени|заявк|периодично\s*възлагане"
+#: Contracts that a finding on many of them cites: the earliest ones by date and subject.
+CITED = 100
 
-def findings(rows: DataFrame, rule: str, *, severity: Column, message: Column, subject_type: str, subject_id: Column, key: Column | None = None, tier: Column | None = None, procurement_id: Column | None = None, details: dict[str, Column] | None = None, sources: Column | None = None) -> DataFrame:
-    """rows as findings in the FLAGS schema; the subject key is the subject id where no other is given."""
+
+def finding(rule: str, *, severity: Column, message: Column, subject_type: str, subject_id: Column, key: Column | None = None, tier: Column | None = None, procurement_id: Column | None = None, details: dict[str, Column] | None = None, sources: Column | None = None) -> Column:
+    """A struct of the FLAGS schema; the subject key is the subject id where no other is given."""
     struct = F.struct(*[c.alias(k) for k, c in (details or {"none": F.lit(None).cast("string")}).items()])
-    out = rows.select(
+    return F.struct(
         F.lit(rule).alias("rule"),
         (F.lit(tier_of(rule)) if tier is None else tier).alias("tier"),
         severity.alias("severity"),
@@ -24,16 +32,32 @@ def findings(rows: DataFrame, rule: str, *, severity: Column, message: Column, s
         (subject_id if key is None else key).cast("string").alias("subject_key"),
         (F.lit(None) if procurement_id is None else procurement_id).cast("long").alias("procurement_id"),
         F.to_json(struct).alias("details"),
-        (F.array().cast(f"array<{SOURCE}>") if sources is None else sources.cast(f"array<{SOURCE}>")).alias("sources"),
+        (F.array() if sources is None else sources).cast(f"array<{SOURCE}>").alias("sources"),
     )
-    return out.select(*FLAGS.fieldNames())
 
 
-def source(kind: str, label: Column, **fields: Column) -> Column:
-    """One provenance entry with the record's fields that produced a number."""
-    none = F.lit(None).cast("string")
-    values = [F.struct(F.lit(k).alias("name"), c.cast("string").alias("value"), c.cast("string").try_cast("double").alias("value_eur")) for k, c in fields.items()]
-    return F.struct(F.lit(kind).alias("kind"), label.alias("label"), none.alias("url"), none.alias("file"), none.alias("sheet"), none.cast("int").alias("row"), none.alias("period"), F.array(*values).alias("fields"))
+def findings(rows: DataFrame, rule: str, **parts) -> DataFrame:
+    """rows as findings in the FLAGS schema; parts as ``finding`` takes them."""
+    return rows.select(finding(rule, **parts).alias("f")).select("f.*")
+
+
+def literal_map(pairs: dict) -> Column:
+    """A lookup table of a few literals as a map."""
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def cited(members: DataFrame, keys: Sequence[str], entries: Column, order: Sequence[Column | str], limit: int = CITED) -> DataFrame:
+    """(keys, cited): the source entries of each key's first limit members in a documented order, as one array."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    some = members.select(*keys, entries.alias("entries"), place.alias("place")).where(F.col("place") <= limit)
+    listed = F.sort_array(F.collect_list(F.struct("place", "entries")))
+    return some.groupBy(*keys).agg(F.flatten(F.transform(listed, lambda m: m["entries"])).alias("cited"))
+
+
+def framework(text: Column) -> Column:
+    """Wording that leaves quantities open on purpose."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.rlike(FRAMEWORK) | (low.rlike("количеств") & low.rlike("прогнозн|ориентировъчн|индикативн"))
 
 
 def to_eur(value: Column, code: Column) -> Column:
@@ -50,12 +74,12 @@ def filled(c: Column) -> Column:
 
 
 def contracts_view(contracts: DataFrame) -> DataFrame:
-    """contracts with subject, eur, tender, signed, dates, estimate, kind and texts derived once."""
+    """contracts with subject, eur, tender, signed, dates, estimate, kind, texts and what the texts say of quantities derived once."""
     k, p, d, s = (F.col(f"raw.{x}") for x in ("contract", "procedure", "tender_detail", "sigma"))
     estimate = F.coalesce(to_eur(p["EstimatedValue"], p["Currency"]), F.col("estimated_value_eur").cast("double"))
     noticed = F.least(local_date(net_date(d["OfferPhaseStartDate"])), local_date(net_date(d["PublicationDate"])))
     kinds = [F.when(x["TypeOfContract"].isin(1, 2, 3), x["TypeOfContract"]) for x in (k, p)]
-    return contracts.select(
+    view = contracts.select(
         "*",
         F.concat_ws(":", F.coalesce("source", F.lit("?")), F.coalesce("source_id", F.lit("?"))).alias("subject"),
         F.col("contract_value_eur").cast("double").alias("eur"),
@@ -69,15 +93,13 @@ def contracts_view(contracts: DataFrame) -> DataFrame:
         F.array_compact(F.array(X.strip_html(d["TenderDescription"]), X.strip_html(d["notice_text"]))).alias("descriptions"),
         F.coalesce("contractor_eik", "contractor_name", F.lit("?")).alias("contractor"),
         F.substring(F.coalesce("title", F.lit("a public procurement")), 1, 90).alias("short_title"),
+        F.array_compact(F.array("title", k["ContractSubject"], d["TenderName"])).alias("titles"),
+    )
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    bare = F.transform("descriptions", lambda x: F.length(F.trim(F.aggregate(F.transform("titles", norm), norm(x), lambda a, s: F.replace(a, s, F.lit(""))))))
+    text = F.concat_ws(" ", "titles", "descriptions")
+    return view.select(
+        "*",
+        (~X.digits_before_unit(text) & ~framework(text)).alias("quantity_open"),  # no quantity is stated, and none is left open on purpose
+        F.coalesce(F.array_max(bare), F.lit(0)).alias("description_chars"),  # of the longest description without the titles
     )
-
-
-def twins(view: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """(eop, sigma) subjects of the same contract in both registers, by tender and contractor."""
-    eop = view.where((F.col("source") == "eop") & F.col("signed") & F.col("tender").isNotNull() & filled(F.col("contractor_eik")))
-    sigma = view.where((F.col("source") == "sigma") & F.col("tender").isNotNull() & filled(F.col("contractor_eik")))
-    on = ["tender", "contractor_eik"]
-    pairs = eop.select(*on, F.col("subject").alias("eop"), F.coalesce("eur", F.lit(0.0)).alias("v"), F.col("id").alias("eop_id")).join(sigma.select(*on, F.col("subject").alias("sigma"), F.coalesce("eur", F.lit(0.0)).alias("w"), F.col("id").alias("sigma_id"), F.col("bids_received").alias("sigma_bids")), on)
-    w = Window.partitionBy("eop")
-    ranked = pairs.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.abs(F.col("v") - F.col("w")), "sigma_id")))
-    return ranked.where((F.col("r") == 1) & ((F.col("n") == 1) | ((F.col("v") > 0) & (F.abs(F.col("v") - F.col("w")) <= F.lit(tolerance) * F.col("v"))))).select("eop", "sigma", "sigma_bids", "eop_id", "sigma_id")

@@ -9,8 +9,10 @@ from ..config import Thresholds
 from ..functions import text as X
 from ..operators import grouping as G
 from ..operators.amounts import money
-from .common import findings
+from . import provenance as V
+from .common import cited, findings
 from .contracts import bands, with_regime
+from .registry import RULES
 
 
 def units(view: DataFrame, by_contractor: bool) -> DataFrame:
@@ -72,11 +74,16 @@ def split_groups(view: DataFrame, t: Thresholds) -> DataFrame:
     return full.where("path = 1").unionByName(full.where("path = 2").join(covered, ["group_key", "anchor_id", "boundary"], "left_anti").select(*full.columns))
 
 
-def splitting(groups: DataFrame, t: Thresholds) -> DataFrame:
+@RULES.table_rule("splitting", reads=("split_groups", "contracts"))
+def splitting(groups: DataFrame, view: DataFrame, t: Thresholds) -> DataFrame:
+    """split_groups as findings, with the contracts of their members as sources, by date and subject."""
+    keys = ["group_key", "anchor_id", "boundary", "path"]
+    members = groups.select(*keys, F.explode("members").alias("subject")).join(view, "subject")
+    groups = groups.join(cited(members, keys, V.contract_sources((*V.MEMBER, "ProcedureType"), []), ["signed_on", "subject"]), keys, "left")
     level = F.when(F.col("total") > t.splitting_high_ratio * F.col("boundary"), "high").otherwise("warning")
     whole = F.floor("boundary").cast("string")
     key = F.concat_ws(":", F.lit("split"), F.col("group_key").cast("string"), whole, F.col("anchor_id").cast("string"))
-    return findings(groups, "splitting", severity=level, message=F.concat(F.col("n").cast("string"), F.lit(" contracts together reach a boundary that each stays below")), subject_type="contract_group", subject_id=F.col("group_key"), key=key, details={"members": F.col("members"), "total": F.col("total"), "boundary": F.col("boundary")})
+    return findings(groups, "splitting", severity=level, message=F.concat(F.col("n").cast("string"), F.lit(" contracts together reach a boundary that each stays below")), subject_type="contract_group", subject_id=F.col("group_key"), key=key, details={"members": F.col("members"), "total": F.col("total"), "boundary": F.col("boundary")}, sources=F.col("cited"))
 
 
 def split_subjects(groups: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ OFFICIALS = _struct(
 
 PARCELS = _struct("cadnum string, ekatte string, settlement string, street string, street_number string, usetype string, area_m2 double, centroid_lat double, centroid_lon double, geometry string, source_modified date")
 
-SOURCE = "struct<kind: string, label: string, url: string, file: string, sheet: string, row: int, period: string, fields: array<struct<name: string, value: string, value_eur: double>>>"
+SOURCE = "struct<kind: string, label: string, url: string, file: string, sheet: string, row: int, period: string, fields: array<struct<name: string, value: string, value_eur: double>>, note: string>"
 
 #: What every rule returns.
 FLAGS = _struct(f"rule string, tier string, severity string, message string, subject_type string, subject_id string, subject_key string, procurement_id long, details string, sources array<{SOURCE}>")

@@ -67,8 +67,8 @@ def test_single_bidder(view):
 
 def test_concentration(view):
     rows = [row(k, contract_value_eur=100) for k in range(3)] + [row(9, contractor_eik="987654321", contract_value_eur=1000), row(10, contract_value_eur=10_000, contract_date=dt.datetime(2020, 1, 1))]
-    assert ids(contracts.contractor_concentration(view(*rows), T, F.lit(NOW))) == ["123456789"]
-    assert ids(contracts.contractor_concentration(view(*rows[1:]), T, F.lit(NOW))) == []
+    assert ids(contracts.contractor_concentration(view(*rows), F.lit(NOW), T)) == ["123456789"]
+    assert ids(contracts.contractor_concentration(view(*rows[1:]), F.lit(NOW), T)) == []
 
 
 def test_exceptional_procedure(view):
@@ -110,7 +110,7 @@ def test_splitting_and_near_threshold(view):
     rows = [split_row(1, "A", (2026, 1, 10), 30_000), split_row(2, "B", (2026, 2, 10), 30_000), split_row(3, "C", (2026, 1, 20), 30_000, cpv="50000000", eik="5"), split_row(4, "D", (2026, 3, 1), 50_000, eik="6", cpv="60000000")]
     v = view(*rows)
     groups = splitting.split_groups(v, T)
-    out = splitting.splitting(groups, T).collect()
+    out = splitting.splitting(groups, v, T).collect()
     assert len(out) == 1 and out[0].subject_id == "123456789" and '"eop:1","eop:2"' in out[0].details
     far = view(rows[0], split_row(2, "B", (2026, 12, 20), 30_000))
     assert splitting.split_groups(far, T).count() == 0  # a yearly renewal isn't a split
@@ -158,11 +158,11 @@ def test_unmatched_spending(spark, view):
 def test_missing_reports(spark):
     t = thresholds({"RULES_REPORTS_FROM": '"2025-01"'})
     reports = spark.createDataFrame([(i, p, k, None, None, None) for i, (p, k) in enumerate([("2025-01", "B1"), ("2025-03", "B3"), ("2025-02", "OTHER")])], schemas.REPORTS)
-    out = budget.missing_reports(reports, t, F.lit(dt.datetime(2026, 4, 1))).collect()
+    out = budget.missing_reports(reports, F.lit(dt.datetime(2026, 4, 1)), t).collect()
     assert sorted(r.subject_id for r in out) == ["annual:2025"] + [f"report:{p}" for p in ("2025-02", *(f"2025-{m:02}" for m in range(4, 12)), "2026-01", "2026-02")]
-    before = budget.missing_reports(reports, t, F.lit(dt.datetime(2026, 3, 31))).collect()
+    before = budget.missing_reports(reports, F.lit(dt.datetime(2026, 3, 31)), t).collect()
     assert "report:2025-12" in {r.subject_id for r in before} and not any(r.subject_id.startswith("annual") for r in before)
-    assert budget.missing_reports(reports.where("false"), t, F.lit(NOW)).count() == 0
+    assert budget.missing_reports(reports.where("false"), F.lit(NOW), t).count() == 0
 
 
 def company(eik, **kw):
@@ -177,10 +177,10 @@ def test_company_rules(spark, view):
     v = view(row(1, contractor_eik="200000001; 100000002", contract_value_eur=100_000, cpv_code="45000000"), row(2, contractor_eik="100000003", contract_value_eur=100_000), row(3, contractor_eik="100000002", contract_value_eur=49_999))
     assert sorted(r.subject_key for r in companies.young_company(v, c, T).collect()) == ["eop:1:200000001"]
     assert sorted(r.subject_key for r in companies.activity_mismatch(v, c, T).collect()) == ["eop:1:200000001"]
-    assert {(r.subject_id, r.severity) for r in companies.company_status(v, c, T, F.lit(NOW)).collect()} == {("100000002", "high"), ("100000003", "warning")}
+    assert {(r.subject_id, r.severity) for r in companies.company_status(v, c, F.lit(NOW), T).collect()} == {("100000002", "high"), ("100000003", "warning")}
     out = {(r.subject_id, r.severity) for r in companies.related_party(v, c, people, off, T).collect()}
     assert out == {("200000001", "high"), ("100000002", "high"), ("100000003", "high")}
-    assert [r.subject_id for r in companies.person_concentration(v, people, T).collect()] == ["person:ana maria petrova"]
+    assert [r.subject_id for r in companies.person_concentration(v, c, people, T).collect()] == ["person:ana maria petrova"]
 
 
 def test_engine_and_lifecycle(spark, view):
