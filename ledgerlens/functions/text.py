@@ -66,8 +66,6 @@ def canonical_ids(text: Column, width: int = 9) -> Column:
     return F.array_distinct(F.transform(digits, lambda p: F.when(F.length(p) < width, F.lpad(p, width, "0")).otherwise(p)))
 
 
-#: The entities that XML predefines, and the non-breaking space.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 _REFERENCE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
@@ -93,18 +91,9 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
-def strip_html(html: Column, references: bool = False) -> Column:
-    """Text of flat markup: tags become blanks, character references are resolved, white space is collapsed.
-
-    The predefined entities only, or, with references, all of HTML's (a large table in the plan: for single passes).
-    """
-    out = F.regexp_replace(html, r"<[^>]*>", " ")
-    if references:
-        out = unescape(out)
-    else:
-        for entity, char in ENTITIES:
-            out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+def strip_html(html: Column) -> Column:
+    """Text of flat markup: tags become blanks, character references are resolved, white space is collapsed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]*>", " ")), r"[ \t\n\r]+", " "))
 
 
 def truncate(text: Column, n: int) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entity_queries, ledger_queries, order_queries, registry_queries, rule_queries, text_queries, view_queries
+from . import entity_queries, ledger_queries, order_queries, register_queries, registry_queries, rule_queries, text_queries, view_queries
 
-MODULES = (order_queries, ledger_queries, entity_queries, text_queries, view_queries, rule_queries, registry_queries)
+MODULES = (order_queries, ledger_queries, entity_queries, text_queries, view_queries, rule_queries, registry_queries, register_queries)
 
 
 def queries() -> dict:

@@ -105,7 +105,7 @@ def eop_tender(names: Sequence[str] | None = None, note: Column | None = None) -
         "OfferPhaseEndDate": lambda: field("OfferPhaseEndDate", F.coalesce(_day(p["OfferPhaseEndDate"]), _day(d["OfferPhaseEndDate"]))),
         "IsEUFinanced": lambda: field("IsEUFinanced", p["IsEUFinanced"]),
         "TenderName": lambda: field("TenderName", d["TenderName"]),
-        "TenderDescription": lambda: field("TenderDescription", X.truncate(X.strip_html(d["TenderDescription"]), 300)),
+        "TenderDescription": lambda: field("TenderDescription", X.truncate(F.when(d["TenderDescription"].isNotNull(), F.try_element_at("descriptions", F.lit(1))), 300)),
     }
     number = F.coalesce(p["SpecialNumber"], F.col("raw.contract.TenderNumber"))
     return F.when(p.isNotNull() | d.isNotNull(), entry("eop_tender", F.concat_ws(" ", F.lit("procedure"), number), url=F.col("url"), fields=_chosen(fields, names), note=note))

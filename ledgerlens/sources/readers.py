@@ -60,16 +60,29 @@ def assemble(contracts: DataFrame, procedures: DataFrame, details: DataFrame, ke
     return signed.unionByName(open_, allowMissingColumns=True)
 
 
-DEED = "uic string, companyName string, legalForm int, deedStatus int, sections array<struct<subDeeds: array<struct<groups: array<struct<fields: array<struct<fieldIdent: string, htmlData: string, fieldEntryDate: string, fieldActionDate: string>>>>>>>>"
+DEED = "uic string, companyName string, legalForm int, deedStatus int, sections array<struct<subDeeds: array<struct<groups: array<struct<fields: array<struct<fieldIdent: string, htmlData: string, fieldOperation: int, fieldEntryDate: string, fieldActionDate: string, recordMinActionDate: string>>>>>>>>"
 
 
-def deed_fields(spark: SparkSession, path: str) -> DataFrame:
-    """eik, ident, text and dates of register deeds; of repeated idents the last in document order."""
-    deeds = spark.read.schema(DEED).json(path, multiLine=True)
+def deeds(spark: SparkSession, path: str) -> DataFrame:
+    """Landed register deeds with their file; a file that isn't a deed has its text in column corrupt, from the same read."""
+    return spark.read.schema(f"{DEED}, corrupt string").option("columnNameOfCorruptRecord", "corrupt").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+
+
+def deed_failures(deeds: DataFrame) -> DataFrame:
+    """file and reason of what is no deed."""
+    reason = F.when(F.col("corrupt").isNotNull(), "not JSON").when(F.col("uic").isNull(), "no company number")
+    return deeds.select("file", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def deed_fields(deeds: DataFrame) -> DataFrame:
+    """eik, name, legal_form, ident, text, op and dates of the fields of deeds; of repeated idents the last in document order, with the earliest action of all its company's fields in first_action."""
     flat = F.flatten(F.flatten(F.transform("sections", lambda s: F.transform(s["subDeeds"], lambda d: F.flatten(F.transform(d["groups"], lambda g: g["fields"]))))))
-    rows = deeds.select(F.col("uic").alias("eik"), F.col("companyName").alias("name"), F.posexplode(flat).alias("pos", "f"))
-    last = F.row_number().over(Window.partitionBy("eik", "f.fieldIdent").orderBy(F.desc("pos")))
-    return rows.withColumn("__last", last).where("__last = 1").select("eik", "name", F.col("f.fieldIdent").alias("ident"), X.strip_html(F.col("f.htmlData")).alias("text"), F.col("f.fieldEntryDate").alias("entry_date"), F.col("f.fieldActionDate").alias("action_date"))
+    rows = deeds.where("uic IS NOT NULL").select(F.col("uic").alias("eik"), F.col("companyName").alias("name"), F.col("legalForm").alias("legal_form"), F.col("file"), F.posexplode(flat).alias("pos", "f")).where("f.fieldIdent IS NOT NULL")
+    by = Window.partitionBy("eik")
+    action = F.coalesce("f.recordMinActionDate", "f.fieldActionDate")
+    last = F.row_number().over(Window.partitionBy("eik", "f.fieldIdent").orderBy(F.desc("file"), F.desc("pos")))
+    kept = rows.repartition("eik").withColumn("first_action", F.min(F.when(action.try_cast("timestamp").isNotNull(), action)).over(by)).withColumn("__last", last).where("__last = 1")
+    return kept.select("eik", "name", "legal_form", F.col("f.fieldIdent").alias("ident"), X.strip_html(F.col("f.htmlData")).alias("text"), F.col("f.fieldOperation").alias("op"), F.col("f.fieldEntryDate").alias("entry_date"), F.col("f.fieldActionDate").alias("action_date"), "first_action")
 
 
 def html_links(spark: SparkSession, path: str) -> DataFrame:
@@ -87,18 +100,61 @@ def incremental(rows: DataFrame, known: DataFrame, since: str, period: str = "pe
     return rows.where(F.col(period) >= since).unionByName(rows.where(F.coalesce(F.col(period) < since, F.lit(True))).join(known.select(url).distinct(), url, "left_anti").select(*rows.columns))
 
 
-#: (pattern on the lower-case name, kind), tried in order.
-KINDS = ((r"(^|[^0-9a-z])b1([^0-9]|$)", "B1"), (r"(^|[^0-9a-z])b3([^0-9]|$)", "B3"), (r"^ib1|[^a-z]ib1", "IB1"), (r"kapital|капитал", "CAPITAL"), (r"indicator|показател", "INDICATORS"))
+# Siblings of the cash forms, months by name, spreadsheets that are no ledgers, marks of monthly and quarterly ledgers.
+SIBLINGS = ("DES", "DMP", "K33", "KSF", "RA")
+MONTHS = ("януари", "февруари", "март", "април", "май", "юни", "юли", "август", "септември", "октомври", "ноември", "декември")
+ENGLISH = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+SHORT = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12}
+NO_LEDGER = ("budget_", "budget-", "naturi")
+QUARTERLY = ("тримес", "3mese")
+MONTHLY = ("месечен", "mesechen", "otchet", "ot4et")
 
 
 def classify_filename(name: Column) -> Column:
-    """struct<kind, year, month> of a report's file name; first matching pattern wins, nulls where nothing fits."""
+    """struct<kind, year, month, quarter, confidence> of a report's file name.
+
+    A cash form has its form, year and month (or quarter, whose last month counts) in its name, its siblings a suffix.
+    A spreadsheet is a capital ledger, dated by a month's name or else by MMYY at the end, unless its name says
+    that it is something else. Everything else is other.
+    """
     low = F.lower(name)
-    kind = F.coalesce(*[F.when(low.rlike(p), F.lit(k)) for p, k in KINDS])
-    year = F.regexp_extract(low, r"(20[0-9]{2})", 1)
-    months = [F.regexp_extract(low, p, 1) for p in (r"20[0-9]{2}[-_. ]?(0[1-9]|1[0-2])(?:[^0-9]|$)", r"(?:^|[^0-9])(0[1-9]|1[0-2])[-_. ]?20[0-9]{2}")]
-    month = F.coalesce(*[F.when(m != "", m.cast("int")) for m in months])
-    return F.struct(kind.alias("kind"), F.when(year != "", year.cast("int")).alias("year"), month.alias("month"))
+    stem = F.when(low.contains("."), F.regexp_replace(low, r"\.[^.]*$", "")).otherwise(low)
+    form = r"(?:^|_)i?b([13])_(\d{4})_(\d{1,2})_\d+"
+    number = lambda k: F.regexp_extract(low, form, k).try_cast("int")
+    suffix = F.upper(F.regexp_extract(stem, rf"_({'|'.join(SIBLINGS).lower()})$", 1))
+    quarterly = number(1) == 3
+    cash_kind = F.when(~low.startswith("ib"), F.concat(F.lit("B"), number(1).cast("string"))).when(suffix != "", F.concat(F.lit("IB"), number(1).cast("string"), F.lit("_"), suffix)).otherwise("other")
+    cash_month = F.when(quarterly & number(3).between(1, 4), number(3) * 3).otherwise(number(3))
+    none = F.lit(None).cast("int")
+    made = lambda kind, year, month, sure, quarter=none: F.struct(kind.alias("kind"), year.cast("int").alias("year"), month.cast("int").alias("month"), quarter.cast("int").alias("quarter"), F.lit(sure).alias("confidence"))
+
+    ledger = F.lit("capital_xlsx")
+    year = F.regexp_extract(low, r"(20\d{2})", 1).try_cast("int")
+    lookup = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    either = lambda names: "|".join(sorted(names, key=lambda m: (-len(m), m)))
+    own = {m: k for k, m in enumerate(MONTHS, 1)}
+    bulgarian = lookup(own)[F.regexp_extract(low, f"({either(own)})", 1)]
+    names = {m: k for k, m in enumerate(ENGLISH, 1)} | SHORT
+    word, tail = (F.regexp_extract(low, rf"({either(names)})[_\-]?(\d{{4}}|\d{{2}})(?!\d)", k) for k in (1, 2))
+    english = lookup(names)[word]
+    english_year = F.when(F.length(tail) == 4, tail.try_cast("int")).otherwise(2000 + tail.try_cast("int"))
+    mm, yy = (F.regexp_extract(stem, r"(\d{2})(\d{2})$", k).try_cast("int") for k in (1, 2))
+    other = low.rlike(r"^kp[\d._]")
+    for prefix in NO_LEDGER:
+        other = other | low.startswith(prefix)
+    dated = (
+        F.when(bulgarian.isNotNull() & year.isNotNull(), made(ledger, year, bulgarian, "high"))
+        .when(english.isNotNull(), made(ledger, english_year, english, "medium"))
+        .when(mm.between(1, 12), made(ledger, 2000 + yy, mm, "low"))
+        .otherwise(made(ledger, none, none, "none"))
+    )
+    cash = made(cash_kind, number(2), cash_month, "high", F.when(quarterly, number(3)))
+    return F.when(low.rlike(form), cash).when(low.endswith(".xlsx") & ~other, dated).otherwise(made(F.lit("other"), none, none, "none"))
+
+
+def report_family(kind: Column) -> Column:
+    """cash or capital; null for reports that aren't read."""
+    return F.when(kind.isin("B1", "B3"), "cash").when(kind == "capital_xlsx", "capital")
 
 
 def currency_of(marker: Column, period: Column) -> Column:
@@ -131,7 +187,18 @@ def ledger_from_cells(cells: DataFrame, columns: dict[str, int]) -> DataFrame:
 
 
 def best_reports(reports: DataFrame) -> DataFrame:
-    """One report per family and period: parsed ones first, then the newest; without a period every report stays."""
+    """The report to read of each family and period, from reports (id, period, kind, file_path, mtime).
+
+    Of cash reports the quarterly form comes first; of ledgers those named as monthly, then unmarked ones, then quarterly
+    ones. Then an original before a copy '... (1)', the newest file, and the largest id. Without a period every report
+    stays; other kinds go.
+    """
+    name = F.lower(F.coalesce(X.basename(F.col("file_path")), F.lit("")))
+    has = lambda words: F.coalesce(*(F.when(name.contains(w), F.lit(True)) for w in words), F.lit(False))
+    ledger = F.when(has(QUARTERLY), 2).when(has(MONTHLY), 0).otherwise(1)
+    first = F.when(F.col("kind") == "B3", 0).when(F.col("kind") == "B1", 1).otherwise(ledger)
+    copy = F.regexp_replace(name, r"\.[^.]*$", "").rlike(r"\(\d+\)\s*$")
+    family = report_family(F.col("kind"))
     key = F.coalesce("period", F.concat(F.lit("id:"), F.col("id").cast("string")))
-    rank = F.row_number().over(Window.partitionBy("kind", key).orderBy(F.desc("supported"), F.desc("mtime"), F.desc("id")))
-    return reports.withColumn("__rank", rank).where("__rank = 1 AND supported").drop("__rank")
+    rank = F.row_number().over(Window.partitionBy("__family", key).orderBy(first, copy, F.desc(F.coalesce("mtime", F.lit(0.0))), F.desc("id")))
+    return reports.withColumn("__family", family).where("__family IS NOT NULL").withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__family")

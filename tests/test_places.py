@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import declarations as N
 from ledgerlens.functions import registry as G
 from ledgerlens.functions import text as X
 from ledgerlens.operators import places as P
@@ -54,12 +55,70 @@ def test_register_fields(spark):
     assert one(spark, "5000 лв.", G.capital_eur(F.col("t")))[0] == pytest.approx(2556.46)
     assert one(spark, "2 500,50 евро", G.capital_eur(F.col("t")))[0] == 500.5
     assert tuple(one(spark, "41.20 Строителство на сгради", G.activity(F.col("t")))[0]) == ("41.20", "Строителство на сгради")
-    assert one(spark, "за 2019 г., 2023 г. и 20245", G.last_report_year(F.col("t")))[0] == 2023
-    s = spark.createDataFrame([("Иван Петров",), ("Ана Илиева",)], "short_name string")
-    r = spark.createDataFrame([("Иван Георгиев Петров",), ("Ана Мария Илиева",), ("Ана Петрова Илиева",)], "full_name string")
-    assert {x.short_name: x.full_name for x in G.resolve_names(s, r).collect()} == {"Иван Петров": "Иван Георгиев Петров", "Ана Илиева": None}
-    d = spark.createDataFrame([(1, "I. Имущество\nапартамент\nII. Участие в дружества\n„Море“ ООД 123456789\nIII. Управител на\nБряг ЕООД\nIV. Друго\nНещо ООД")], "id long, text string")
-    assert [(x.relation, x.company_name, x.eik) for x in G.declared_interests(d).orderBy("pos").collect()] == [("share", "Море", "123456789"), ("management", "Бряг", None)]
+    assert tuple(one(spark, "Група по НКИД: 55.10 Клас по НКИД: Хотели", G.activity(F.col("t")))[0]) == ("55.10", "Хотели")
+    assert one(spark, "Основано 2019. Финансов отчет Година: 2014, Година: 2015 г., вписан на 03.04.2022", G.last_report_year(F.col("t")))[0] == 2015
+    assert one(spark, "вписан на 03.04.2022", G.last_report_year(F.col("t")))[0] is None
+
+
+def test_name_resolution(spark):
+    roster = ["Александър Стоянов Стоянов", "Венета Танева Танева - Кючукова", "Георги Димитров Георгиев", "Георги Манолов Манолов", "Иван Петров Иванов", "Иван Георгиев Иванов", "Иван Георгиев Стоянов", "Мария Мария", "Ана Илиева"]
+    want = {
+        "Александър Стоянов": "Александър Стоянов Стоянов", "Венета Танева-Кючукова": "Венета Танева Танева - Кючукова", "Георги Георгиев": "Георги Димитров Георгиев", "георги  МАНОЛОВ": "Георги Манолов Манолов",
+        "Иван Иванов": None, "Иван Петров Стоянов": None, "Мария": None, "Георги Непознатов": None, "Ана Илиева": "Ана Илиева", "": None, "Иван Петров Иванов": "Иван Петров Иванов",
+    }
+    s = spark.createDataFrame([(n,) for n in want], "short_name string")
+    r = spark.createDataFrame([(n,) for n in roster], "full_name string")
+    assert {x.short_name: x.full_name for x in G.resolve_names(s, r).collect()} == want
+
+
+DECLARATION = """ДЕКЛАРАЦИЯ
+„Преди“ ООД, ЕИК 999999999 – съдружник
+ЧАСТ ВТОРА. УЧАСТИЕ В   ТЪРГОВСКИ ДРУЖЕСТВА
+Попълва се само ако е приложимо.
+
+1. „Алфа Турс“ ЕООД, ЕИК 147025511 – едноличен собственик и управител
+2. "Инвест Ко" ООД 1234567891234, съдружник
+3) Бета Строй АД, ЕИК 203000001
+Гама ООД без знак
+Задължения над 5 000 лв. към банки
+Банка „Делта“ ЕАД – кредит 25 000 лв.
+Кредит без сума
+Договори с лица, които извършват дейност в области
+„Техно Билд“ ООД, ЕИК 203456789, доставка
+дребен ред
+ЧАСТ ПЕТА. ДРУГИ ОБСТОЯТЕЛСТВА
+Служебен номер 222222222, нищо общо с дружество."""
+
+
+def test_declared_interests(spark):
+    d = spark.createDataFrame([(1, DECLARATION), (2, ""), (3, None), (4, "„Алфа“ ЕООД, ЕИК 111111111")], "id long, text string")
+    got = [(x.id, x.section, x.company_name, x.eik, x.relation) for x in N.declared_interests(d).orderBy("id", "pos").collect()]
+    assert got == [
+        (1, "company", "Алфа Турс ЕООД", "147025511", "едноличен собственик; управител"),
+        (1, "company", "Инвест Ко ООД", "1234567891234", "съдружник"),
+        (1, "company", "Бета Строй АД", "203000001", N.SHARE),
+        (1, "debt", "Делта ЕАД", None, N.DEBT),
+        (1, "contract", "Техно Билд ООД", "203456789", N.CONTRACT),
+    ]
+    one_ = d.where("id = 1").select(N.interests(F.col("text")).alias("i")).first().i
+    assert [i.company_name for i in one_] == [g[2] for g in got] and one_[0].raw.startswith("1. „Алфа")
+
+
+def test_people_of_deed_fields(spark):
+    f = [
+        ("1", "00070", "Румен Стоянов Дивов, Държава: БЪЛГАРИЯ РУМЕН СТОЯНОВ ДИМОВ, Държава: БЪЛГАРИЯ", 1),
+        ("1", "00190", "АНА ИВАНОВА, Държава: СЕВЕРНА МАКЕДОНИЯ, Размер на дяловото участие: 50250.00 лв. ИВО ПЕТРОВ, Държава: БЪЛГАРИЯ, Размер на дяловото участие: 10,5 €", 1),
+        ("1", "00230", '"ДАРЗАЛА ХОЛДИНГ" АД, ЕИК/ПИК 205127270', None),
+        ("1", "00120", "Дата на изтичане на мандата: 01.02.2027 г. ЯН НОВАК, Държава: АТЛАНТИДА ПЕТЪР К, Държава: ЧЕШКА РЕПУБЛИКА", None),
+        ("1", "00132", "Заличено обстоятелство", 1), ("1", "00140", "ИЗТРИТ ЧОВЕК, Държава: БЪЛГАРИЯ", 2), ("1", "00999", "НЕ Е ЧОВЕК, Държава: БЪЛГАРИЯ", 1),
+    ]
+    rows = G.people(spark.createDataFrame(f, "eik string, ident string, text string, op int")).collect()
+    got = {(r.field_ident, r.name, r.share_text, r.person_eik) for r in rows}
+    assert got == {
+        ("00070", "Румен Стоянов Дивов", None, None), ("00070", "РУМЕН СТОЯНОВ ДИМОВ", None, None), ("00190", "АНА ИВАНОВА", "50250.00 лв.", None), ("00190", "ИВО ПЕТРОВ", "10,5 €", None),
+        ("00230", '"ДАРЗАЛА ХОЛДИНГ" АД', None, "205127270"), ("00120", "ЯН НОВАК, Държава: АТЛАНТИДА ПЕТЪР К", None, None),
+    }
+    assert {r.role for r in rows} == {"manager", "partner", "sole_owner", "board_member"}
 
 
 def test_text_functions(spark):

@@ -31,11 +31,31 @@ def test_json_and_assembly(spark, tmp_path):
     assert out.count() == 3 and out.where("contract IS NULL").first().procedure.p == "q"
 
 
+def deed(eik, *fields, name="Firm", form=10):
+    f = lambda i, h, op=1, at=None: {"fieldIdent": i, "htmlData": h, "fieldOperation": op, "fieldEntryDate": at, "fieldActionDate": at, "recordMinActionDate": None}
+    return {"uic": eik, "companyName": name, "legalForm": form, "deedStatus": 1, "sections": [{"subDeeds": [{"groups": [{"fields": [f(*x) for x in fields]}]}]}]}
+
+
 def test_deeds(spark, tmp_path):
-    f = lambda i, h: {"fieldIdent": i, "htmlData": h, "fieldEntryDate": None, "fieldActionDate": None}
-    deed = {"uic": "123456789", "companyName": "Firm", "legalForm": 1, "deedStatus": 0, "sections": [{"subDeeds": [{"groups": [{"fields": [f("a", "<p>old</p>"), f("b", "x &amp; y")]}, {"fields": [f("a", "<p>new</p>")]}]}]}]}
-    (tmp_path / "d.json").write_text(json.dumps(deed))
-    assert {(r.ident, r.text) for r in R.deed_fields(spark, f"file://{tmp_path}/d.json").collect()} == {("a", "new"), ("b", "x & y")}
+    from ledgerlens.functions import registry as G
+
+    files = {
+        "a.json": deed("123456789", ("00061", "<p>Група по НКИД: 55.10 <br/>Клас по НКИД: Хотели &euro; &ndash; caf&eacute;</p>"), ("00310", "5000.00 лв."), ("00070", "СТАР УПРАВИТЕЛ, Държава: БЪЛГАРИЯ", 1, "2009-01-05T00:00:00"), ("00070", "НОВ УПРАВИТЕЛ, Държава: БЪЛГАРИЯ"), ("10019B", "Година: 2021 г. Година: 2022 г."), ("1001BI", "Година: 2023"), ("00020", "Фирма в ликвидация", 2), ("00510", "ликвидация на клон")),
+        "b.json": deed("223456789", ("00230", "ИЗТРИТ СОБСТВЕНИК, Държава: БЪЛГАРИЯ", 2), ("00030", "ЕООД"), ("00020", "&bdquo;Б&ldquo; - в несъстоятелност")),
+        "d.json": deed(None, ("a", "x")),
+    }
+    for name, d in files.items():
+        (tmp_path / name).write_text(json.dumps(d))
+    (tmp_path / "c.json").write_text("{broken")
+    deeds = R.deeds(spark, f"file://{tmp_path}")
+    assert {(r.file.rsplit("/", 1)[1], r.reason) for r in R.deed_failures(deeds).collect()} == {("c.json", "not JSON"), ("d.json", "no company number")}
+    fields = R.deed_fields(deeds)
+    c = {r.eik: r for r in G.company_records(fields).collect()}
+    a = c["123456789"]
+    assert (a.legal_form, a.status, a.nkid_code, a.nkid_label, a.last_annual_report_year, a.last_no_activity_declaration_year, str(a.registered_at)[:10]) == ("Еднолично дружество с ограничена отговорност", "active", "55.10", "Хотели € – café", 2022, 2023, "2009-01-05")
+    assert round(a.capital_eur, 2) == 2556.46 and a.source_url.endswith("?uic=123456789")
+    assert (c["223456789"].status, c["223456789"].legal_form) == ("insolvency", "ЕООД") and set(c) == {"123456789", "223456789"}
+    assert [(r.eik, r.name, r.is_current) for r in G.people(fields).collect()] == [("123456789", "НОВ УПРАВИТЕЛ", True)]
 
 
 def test_html_links_and_names(spark, tmp_path):
@@ -44,7 +64,15 @@ def test_html_links_and_names(spark, tmp_path):
     assert [(r.heading, r.href, r.text) for r in rows] == [("May 2026", "x/B1_2026_05.xls", "one"), ("June", "y.pdf", "two b")]
     names = spark.createDataFrame([("B1_2026_05.xls",), ("kapitalovi 06.2025.xlsx",), ("other.txt",)], "n string")
     out = [tuple(r.c) for r in names.select(R.classify_filename(F.col("n")).alias("c")).collect()]
-    assert out == [("B1", 2026, 5), ("CAPITAL", 2025, 6), (None, None, None)]
+    assert [x[:3] for x in out] == [("other", None, None), ("capital_xlsx", None, None), ("other", None, None)]
+    want = {
+        "B1_2019_3_5206.xls": ("B1", 2019, 3, None, "high"), "B3_2019_1_5206.xls": ("B3", 2019, 3, 1, "high"), "B3_2018_4_5206.xls": ("B3", 2018, 12, 4, "high"), "IB3_2019_1_5206_K33.xls": ("IB3_K33", 2019, 3, 1, "high"),
+        "IB1_2026_8_5206_DES.xls": ("IB1_DES", 2026, 8, None, "high"), "IB1_2026_8_5206.xls": ("other", 2026, 8, None, "high"), "august2026.xlsx": ("capital_xlsx", 2026, 8, None, "medium"), "june26.xlsx": ("capital_xlsx", 2026, 6, None, "medium"),
+        "Месечен отчет за 2022 Юни 5206 Несебър.xlsx": ("capital_xlsx", 2022, 6, None, "high"), "m-otchet-0822.xlsx": ("capital_xlsx", 2022, 8, None, "low"), "otchet.xlsx": ("capital_xlsx", None, None, None, "none"),
+        "Budget_2018_5206.xlsx": ("other", None, None, None, "none"), "NaturiPokazateli_2019_5206.xlsx": ("other", None, None, None, "none"), "kp01.01.16.xlsx": ("other", None, None, None, "none"), "regUV2019.pdf": ("other", None, None, None, "none"),
+    }
+    names = spark.createDataFrame([(n,) for n in want], "n string")
+    assert {r.n: tuple(r.c) for r in names.select("n", R.classify_filename(F.col("n")).alias("c")).collect()} == want
     cur = spark.createDataFrame([("хил. лева", None), (None, "2026-01"), (None, "2025-12"), ("EUR", "2020-01"), (None, None)], "m string, p string")
     assert [r.c for r in cur.select(R.currency_of(F.col("m"), F.col("p")).alias("c")).collect()] == ["BGN", "EUR", "BGN", "EUR", "BGN"]
 
@@ -58,8 +86,15 @@ def test_cells(spark):
 
 
 def test_reports_and_incremental(spark):
-    rows = spark.createDataFrame([(1, "2026-01", "B1", 1.0, True), (2, "2026-01", "B1", 2.0, False), (3, None, "B1", 1.0, True), (4, None, "B1", 2.0, True)], "id long, period string, kind string, mtime double, supported boolean")
-    assert sorted(r.id for r in R.best_reports(rows).collect()) == [1, 3, 4]
+    at = lambda i, kind, name, period="2022-06", mtime=0.0: (i, period, kind, f"/cache/2022/07/{name}", mtime)
+    cash = [at(10, "B1", "B1_2022_6_5206.xls", mtime=50.0), at(11, "B3", "B3_2022_2_5206.xls", mtime=1.0), at(12, "B1", "B1_2022_7_5206.xls", "2022-07"), at(14, "B1", "B1_x.xls", None), at(16, "B3", "B3_x.xls", None), at(15, "IB3_DES", "IB3_2022_2_5206_DES.xls"), at(13, "capital_xlsx", "Месечен отчет.xlsx")]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, period string, kind string, file_path string, mtime double")
+    assert sorted(r.id for r in R.best_reports(frame(cash)).collect()) == [11, 12, 13, 14, 16]
+    k = "capital_xlsx"
+    order = [at(7, k, "m-otchet-5206.xlsx", mtime=200.0), at(6, k, "m-otchet-aug.xlsx", mtime=100.0), at(5, k, "otchet2022dec5206.xlsx"), at(1, k, "Месечен отчет за 2022 Юни 5206 Несебър (1).xlsx", mtime=900.0), at(4, k, "42022.xlsx", mtime=900.0), at(3, k, "3mesechen-mart.xlsx"), at(2, k, "Тримесечен отчет за 2022 Юни 5206 Несебър.xlsx")]
+    while order:
+        assert [r.id for r in R.best_reports(frame(order)).collect()] == [order[0][0]]
+        order.pop(0)
     new = spark.createDataFrame([("2026-01", "a"), ("2025-01", "b"), ("2025-01", "c"), (None, "d")], "period string, url string")
     known = spark.createDataFrame([("a",), ("b",)], "url string")
     assert sorted(r.url for r in R.incremental(new, known, "2026-01").collect()) == ["a", "c", "d"]
