@@ -32,7 +32,7 @@ from .groups import by_group
 SEED, SKETCH = 42, 1024
 CHECKED = 192  # texts that are held against one text in one task
 COMPARED = 2048  # rows of a key whose sketches are compared in one task, at least
-PARTNERS = 64  # candidates of a row that are checked at first; four times as many in every further round
+PARTNERS = 2  # candidates of a row that are checked at first; four times as many in every further round, of what is still apart
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
