@@ -33,6 +33,8 @@ from .common import materialize
 from .word_ids import word_ids
 
 CAPACITY = 2048
+#: Words whose ids a worker remembers.
+REMEMBERED = 250_000
 
 #: A group: how many sequences, and the (length, times) of each one's pieces from the start on.
 Group = tuple[int, tuple[tuple[int, int], ...]]
@@ -176,7 +178,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, k
 
     def run(batches: Iterator[pa.RecordBatch]):
         pa.default_memory_pool().release_unused()  # what earlier stages' batches left in this worker
-        words, part, seen = word_ids(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        words, part, seen = word_ids(path, REMEMBERED), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             row, piece, length, crc, rank, ids = [], [], [], [], [], []

@@ -29,10 +29,11 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds(dict):
-    """word -> ids as little-endian 32-bit integers; bounded, emptied when full."""
+    """word -> ids as little-endian 32-bit integers; bounded by remembered words, emptied when full."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,7 +55,7 @@ class WordIds(dict):
         if (out := self.pieces.get(piece)) is None:
             known = piece if piece.isascii() else "".join(map(self.byte_char.__getitem__, piece.encode()))
             out = array("I", [t.id for t in self.tokenizer.model.tokenize(known)]).tobytes()
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= self.remembered:
                 self.pieces.clear()
             self.pieces[piece] = out
         return out
@@ -65,7 +66,7 @@ class WordIds(dict):
         else:
             out = self._whole(word)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.clear()
             self[word] = out
         return out
@@ -77,11 +78,11 @@ class WordIds(dict):
         return self._whole(text) if odd else b"".join(map(self.__getitem__, text.split()))
 
 
-_MADE: dict[str, WordIds] = {}
+_MADE: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     """One per worker process."""
-    if path not in _MADE:
-        _MADE[path] = WordIds(path)
-    return _MADE[path]
+    if (path, remembered) not in _MADE:
+        _MADE[path, remembered] = WordIds(path, remembered)
+    return _MADE[path, remembered]
