@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry as G
 from ..functions import sections
+from ..sources import markup, paged
 from ..sources import readers as R
+from ..storage import materialize, new_path, remove_path
 from .base import Tables, query
 
 
@@ -69,7 +71,63 @@ w AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY r ORDER BY pos)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, section, CASE WHEN section = 'early' THEN CAST(length(line) AS VARCHAR) ELSE split_part(line, ',', 1) END AS entry
 FROM w WHERE mark IS NULL AND section <> '' AND line <> '' AND (section = 'early' OR contains(line, ','))"""
 
+def page_blocks(t: Tables):
+    """Every page's text blocks with the headings above them."""
+    return markup.page_blocks(t.pages.select("page_id", "html")).select("page_id", "position", F.md5("path").alias("path_md5"), F.md5("text").alias("text_md5"))
+
+
+def _blocks_sql() -> str:
+    from .text_queries import _ENTITIES
+
+    names = "|".join(markup.BLOCKS)
+    clean = f"trim(regexp_replace({_ENTITIES}, '[ \\t\\n\\r]+', ' ', 'g'), ' ')"
+    levels = range(1, 7)
+    last = ", ".join(f"max(CASE WHEN level = {k} THEN pos END) OVER w AS p{k}, last_value(CASE WHEN level = {k} THEN t END IGNORE NULLS) OVER w AS h{k}" for k in levels)
+    alive = ", ".join(f"CASE WHEN p{k} IS NOT NULL {''.join(f'AND p{k} > coalesce(p{j}, -1) ' for j in range(1, k))}THEN h{k} END" for k in levels)
+    return rf"""WITH k AS (SELECT page_id, regexp_extract_all(html || '<p>', '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[a-zA-Z/!?][^>]*>|[^<]+|<') AS l FROM pages WHERE html IS NOT NULL),
+t AS (SELECT page_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM k),
+b AS (SELECT *, regexp_matches(token, '(?i)^</?({names})([^a-zA-Z0-9]|$)') AS is_block, NOT regexp_matches(token, '^<(?s).') AS is_text FROM t),
+r AS (SELECT *, count(*) FILTER (is_block) OVER (PARTITION BY page_id ORDER BY i) AS run FROM b),
+g AS (SELECT page_id, run, coalesce(string_agg(token, '' ORDER BY i) FILTER (is_text), '') AS t, max(CASE WHEN is_block THEN CAST(nullif(regexp_extract(token, '(?i)^<h([1-6])([^a-zA-Z0-9]|$)', 1), '') AS INTEGER) END) AS level FROM r GROUP BY 1, 2),
+c AS (SELECT page_id, run, level, {clean} AS t FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS pos FROM c WHERE t <> ''),
+s AS (SELECT page_id, pos, level, t, {last} FROM n WINDOW w AS (PARTITION BY page_id ORDER BY pos))
+SELECT page_id, CAST(pos AS INTEGER) AS position, md5(concat_ws(' > ', {alive})) AS path_md5, md5(t) AS text_md5 FROM s WHERE level IS NULL"""
+
+
+BLOCKS = _blocks_sql()
+
+PAGE = 500
+
+
+def land_pages(t: Tables, path: str) -> None:
+    """events as the pages of sixteen registers, which end in four ways: they say so, give a count, stop short, or with an empty page."""
+    r = F.pmod("user_id", F.lit(16))
+    place = F.row_number().over(Window.partitionBy("resource").orderBy("event_id")) - 1
+    rows = t.events.select(r.cast("string").alias("resource"), "event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("item"))
+    pages = rows.withColumn("p", F.floor(place / PAGE)).groupBy("resource", "p").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"), F.count(F.lit(1)).alias("n"))  # at most PAGE rows
+    sizes = pages.groupBy("resource").agg(F.max("p").alias("last"), F.sum("n").alias("total"))
+    kind = F.col("resource").cast("int") % 4
+    beyond = sizes.where(kind.isin(2, 3)).select("resource", (F.col("last") + 1).alias("p"), F.lit("").alias("items"), F.lit(0).cast("long").alias("n"))
+    more = F.when(kind == 0, (F.col("p") < F.col("last")).cast("string")).when(kind == 3, "true").otherwise("null")
+    text = F.concat(F.lit('{"CurrentPageResults":['), "items", F.lit('],"HasMoreResults":'), more, F.when(kind == 1, F.concat(F.lit(',"ResultsCount":'), F.col("total").cast("string"))).otherwise(""), F.lit("}"))
+    every = pages.unionByName(beyond).join(sizes, "resource").select("resource", (F.col("p") * PAGE + 1).alias("start"), text.alias("value"))
+    every.repartition("resource", "start").write.partitionBy("resource", "start").text(path)
+
+
+def paged_events(t: Tables):
+    """All events, read through the paging source from the pages that they were landed as."""
+    path = new_path(t.spark, "pages")
+    land_pages(t, path)
+    items = paged.read_pages(t.spark, path=path, pagesize=str(PAGE)).where("failure IS NULL")
+    out = items.select(F.from_json("item", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
+    kept = materialize(out, "paged-events")
+    remove_path(t.spark, path)
+    return kept
+
+
 QUERIES = {
+    "paged_events": (query(paged_events), "SELECT event_id, user_id, event_type, value FROM events"),
+    "page_blocks": (query(page_blocks), BLOCKS),
     "name_resolution": (query(name_resolution), NAMES),
     "report_preference": (query(report_preference), PREFERENCE),
     "section_entries": (query(section_entries), SECTIONS),
