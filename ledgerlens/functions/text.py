@@ -29,14 +29,26 @@ def _literals(words) -> Column:
     return F.array(*map(F.lit, dict.fromkeys(words)))
 
 
+_NOTHING = "array<string>"
+
+
+def _where(test: Column, found: Column) -> Column:
+    """found, looked for only in texts that pass a cheap test."""
+    return F.when(test, found).otherwise(F.array().cast(_NOTHING))
+
+
 def _parcels(low: Column) -> Column:
+    return _where(low.rlike(r"\d[.,]\d"), _parcel_marks(low))
+
+
+def _parcel_marks(low: Column) -> Column:
     return F.transform(F.regexp_extract_all(low, F.lit(f"({PARCEL})"), F.lit(1)), lambda p: F.concat(F.lit("CAD:"), p))
 
 
 def tokens(text: Column, stop_words=STOP_WORDS, min_length: int = 3) -> Column:
     """Distinct lower-case words of at least min_length letters without stop words, and parcel identifiers as CAD:…"""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(F.regexp_replace(low, PARCEL, " "), _NO_WORD), lambda w: F.length(w) >= min_length)
+    words = F.filter(F.split(F.when(low.rlike(r"\d[.,]\d"), F.regexp_replace(low, PARCEL, " ")).otherwise(low), _NO_WORD), lambda w: F.length(w) >= min_length)
     return F.array_distinct(F.concat(F.array_except(words, _literals(stop_words)), _parcels(low)))
 
 
@@ -44,7 +56,7 @@ def distinctive(text: Column, places=PLACE_NAMES, stop_words=STOP_WORDS) -> Colu
     """Tokens that identify an object alone: parcels as CAD:…, places, streets as ST:…"""
     low = F.lower(F.coalesce(text, F.lit("")))
     named = F.array_intersect(F.split(low, _NO_WORD), _literals(places))
-    streets = F.array_except(F.regexp_extract_all(low, F.lit(STREET), F.lit(1)), _literals(stop_words))
+    streets = _where(low.contains("ул"), F.array_except(F.regexp_extract_all(low, F.lit(STREET), F.lit(1)), _literals(stop_words)))
     return F.array_distinct(F.concat(_parcels(low), named, F.transform(streets, lambda s: F.concat(F.lit("ST:"), s))))
 
 

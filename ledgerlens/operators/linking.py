@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import discard, materialize, spread
 from .periods import episodes
 from .sorted_groups import by_group
 
@@ -70,43 +71,58 @@ def greedy_one_to_one(left: DataFrame, right: DataFrame, key: str, left_schema:
     return by_group(episodes(both, "k", "at", reach), ["k", "episode"], match, "left_id long, right_id long", order=("at", "id"))
 
 
-def _rare_first(tokens: DataFrame, frequency: DataFrame, key: str, min_jaccard: float) -> DataFrame:
-    """The tokens (key, token, n) of each set that a set with an overlap of min_jaccard can't all miss: its rarest ones."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "token"))
-    needed = F.col("n") - F.ceil(F.lit(min_jaccard) * F.col("n") - 1e-9) + 1
-    return tokens.join(frequency, "token").withColumn("__rank", rank).where(F.col("__rank") <= needed).select(key, "token")
+def _rare_first(tokens: DataFrame, shared: DataFrame, key: str, min_jaccard: float) -> DataFrame:
+    """The tokens (key, token, n) of each set that a set with an overlap of min_jaccard can't all miss: its rarest ones of those that both sides have.
+
+    An overlap of min_jaccard takes ceil(min_jaccard * n) tokens of the m that are shared by the sides at all, so any
+    m - ceil(min_jaccard * n) + 1 of them hold one; sets with fewer shared tokens than that match nothing.
+    """
+    own = Window.partitionBy(key)
+    ranked = tokens.join(shared, "token").withColumn("__m", F.count(F.lit(1)).over(own)).withColumn("__rank", F.row_number().over(own.orderBy("df", "token")))
+    needed = F.col("__m") - F.ceil(F.lit(min_jaccard) * F.col("n") - 1e-9) + 1
+    return ranked.where(F.col("__rank") <= needed).select(key, "token")
 
 
 def best_match(objects: DataFrame, candidates: DataFrame, *, min_jaccard: float = 0.35, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """objects (object_id, text, size) with their best candidates (candidate_id, text, size): best_id and jaccard.
+    """objects (object_id, text, size) with their best candidates (candidate_id, text, size): best_id and jaccard; a written table.
 
     The ratio of the sizes has to lie in [low, high], and the token sets have to overlap by min_jaccard or to
     share a distinctive token (a parcel, a place, a street). The largest overlap wins, then the smallest id.
-    Pairs come from the rarest tokens of both sides, as many as the overlap can't all miss, and from shared
-    distinctive tokens, within bands of the sizes' logarithm; ids travel alone, token sets join the pairs.
+    Pairs come from the rarest tokens of both sides, as many as the overlap can't all miss, within bands of the sizes'
+    logarithm; ids travel alone, token sets join the pairs. A pair that reaches min_jaccard beats every other, so pairs
+    of shared distinctive tokens are looked at only for objects that no such pair has. Texts are read once, into a table
+    that both steps share.
     """
     band = lambda c: F.floor(F.log2(F.col(c).cast("double"))).cast("int")
     reach = range(math.floor(math.log2(low)), math.ceil(math.log2(high)) + 1)
 
     def side(rows: DataFrame, key: str) -> DataFrame:
-        return rows.where("size > 0").select(key, F.col("size").cast("double").alias("size"), X.tokens(F.col("text")).alias("tokens"), X.distinctive(F.col("text")).alias("marks"))
+        return materialize(spread(rows).where("size > 0").select(key, F.col("size").cast("double").alias("size"), X.tokens(F.col("text")).alias("tokens"), X.distinctive(F.col("text")).alias("marks")), f"match-{key}")
 
     o, c = side(objects, "object_id"), side(candidates, "candidate_id")
-    bands = lambda c: F.array(*[(c + k) for k in reach])
     o_size = o.select("object_id", F.col("size").alias("os"), band("size").alias("band"))
-    c_size = c.select("candidate_id", F.col("size").alias("cs"), F.explode(bands(band("size"))).alias("band"))
+    c_size = c.select("candidate_id", F.col("size").alias("cs"), F.explode(F.array(*[band("size") + k for k in reach])).alias("band"))
+    fits = (F.col("os") >= F.lit(low) * F.col("cs")) & (F.col("os") <= F.lit(high) * F.col("cs"))
+
+    def best_of(keyed_o: DataFrame, keyed_c: DataFrame, least: float) -> DataFrame:
+        """The best candidate of every object that shares a token (id, token) with it and overlaps by least."""
+        met = keyed_o.join(o_size, "object_id").join(keyed_c.join(c_size, "candidate_id"), ["token", "band"])
+        pairs = met.where(fits).select("object_id", "candidate_id").distinct()
+        both = pairs.join(o.select("object_id", F.col("tokens").alias("a")), "object_id").join(c.select("candidate_id", F.col("tokens").alias("b")), "candidate_id")
+        scored = both.select("object_id", "candidate_id", X.jaccard(F.col("a"), F.col("b")).alias("jaccard")).where(F.col("jaccard") >= least)
+        best = scored.groupBy("object_id").agg(F.min(F.struct((-F.col("jaccard")).alias("score"), "candidate_id")).alias("best"))
+        return best.select("object_id", F.col("best.candidate_id").alias("best_id"), (-F.col("best.score")).alias("jaccard"))
+
     each = lambda rows, key: rows.select(key, F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
     ot, ct = each(o, "object_id"), each(c, "candidate_id")
-    frequency = ot.select("token").unionByName(ct.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = lambda rows: rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    shared = counts(ot).join(counts(ct).withColumnRenamed("n", "m"), "token").select("token", (F.col("n") + F.col("m")).alias("df"))
+    by_tokens = materialize(best_of(_rare_first(ot, shared, "object_id", min_jaccard), _rare_first(ct, shared, "candidate_id", min_jaccard), min_jaccard), "match-tokens")
     marks = lambda rows, key: rows.select(key, F.explode("marks").alias("token"))
-    keyed_o = _rare_first(ot, frequency, "object_id", min_jaccard).select("object_id", "token", F.lit(0).alias("kind")).unionByName(marks(o, "object_id").select("object_id", "token", F.lit(1).alias("kind")))
-    keyed_c = _rare_first(ct, frequency, "candidate_id", min_jaccard).select("candidate_id", "token", F.lit(0).alias("kind")).unionByName(marks(c, "candidate_id").select("candidate_id", "token", F.lit(1).alias("kind")))
-    met = keyed_o.join(o_size, "object_id").join(keyed_c.join(c_size, "candidate_id"), ["kind", "token", "band"])
-    pairs = met.where((F.col("os") >= F.lit(low) * F.col("cs")) & (F.col("os") <= F.lit(high) * F.col("cs"))).groupBy("object_id", "candidate_id").agg(F.max("kind").alias("marked"))
-    both = pairs.join(o.select("object_id", F.col("tokens").alias("a")), "object_id").join(c.select("candidate_id", F.col("tokens").alias("b")), "candidate_id")
-    scored = both.select("object_id", "candidate_id", "marked", X.jaccard(F.col("a"), F.col("b")).alias("jaccard")).where((F.col("jaccard") >= min_jaccard) | (F.col("marked") == 1))
-    best = scored.groupBy("object_id").agg(F.min(F.struct((-F.col("jaccard")).alias("score"), "candidate_id")).alias("best"))
-    return best.select("object_id", F.col("best.candidate_id").alias("best_id"), (-F.col("best.score")).alias("jaccard"))
+    rest = marks(o, "object_id").join(by_tokens.select("object_id"), "object_id", "left_anti")
+    out = materialize(by_tokens.unionByName(best_of(rest, marks(c, "candidate_id"), 0.0)), "match-best")
+    discard(o, c, by_tokens)
+    return out
 
 
 def unmatched(objects: DataFrame, matches: DataFrame, key: str = "object_id") -> DataFrame:
