@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import bounded_batches, discard, materialize, new_path, shuffle_partitions
+from ..storage import discard, materialize, new_path, shuffle_partitions, spread
 
 __all__ = ["SPACE", "WORD", "discard", "materialize", "new_path", "read_table", "shuffle_partitions", "small", "spread", "without"]
 
@@ -20,18 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files are too small for Spark to cut them into as many splits; else as it is.
-
-    The bound is what opening a file counts for (spark.sql.files.openCostInBytes, 4 MB) for every core.
-    """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * (4 << 20) else df
-
-
 def small(ids: DataFrame) -> DataFrame:
     """ids, a written table, marked for broadcast where it is proven to have at most BROADCAST_IDS rows."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
