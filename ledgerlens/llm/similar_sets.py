@@ -5,7 +5,7 @@ rows that share a key are candidates. Equal sets are settled by their digest, an
 Every row is first held against its key's smallest id only, so that a group of near copies costs one comparison a
 row; whole texts are compared pair by pair of (row, smallest id). Keys whose rows are then one component are done. In
 the others, rows of different components that may be similar are compared too, the first few of each row and then
-ever more, until none is left: no candidate's link is lost and no group's pairs are listed. A large key is cut by set
+more and more, until none is left: no candidate's link is lost and no group's pairs are listed. A large key is cut by set
 sizes first, since sets of one part in PERCENT are about as large. Left out are only pairs that can't be similar: odd
 sketches (bit b is the parity of the distinct shingles whose hash is b modulo SKETCH) differ in no more bits than the
 sets in shingles. On sets of over 2000 shingles that leaves few out, so long texts cost more there, but none is lost.
@@ -32,7 +32,8 @@ from .groups import by_group
 SEED, SKETCH = 42, 1024
 CHECKED = 192  # texts that are held against one text in one task
 COMPARED = 2048  # rows of a key whose sketches are compared in one task, at least
-PARTNERS = 2  # candidates of a row that are checked at first; four times as many in every further round, of what is still apart
+PARTNERS = 2  # candidates of a row that are checked at first; MORE times as many in every further round, of what is still apart
+MORE = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -222,23 +223,22 @@ def linked(tagged: DataFrame, described: DataFrame, like: Likeness) -> DataFrame
     while True:
         labelled = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("label"))
         found = materialize(partners(labelled, sets, most, like, COMPARED), "near-partners")
-        fresh = found.where("a IS NOT NULL")
-        for t in tested:
-            fresh = fresh.join(t, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "near-pairs")
-        more = not found.where("a IS NULL").isEmpty()
-        discard(found)
-        tested.append(fresh)
-        if not fresh.isEmpty():
-            similar = similar_pairs(tagged, fresh, like)
+        n, more = found.agg(F.count("a"), F.count_if(F.col("a").isNull())).first()
+        if n:
+            fresh = found.where("a IS NOT NULL")
+            for t in tested:
+                fresh = fresh.join(t, ["a", "b"], "left_anti")
+            tested.append(materialize(fresh, "near-pairs"))
+            similar = similar_pairs(tagged, tested[-1], like)
             if not similar.isEmpty():  # labels and new links hold all links so far
                 known = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
                 old, labels = labels, components(known.unionByName(similar), "near-components")
                 discard(old)
             discard(similar)
+        discard(found)
         if not more:
             break
-        most *= 4
+        most *= MORE
     out = materialize(sets.join(labels, sets["id"] == labels["node"], "left").select("digest", F.coalesce("root", "id").alias("root")), "near-roots")
     discard(sets, rows, labels, *tested)
     return out
