@@ -10,8 +10,9 @@ links. Files are opened through Arrow's file systems, by uri.
 Cases: a null url or body counts as empty; a null record has no derivatives. A block that isn't an HTTP
 response is converted as it is. Bytes that aren't in the declared charset, or whose charset isn't known, become
 U+FFFD or are read as UTF-8. A binary may hold several records: each has its row. What isn't a record (no end
-of the headers, no length, a block cut short, other bytes, broken gzip) gives a row with column error and never
-fails the job. An element whose text isn't shown and that is never closed hides nothing. Equal pages give
+of the headers, no length, a block cut short or of over RECORD bytes, headers of over HEAD bytes, other bytes, broken
+gzip) gives rows with column error and never fails the job; what follows it is read. Padding between gzip members is
+passed over. An element whose text isn't shown and that is never closed hides nothing. Equal pages give
 records with equal ids only where page_id and url are equal too. Records that aren't responses have no
 derivatives. An empty table gives an empty result. Columns of other names are carried by ``derive``.
 """
@@ -54,12 +55,18 @@ def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-HEAD = 1 << 20  # bytes of a record's headers at most
-PIECE = 1 << 20  # bytes read at a time
+PIECE = 1 << 20  # bytes read at a time, and of an error row at most
+HEAD = 1 << 26  # bytes of a record's headers at most; longer ones are no record
+RECORD = 1 << 30  # bytes of a block at most: a row holds no more; a longer one is passed over
+_MAGIC = b"WARC/1."
 
 
 def records(pieces: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
-    """(headers, block, error) of all records in a stream of bytes; it holds one record and one piece."""
+    """(headers, block, error) of all records in a stream of bytes.
+
+    It holds one record and one piece, and looks at every byte a fixed number of times. Bytes that are no record leave
+    in error rows of at most PIECE bytes as they come.
+    """
     buffer, source = bytearray(), iter(pieces)
 
     def more() -> bool:
@@ -69,19 +76,31 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], by
         return True
 
     while True:
-        while (at := buffer.find(b"WARC/1.")) < 0 and more():
-            pass
-        between = bytes(buffer[:at] if at >= 0 else buffer).strip()
-        if between:
-            yield [], between, "bytes that are no record"
+        # to the next record: what lies before it leaves in pieces, but for a tail that may start one
+        while (at := buffer.find(_MAGIC)) < 0:
+            whole = max(0, len(buffer) - len(_MAGIC)) // PIECE * PIECE
+            for k in range(0, whole, PIECE):
+                if (stray := bytes(buffer[k : k + PIECE])).strip():
+                    yield [], stray, "bytes that are no record"
+            del buffer[:whole]
+            if not more():
+                break
+        between = bytes(buffer[:at] if at >= 0 else buffer)
+        if between.strip():
+            for k in range(0, len(between), PIECE):
+                yield [], between[k : k + PIECE], "bytes that are no record"
         if at < 0:
             return
         del buffer[:at]
-        while (end := buffer.find(b"\r\n\r\n")) < 0 and len(buffer) < HEAD and more():
-            pass
+        seen = 0
+        while (end := buffer.find(b"\r\n\r\n", seen)) < 0 and len(buffer) < HEAD:
+            seen = max(0, len(buffer) - 3)
+            if not more():
+                break
         if end < 0:
-            yield [], bytes(buffer[:HEAD]), "headers don't end"
-            del buffer[:HEAD]
+            for k in range(0, len(buffer), PIECE):
+                yield [], bytes(buffer[k : k + PIECE]), "headers don't end"
+            buffer.clear()
             continue
         headers = _headers(bytes(buffer[:end]))
         length = get(headers, "Content-Length") or ""
@@ -89,12 +108,22 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], by
             yield headers, b"", "no length"
             del buffer[: end + 4]
             continue
-        whole = end + 4 + int(length)
-        while len(buffer) < whole and more():
+        del buffer[: end + 4]
+        left = int(length)
+        if left > RECORD:
+            yield headers, b"", "block is too long"
+            while left > len(buffer):
+                left -= len(buffer)
+                buffer.clear()
+                if not more():
+                    return
+            del buffer[:left]
+            continue
+        while len(buffer) < left and more():
             pass
-        block = bytes(buffer[end + 4 : whole])
-        yield headers, block, None if len(buffer) >= whole else "block is cut short"
-        del buffer[:whole]
+        block = bytes(buffer[:left])
+        yield headers, block, None if len(block) == left else "block is cut short"
+        del buffer[:left]
 
 
 def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
@@ -117,20 +146,68 @@ def get(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+class Broken(bytes):
+    """Stands for the rest of a gzip member that can't be read."""
+
+
+_GZIP = b"\x1f\x8b\x08"
+
+
 def plain(pieces: Iterable[bytes]) -> Iterator[bytes]:
-    """The bytes of all gzip members in a stream; the stream itself where it isn't gzip."""
-    member, packed = None, None
+    """The bytes of all gzip members in a stream; the stream itself where it isn't gzip.
+
+    What stands between members (padding, or the rest of a broken one, for which a ``Broken`` is given) is passed over up
+    to the next one's first bytes.
+    """
+    member, packed, held = None, None, b""
     for piece in pieces:
-        packed = piece[:2] == b"\x1f\x8b" if packed is None else packed
+        held += piece
+        if packed is None and len(held) < len(_GZIP):
+            continue
+        packed = held.startswith(_GZIP) if packed is None else packed
         if not packed:
+            yield held
+            held = b""
+        while held:
+            if member is None:
+                if (at := held.find(_GZIP)) < 0:
+                    held = held[-2:]
+                    break
+                held, member = held[at:], zlib.decompressobj(31)
+            try:
+                data = member.decompress(held, PIECE)
+                if data:
+                    yield data
+                while member.unconsumed_tail:
+                    yield member.decompress(member.unconsumed_tail, PIECE)
+                held = member.unused_data
+                member = None if member.eof else member
+            except zlib.error as e:
+                yield Broken(str(e).encode())
+                held, member = held[len(_GZIP) :], None
+    if packed is None and held:
+        yield held
+    if member is not None:
+        yield Broken(b"a gzip member is cut short")
+
+
+def stream_records(pieces: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """``records`` of the pieces that ``plain`` gives: a broken member ends the record that it stands in, with an error row of its own, and reading goes on behind it."""
+    source, broken = plain(pieces), []
+
+    def until_broken():
+        for piece in source:
+            if isinstance(piece, Broken):
+                broken.append(piece)
+                return
             yield piece
-        while packed and piece:
-            member = member or zlib.decompressobj(31)
-            yield member.decompress(piece, PIECE)
-            while member.unconsumed_tail:
-                yield member.decompress(member.unconsumed_tail, PIECE)
-            piece = member.unused_data
-            member = None if member.eof else member
+
+    while True:
+        broken.clear()
+        yield from records(until_broken())
+        if not broken:
+            return
+        yield [], b"", broken[0].decode()
 
 
 class _Page(HTMLParser):
@@ -156,6 +233,8 @@ class _Page(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
             self.parts.append("\n")
+        if tag == "a":
+            self.links += [v for k, v in attrs if k == "href" and v]
 
     def handle_endtag(self, tag):
         if tag in self.hidden:
@@ -307,14 +386,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name in b.column("path").to_pylist():
-                k = 0
-                try:
-                    for headers, block, error in records(plain(_pieces(name))):
-                        record = block if error else build([x for x in headers if x[0].lower() != "content-length"], block)
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([record], pa.binary()), pa.array([error], pa.string())], ["path", "position", "record", "error"])
-                        k += 1
-                except zlib.error as e:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([None], pa.binary()), pa.array([str(e)])], ["path", "position", "record", "error"])
+                for k, (headers, block, error) in enumerate(stream_records(_pieces(name))):
+                    record = block if error else build([x for x in headers if x[0].lower() != "content-length"], block)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([record], pa.binary()), pa.array([error], pa.string())], ["path", "position", "record", "error"])
 
     names = spark.read.format("binaryFile").load(path).select("path")  # the files' contents aren't read here
     return names.mapInArrow(run, "path string, position long, record binary, error string")

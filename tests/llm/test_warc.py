@@ -91,3 +91,61 @@ def test_records_of_any_cut():
         assert list(warc.records(data[k : k + n] for k in range(0, len(data), n))) == whole
     packed = b"".join(gzip(data[k : k + 500]) for k in range(0, len(data), 500))
     assert b"".join(warc.plain(packed[k : k + 13] for k in range(0, len(packed), 13))) == data
+
+
+def test_junk_leaves_in_bounded_rows_in_linear_time():
+    import time
+
+    good = warc.response(1, "u", "<p>x</p>")
+    piece = bytes(range(1, 251)) * 4400
+
+    def pieces(n):
+        yield good
+        for _ in range(n):
+            yield piece
+        yield good
+
+    took = {}
+    for n in (20, 80):
+        start = time.perf_counter()
+        out = list(warc.records(pieces(n)))
+        took[n] = time.perf_counter() - start
+        assert [e for *_, e in out if e is None] == [None, None] and sum(len(b.strip()) for _, b, e in out if e) >= n * len(piece) - 8 * len(out)
+        assert max(len(b) for _, b, e in out if e) <= warc.PIECE
+    assert took[80] < 20 * max(took[20], 0.01)
+
+
+def test_long_headers_and_long_blocks(monkeypatch):
+    long = warc.build([("WARC-Type", "response"), ("X", "y" * (3 << 20))], b"block")
+    good = warc.response(1, "u", "<p>x</p>")
+    out = list(warc.records([long[:100], long[100:] + good]))
+    assert [e for *_, e in out] == [None, None] and out[0][1] == b"block"
+    monkeypatch.setattr(warc, "RECORD", 1000)
+    big = warc.build([("WARC-Type", "response")], b"z" * 5000)
+    data = good + big + good
+    for n in (7, 999, 10**6):
+        out = list(warc.records(data[k : k + n] for k in range(0, len(data), n)))
+        assert [e for *_, e in out] == [None, "block is too long", None]
+    monkeypatch.setattr(warc, "HEAD", 500)
+    assert [e for *_, e in warc.records([b"WARC/1.1\r\n" + b"h" * 2000])] == ["headers don't end"]
+
+
+def test_padding_and_broken_members():
+    a, b, c = (warc.response(k, "u", f"<p>{k}</p>") for k in range(3))
+    broken = gzip(b)
+    broken = broken[:30] + bytes(40) + broken[70:]
+    cases = [
+        (gzip(a) + bytes(5000) + gzip(b) + b"pad" + gzip(c), [None, None, None]),
+        (gzip(a) + broken + gzip(c), [None, "error", None]),
+        (gzip(a) + gzip(b)[:60], [None, "error"]),
+    ]
+    for data, want in cases:
+        for n in (1, 13, 4096):
+            out = list(warc.stream_records(data[k : k + n] for k in range(0, len(data), n)))
+            errors = [e for *_, e in out]
+            assert [e for e in errors if e is None] == [e for e in want if e is None] and any(errors) == ("error" in want)
+            assert errors[0] is None and (errors[-1] is None) == (want[-1] is None)
+
+
+def test_self_closed_links():
+    assert warc.page_text("<p>x <a href='/u'/> y</p>")[2] == ["/u"]
