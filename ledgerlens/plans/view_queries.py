@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import amounts as A
 from ..operators import grouping as G
+from ..operators import message as M
 from ..operators import views as V
 from .base import Tables, query
 
@@ -132,7 +133,27 @@ l AS (SELECT vec_id, label, x, CASE WHEN x - lag(x) OVER w <= 0.0004 THEN 0 ELSE
 g AS (SELECT vec_id, label, sum(s) OVER (PARTITION BY label ORDER BY x, vec_id) AS g FROM l)
 SELECT min(vec_id) AS component, count(*) AS n FROM g GROUP BY label, g HAVING count(*) > 1"""
 
+
+def grouped_messages(t: Tables):
+    """One message for each order priority: the ten gravest orders, the counts of the rest."""
+    k = F.col("o_orderkey")
+    severity = F.when(k % 997 == 0, "high").when(k % 3 == 0, "warning").when(k % 3 == 1, "info").otherwise("unheard")
+    flags = t.orders.select("o_orderpriority", "o_orderkey", severity.alias("severity"), F.concat(F.lit("Order <"), k.cast("string"), F.lit("> & co.")).alias("message"), "o_totalprice")
+    return M.grouped_message(flags, ["o_orderpriority"], flag_id="o_orderkey", message="message", severity="severity", order=[F.desc("o_totalprice"), "o_orderkey"], base_url="http://x")
+
+
+def _messages_sql() -> str:
+    emoji = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.EMOJI.items())
+    rest = ", ".join(f"CASE WHEN count(*) FILTER (r > 10 AND severity = '{k}') > 0 THEN '{M.EMOJI[k]} ' || count(*) FILTER (r > 10 AND severity = '{k}') || ' {M.NAMES[k]}' END" for k in sorted(M.EMOJI))
+    return f"""WITH f AS (SELECT o_orderpriority, o_orderkey AS k, o_totalprice AS v, CASE WHEN o_orderkey % 997 = 0 THEN 'high' WHEN o_orderkey % 3 = 0 THEN 'warning' WHEN o_orderkey % 3 = 1 THEN 'info' ELSE 'unheard' END AS severity FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 9 END, v DESC, k) AS r FROM f)
+SELECT o_orderpriority, count(*) AS n, rtrim('<b>Нови сигнали — ' || count(*) || ' нов(и) сигнал(и)</b>' || chr(10) || chr(10)
+  || string_agg(CASE severity {emoji} ELSE '•' END || ' Order &lt;' || k || '&gt; &amp; co.' || chr(10) || '<a href="http://x/flags/#' || k || '">http://x/flags/#' || k || '</a>' || chr(10), chr(10) ORDER BY r) FILTER (r <= 10)
+  || CASE WHEN count(*) > 10 THEN chr(10) || '{M.MORE}' || (count(*) - 10) || coalesce(': ' || nullif(concat_ws(', ', {rest}), ''), '') || '.' ELSE '' END, chr(10) || ' ') AS text FROM p GROUP BY 1"""
+
+
 QUERIES = {
+    "grouped_messages": (query(grouped_messages), _messages_sql()),
     "contractor_profile": (query(contractor_profile), PROFILE),
     "by_year": (query(by_year), BY_YEAR),
     "top_preview": (query(top_preview), TOP_PREVIEW),

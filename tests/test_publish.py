@@ -237,3 +237,17 @@ def test_provenance(spark):
     lit = lambda x: F.lit(x).cast("string")
     f, r, d, p = one(spark, provenance.flag(lit("r"), lit("k"), lit("l")), provenance.registry(lit("1"), lit("A"), lit("u"), status=lit("active")), provenance.declaration(lit("N"), lit("2023"), lit("u")), provenance.reports_page(lit("u"), lit("2020-01")))
     assert (f.kind, r.label, d.label, p.label) == ("flag", "A (1)", "N, 2023", "reports page, looked for януари 2020") and r.fields[0].value == "active"
+
+
+def test_grouped_message(spark):
+    from ledgerlens.operators import message as M
+
+    rows = [(1, "warning", "A <b>bold</b> & more"), (2, "high", "Изисква обяснение."), (3, "info", "x"), (4, "warning", "y"), (5, None, "z")]
+    df = spark.createDataFrame(rows, "id long, severity string, message string")
+    make = lambda n, d=df: M.grouped_message(d, [], flag_id="id", message="message", severity="severity", order=["id"], base_url="http://s", shown=n).collect()
+    (r,) = make(2)
+    assert r.n == 5 and r.text.split("\n")[:4] == ["<b>Нови сигнали — 5 нов(и) сигнал(и)</b>", "", "\U0001f6a8 Изисква обяснение.", '<a href="http://s/flags/#2">http://s/flags/#2</a>']
+    assert "A &lt;b&gt;bold&lt;/b&gt; &amp; more" in r.text and r.text.endswith("...и още 3: ℹ️ 1 информация, ⚠️ 1 предупреждение.")
+    (r,) = make(10)
+    assert r.text.endswith('• z\n<a href="http://s/flags/#5">http://s/flags/#5</a>') and "още" not in r.text
+    assert [tuple(x) for x in make(3, df.where("false"))] == [(0, M.NOTHING)]
