@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import linking as L
+from ..operators.gazetteer import settlements_of_many
 from ..operators.places import settlements
 from .base import Tables, query
 
@@ -130,6 +131,12 @@ def settlement_detect(t: Tables):
     return t.documents.select("doc_id", F.array_join(found, ",").alias("places")).where("places <> ''")
 
 
+def settlement_automaton(t: Tables):
+    """The same by the automaton for large lists of names."""
+    found = settlements_of_many("text", PLACES, {}, "and", ("the", "of"))
+    return t.documents.select("doc_id", F.array_join(found, ",").alias("places")).where("places <> ''")
+
+
 SETTLEMENT = rf"""
 WITH t AS (SELECT doc_id, ' ' || regexp_replace(regexp_replace(lower(text), '(the|of)(\s{{0,9}})and', '\1\2_', 'g'), '[^\p{{L}}\p{{N}}_]+', '  ', 'g') || ' ' AS t FROM documents),
 h AS (SELECT doc_id, place, min(instr(t, ' ' || alias || ' ')) AS pos FROM t, (VALUES {", ".join(map(str, PLACES))}) AS a(place, alias) WHERE instr(t, ' ' || alias || ' ') > 0 GROUP BY 1, 2)
@@ -153,5 +160,6 @@ QUERIES = {
     "page_fields": (query(page_fields), PAGE_FIELDS),
     "json_path": (query(json_path), JSON_PATH),
     "settlement_detect": (query(settlement_detect), SETTLEMENT),
+    "settlement_automaton": (query(settlement_automaton), SETTLEMENT),
     "name_keys": (query(name_keys), NAME_KEYS),
 }
