@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for made in _recorded:
+        made.append(out)
     return out
 
 
+_recorded: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that materialize writes inside, as they come."""
+    made: list[DataFrame] = []
+    _recorded.append(made)
+    try:
+        yield made
+    finally:
+        _recorded[:] = [x for x in _recorded if x is not made]
+
+
+def discard_unread(tables: list[DataFrame], result: DataFrame) -> None:
+    """Delete those of tables, made by materialize, from which result doesn't read any more."""
+    read = [f.split("://")[-1].lstrip("/") for f in result.inputFiles()]
+    for t in tables:
+        path = t._written_to.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/")
+        if not any(path in f for f in read):
+            discard(t)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by materialize that no later result reads."""
     for t in tables:
