@@ -452,6 +452,51 @@ def test_pipeline(spark, tmp_path):
     assert all(texts[i] for i in kept)
 
 
+def test_pipeline_stages_with_odd_tables(spark, tmp_path):
+    """Empty tables, columns of clashing names and a very long text, through every stage and through run."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    vocab = ["river", "mill", "lamp", "town", "people", "evening", "market", "bridge", "the", "and", "of", "a", "in", "to", "was", "were"]
+    words_ = [str(w) for w in rng.choice(vocab, 60000)]
+    long = ". ".join(" ".join(words_[k : k + 12]).capitalize() + f" {k}" for k in range(0, 60000, 12)) + "."
+    rows = [(i, t) for i, t in TEXTS if i is not None] + [(500, long), (501, long)]
+    for name, rows_ in (("odd", rows), ("empty", [])):
+        stage_docs = stable(spark, rows_)
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, stage_docs, "").collect()
+            ids = {r.doc_id for r in out}
+            assert ids <= {i for i, _ in rows_} and stage(spark, stage_docs, "").columns == stage_docs.columns, step
+            assert all(r[c] == "x" for r in out for c in CLASH), step
+        d = tmp_path / name
+        docs(spark, rows_).write.parquet(f"file://{d}/documents.parquet")
+        packed_ = corpus_pipeline.run(spark, f"file://{d}").collect()
+        if name == "empty":
+            assert packed_ == []
+        else:
+            assert 500 not in {r.doc_id for r in packed_}  # of equal texts the largest id stays
+            longest = [r for r in packed_ if r.doc_id == 501]
+            assert not longest or sum(r.length for r in longest) == len(ids_of(long)) + 1
+
+
+def ids_of(text):
+    return ids(WORD_BPE, text)
+
+
+def test_pipeline_leaves_two_tables(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from ledgerlens.storage import work_folder
+
+    folder = work_folder(spark).removeprefix("file://")
+    docs(spark).write.parquet(f"file://{tmp_path}/documents.parquet")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"pieces", "piece-ranks"} and out.count() > 0
+
+
 def test_quality_scores_rank_the_labels(spark):
     """Area under the curve of the score against the table of quality labels, which the classifier never reads."""
     from pathlib import Path
