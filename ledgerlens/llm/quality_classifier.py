@@ -123,7 +123,7 @@ def accuracies(rates: np.ndarray) -> np.ndarray:
 def shape(word: str) -> str:
     """Runs of upper-case letters, other letters and digits as X, x and 0; runs of one sign as that sign."""
     out = ""
-    for c in word[:64]:
+    for c in word:
         k = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
         if not out.endswith(k):
             out += k
