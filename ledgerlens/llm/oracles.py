@@ -104,9 +104,10 @@ kinds AS (SELECT k, xor(list_reduce(list_concat([4294967295::BIGINT], list_trans
 damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
   FROM named JOIN kinds USING (k)),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM damaged),
 placed AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
-  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid) > 1 AS seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM numbered WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid)),
 flags AS MATERIALIZED (SELECT conv_id, turn, i, role, text, last = '' AS blank, last <> '' AND seen AS again, last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS cut,
     pair NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
 walk AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {_NONE} AS s1, {_NONE} AS s2, {_NONE} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
