@@ -30,11 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .word_ids import word_ids
+from .word_ids import REMEMBERED, word_ids
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers.
-REMEMBERED = 250_000
 
 #: A group: how many sequences, and the (length, times) of each one's pieces from the start on.
 Group = tuple[int, tuple[tuple[int, int], ...]]
@@ -171,14 +169,14 @@ def place(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return sequence + k // np.maximum(times, 1), offset + k % np.maximum(times, 1) * length
 
 
-def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) part, local_rank among the task's pieces of that length."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]):
         pa.default_memory_pool().release_unused()  # what earlier stages' batches left in this worker
-        words, part, seen = word_ids(path, REMEMBERED), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        words, part, seen = word_ids(path, remembered), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             row, piece, length, crc, rank, ids = [], [], [], [], [], []
@@ -202,9 +200,9 @@ def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, k
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids binary" * keep_ids)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """The pieces with sequence_id and offset."""
-    pieces = materialize(cut(docs, path, end_id, capacity, keep_ids), "pieces")
+def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """The pieces with sequence_id and offset. A worker remembers the ids of so many words."""
+    pieces = materialize(cut(docs, path, end_id, capacity, keep_ids, remembered), "pieces")
     per_task = pieces.groupBy("part", "length").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialize(per_task.select("part", "length", "count", before.alias("before")), "piece-ranks")
