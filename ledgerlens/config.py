@@ -71,12 +71,12 @@ class Thresholds:
     status_value: float = 100_000
     status_lag_years: int = 2
     mismatch_value: float = 50_000
-    #: (activity divisions, contract division) that don't go together.
+    # Fixed values: (activity divisions, contract division) that don't go together.
     mismatch_pairs: tuple = ((("55", "56", "68"), "45"), (("55", "56", "68"), "71"), (("64", "65", "66"), "45"), (("97", "98"), "45"))
     twin_tolerance: float = 0.02
 
 
-#: CPV prefixes of the services that have higher limits (a list fixed by law).
+# CPV prefixes of the services that have higher limits, by law.
 ANNEX2_PREFIXES = ("75", "80", "85", "92", "55", "791", "797", "7995", "7961", "7962", "641", "9800", "9812", "9813", "9820", "9850", "98513", "98514", "989")
 
 TIERS = {"late_publication": "violation", "annex_over_cap": "violation", "unplanned_spending": "violation", "missing_quantity": "opacity", "missing_value": "opacity", "price_unverifiable": "opacity", "near_threshold": "opacity", "missing_monthly_report": "opacity"}
@@ -86,7 +86,7 @@ def tier_of(rule: str) -> str:
     return TIERS.get(rule, "signal")
 
 
-#: Documented names of overrides where they differ from ours.
+# Documented names of overrides where they differ from ours.
 NAMES = {
     "late_publication_deadline_days": "late_deadline_days", "late_publication_grace_days": "late_grace_days",
     "late_publication_warning_days": "late_warning_days", "late_publication_high_days": "late_high_days",
@@ -111,7 +111,7 @@ NAMES = {
     "company_status_recent_years": "status_years", "company_status_min_eur_for_report": "status_value",
     "company_status_report_lag_years": "status_lag_years", "activity_mismatch_min_eur": "mismatch_value",
 }
-#: Documented lists of boundaries; the levels that they require stay.
+# Documented lists of boundaries; the levels that they require stay.
 BOUNDS = {"zop_works_bounds_bgn": "works_bands_bgn", "zop_supplies_bounds_bgn": "supplies_bands_bgn", "zop_annex2_bounds_bgn": "annex2_bands_bgn"}
 
 

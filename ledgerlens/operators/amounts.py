@@ -74,8 +74,8 @@ def sole_member(rows: DataFrame, group: str) -> DataFrame:
 
 
 def lookup(rows: DataFrame, key: str, dimension: DataFrame, how: str = "left") -> DataFrame:
-    """Attributes by key from a dimension of a few literal rows."""
-    return rows.join(F.broadcast(dimension), key, how)
+    """Attributes by key from a dimension; Spark broadcasts it where its size is known to be small, as of literal rows."""
+    return rows.join(dimension, key, how)
 
 
 def dimension(spark, columns: Sequence[str], values: Sequence[tuple]) -> DataFrame:
