@@ -58,6 +58,8 @@ class Thresholds:
     match_low: float = 0.5
     match_high: float = 2.0
     reports_from: str = "2019-01"
+    #: Address of the page on which reports are published, for the sources of missing ones.
+    reports_page: str = ""
     related_high: float = 100_000
     person_count: int = 3
     person_total: float = 200_000

@@ -13,10 +13,6 @@ from . import provenance as V
 from .common import findings
 from .registry import RULES
 
-# Fixed value: the page on which reports are published.
-REPORTS_PAGE = "https://www.nesebar.bg/reports.html"
-
-
 REPORT = "struct<url: string, file_path: string, period: string>"
 
 
@@ -103,7 +99,7 @@ def missing_reports(reports: DataFrame, now: Column, t: Thresholds) -> DataFrame
     monthly = months.join(have, "period", "left_anti").join(annual, "period", "left_anti")
     files = reports.groupBy("period").agg(F.array_join(F.array_sort(F.collect_set(V.file_name(F.col("file_path"), F.col("url")))), ", ").alias("files"))  # a period's files are few
     looked = F.concat(F.lit("Looked for a file of kind B1 or B3. Found for this period: "), F.when(F.col("files") != "", F.col("files")).otherwise("none"), F.lit("."))
-    page = F.array(V.reports_page(F.lit(REPORTS_PAGE), F.col("period"), looked))
+    page = F.array(V.reports_page(F.lit(t.reports_page or None).cast("string"), F.col("period"), looked))
     annual, monthly = (x.join(files, "period", "left").withColumn("files", F.coalesce("files", F.lit(""))) for x in (annual, monthly))
     a = findings(annual, "missing_annual_report", severity=F.lit("warning"), message=F.concat(F.lit("No closing report for "), F.col("y").cast("string")), subject_type="report", subject_id=F.concat(F.lit("annual:"), F.col("y").cast("string")), sources=page)
     b = findings(monthly, "missing_monthly_report", severity=F.lit("info"), message=F.concat(F.lit("No report for "), "period"), subject_type="report", subject_id=F.concat(F.lit("report:"), "period"), sources=page)

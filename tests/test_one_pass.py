@@ -93,7 +93,7 @@ def test_every_finding_has_sources(spark, view):  # noqa: F811
         "people": spark.createDataFrame(people, schemas.COMPANY_PEOPLE),
         "officials": spark.createDataFrame([("Ana", "ana maria petrova", "mayor", "2023", None, "http://d", [])], schemas.OFFICIALS),
     }
-    flags = engine.run_all(tables, Thresholds(concentration_count=1, concentration_share=0.01, reports_from="2025-01"), F.lit(NOW)).collect()
+    flags = engine.run_all(tables, Thresholds(concentration_count=1, concentration_share=0.01, reports_from="2025-01", reports_page="http://x/reports"), F.lit(NOW)).collect()
     assert {r.rule for r in flags} == set(RULES.names())
     for r in flags:
         assert r.sources and all(s.kind and s.label for s in r.sources), r.rule
@@ -107,7 +107,7 @@ def test_every_finding_has_sources(spark, view):  # noqa: F811
     new = next(r for r in flags if r.subject_key == "5300:Hall:new")
     assert [(s.period, s.file) for s in new.sources] == [("2025-03", "a.xlsx"), ("2025-06", "b.xlsx")] and new.sources[0].note == "Not in this file: Hall"
     missing = next(r for r in flags if r.subject_key == "report:2025-03")
-    assert missing.sources[0].kind == "reports_page" and "a.xlsx" in missing.sources[0].note
+    assert missing.sources[0].kind == "reports_page" and missing.sources[0].url == "http://x/reports" and "a.xlsx" in missing.sources[0].note
     near = next(r for r in flags if r.rule == "near_threshold")
     assert near.severity == "warning" and near.sources[0].label == "contract 7 of H"
     ceiling = next(r for r in flags if r.rule == "bid_at_ceiling")
