@@ -71,6 +71,13 @@ def test_name_resolution(spark):
     assert {x.short_name: x.full_name for x in G.resolve_names(s, r).collect()} == want
 
 
+def test_name_keys_are_not_broadcast(spark):
+    """However small the estimate of the roster is, its many keys stay off the driver."""
+    s = spark.createDataFrame([("Ана Илиева",)], "short_name string")
+    r = spark.createDataFrame([("Ана Петрова Илиева",)], "full_name string")
+    assert "Broadcast" not in G.resolve_names(s, r)._jdf.queryExecution().executedPlan().toString()
+
+
 DECLARATION = """ДЕКЛАРАЦИЯ
 „Преди“ ООД, ЕИК 999999999 – съдружник
 ЧАСТ ВТОРА. УЧАСТИЕ В   ТЪРГОВСКИ ДРУЖЕСТВА
