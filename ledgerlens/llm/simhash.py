@@ -5,12 +5,14 @@ k of r + k equal blocks of bits, so every C(r + k, k) choice of blocks is a key
 share at least one. Groups of a key are compared through bit planes (``bitslice``) and yield a spanning
 forest of their links; hot keys are dealt into pairs of chunks. Each distinct fingerprint takes part once.
 
+``drop_linked``: of documents whose fingerprints are linked, one stays; the pipeline's near-duplicate stage.
+
 ``drop_near``: of documents whose shingle sets have a Jaccard similarity of at least 0.8, one stays. At that
 similarity some 10 of 64 bits differ, which blocks of bits can't find; candidates share a pair of min-hashes of
 the same shingles (8 pairs: a similarity of 0.8 is missed with probability 0.0003), and ``similar_sets`` verifies them.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other in
-``link_documents``; in ``drop_near`` texts without words are no duplicates of anything but each other.
+``link_documents`` and ``drop_linked``; in ``drop_near`` texts without words are no duplicates of anything but each other.
 Null doc_ids are no component's smallest id unless it has no other. Repeated rows are members like any
 other. An empty table gives an empty result. Extra columns are ignored or carried.
 """
@@ -106,6 +108,16 @@ def link_documents(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_linked(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component of linked fingerprints the smallest doc_id."""
+    key = "__near_row_id"
+    tagged = stable(docs).withColumn(key, F.monotonically_increasing_id())
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("id"))  # in the order in which rows stay
+    linked = link_documents(tagged.select(ident.alias("doc_id"), "text"), words, radius)
+    lost = materialize(linked.where(F.col("doc_id.id") != F.col("component_id.id")).select(F.col("doc_id.id").alias(key)), "near-lost")
+    return without(tagged, lost, key).drop(key)
+
+
 # documents that share most of their shingles
 
 class MinHashPairs(Likeness):

@@ -91,3 +91,31 @@ def test_recall_against_all_pairs_on_documents(spark):
     got = groups(materialize(docs, "test-near"))
     found = sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in pairs)
     assert pairs and found >= 0.99 * len(pairs)
+
+
+def test_pipeline_drops_what_fingerprints_link(spark):
+    """The near stage keeps the smallest id of each component of SimHash fingerprints within 4 bits, by brute force."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(10)
+    vocab = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(40):
+        t = rng.choice(vocab, 300).tolist()
+        for n, edits in enumerate((0, 1, 3, 12, 30)):
+            own = list(t)
+            for at in rng.integers(0, 300, edits):
+                own[at] = "x"
+            rows.append((5 * k + n, " ".join(own)))
+    rows += [(1000, ""), (1001, None), (None, rows[0][1]), (0, rows[0][1])]
+    fp = [simhash.fingerprint(similar_sets.shingle_hashes(t, 4)) & (2**64 - 1) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 4:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = sorted(min(rows[k][0] for k, r in enumerate(root) if r == x and rows[k][0] is not None) for x in set(root))
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "test-near")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == want
+    assert 40 < len(want) < 200
