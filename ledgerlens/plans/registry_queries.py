@@ -10,6 +10,7 @@ from ..rules import contracts
 from ..rules.common import contracts_view
 from ..rules.registry import RULES, evaluate
 from ..schemas import PROCUREMENTS
+from ..storage import spread
 from .base import Tables, query
 
 T = Thresholds(near_from="1993-01-01", near_share=0.3)
@@ -54,7 +55,7 @@ def two_registers(t: Tables) -> DataFrame:
         return F.struct(*[(F.struct(*parts) if f.name == "raw" else values.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in target.fields])
 
     rows = F.array(row(first, raws[0]), F.when(k % 2 == 0, row(second, raws[1])))
-    return t.orders.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
+    return spread(t.orders).select(F.explode(rows).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def contract_rules(t: Tables) -> DataFrame:

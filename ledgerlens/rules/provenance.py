@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators.dates import local_date, net_date
 from ..schemas import SOURCE
 from .common import filled, to_eur
 
+FIELD = "struct<name: string, value: string, value_eur: double>"
 AMOUNTS = ("estimated_total", "spent_prior", "plan_current", "spent_period")
 
 
@@ -23,13 +25,16 @@ def field(name: str, value: Column, value_eur: Column | None = None) -> Column:
 
 def entry(kind: str, label: Column, *, url: Column | None = None, file: Column | None = None, sheet: Column | None = None, row: Column | None = None, period: Column | None = None, fields=(), note: Column | None = None) -> Column:
     """One source; fields without a value are left out."""
-    some = F.filter(F.array(*fields), lambda x: x["value"].isNotNull()) if fields else F.array()
+    some = listed(*((x["value"].isNotNull(), x) for x in fields), of=FIELD) if fields else F.array()
     parts = (("kind", F.lit(kind)), ("label", label), ("url", url), ("file", file), ("sheet", sheet), ("row", row), ("period", period), ("fields", some), ("note", note))
     return F.struct(*[(F.lit(None) if c is None else c).alias(n) for n, c in parts]).cast(SOURCE)
 
 
-def _all(*entries: Column) -> Column:
-    return F.array_compact(F.array(*entries))
+def listed(*items: tuple[Column, Column], of: str) -> Column:
+    """The array of those (condition, item) whose condition holds. Unlike F.filter and F.array_compact it is compiled, items included."""
+    nothing = F.array().cast(f"array<{of}>")
+    parts = [F.when(where, F.array(item)).otherwise(nothing) for where, item in items]
+    return F.concat(*parts) if parts else nothing
 
 
 def file_name(path: Column, url: Column) -> Column:
@@ -70,6 +75,14 @@ def _chosen(fields: dict[str, Callable[[], Column]], names: Sequence[str] | None
     return [fields[n]() for n in (fields if names is None else names)]
 
 
+def _has_contract() -> Column:
+    return F.col("raw.contract").isNotNull()
+
+
+def _has_tender() -> Column:
+    return F.col("raw.procedure").isNotNull() | F.col("raw.tender_detail").isNotNull()
+
+
 def eop_contract(names: Sequence[str] | None = None, note: Column | None = None) -> Column:
     """The contract record of the first register with the named fields, or all; null where there is none."""
     k = F.col("raw.contract")
@@ -89,7 +102,7 @@ def eop_contract(names: Sequence[str] | None = None, note: Column | None = None)
         "ProcedureType": lambda: field("ProcedureType", F.col("procedure_type")),
     }
     label = F.concat(F.lit("contract "), F.coalesce("source_id", F.lit("?")), F.coalesce(F.concat(F.lit(" of "), k["TenderNumber"]), F.lit("")))
-    return F.when(k.isNotNull(), entry("eop_contract", label, url=F.col("url"), fields=_chosen(fields, names), note=note))
+    return F.when(_has_contract(), entry("eop_contract", label, url=F.col("url"), fields=_chosen(fields, names), note=note))
 
 
 def eop_tender(names: Sequence[str] | None = None, note: Column | None = None) -> Column:
@@ -108,7 +121,7 @@ def eop_tender(names: Sequence[str] | None = None, note: Column | None = None) -
         "TenderDescription": lambda: field("TenderDescription", X.truncate(F.when(d["TenderDescription"].isNotNull(), F.try_element_at("descriptions", F.lit(1))), 300)),
     }
     number = F.coalesce(p["SpecialNumber"], F.col("raw.contract.TenderNumber"))
-    return F.when(p.isNotNull() | d.isNotNull(), entry("eop_tender", F.concat_ws(" ", F.lit("procedure"), number), url=F.col("url"), fields=_chosen(fields, names), note=note))
+    return F.when(_has_tender(), entry("eop_tender", F.concat_ws(" ", F.lit("procedure"), number), url=F.col("url"), fields=_chosen(fields, names), note=note))
 
 
 def sigma(names: Sequence[str] | None = None, note: Column | None = None) -> Column:
@@ -142,10 +155,10 @@ MEMBER = ("ContractNumber", "TenderNumber", "ContractDate", "ContractValue", "Cu
 
 def contract_sources(contract: Sequence[str] | None = None, tender: Sequence[str] | None = None, second: Sequence[str] | None = None, note: Column | None = None) -> Column:
     """The entries of a contract by the register it stands in, with the named fields (None: all; an empty list leaves an entry out). A contract without records gets an entry all the same."""
-    eop = [eop_contract(contract, note)] * (contract is None or len(contract) > 0) + [eop_tender(tender)] * (tender is None or len(tender) > 0)
-    given = F.when(F.col("source") == "sigma", F.array(sigma(second, note))).otherwise(_all(*eop))
+    eop = [(_has_contract(), eop_contract(contract, note))] * (contract is None or len(contract) > 0) + [(_has_tender(), eop_tender(tender))] * (tender is None or len(tender) > 0)
+    any_ = reduce(Column.__or__, (where for where, _ in eop), F.lit(False))
     bare = entry("record", F.col("subject"), url=F.col("url"), note=note)
-    return F.when(F.size(given) > 0, given).otherwise(F.array(bare))
+    return F.when(F.col("source") == "sigma", F.array(sigma(second, note))).when(any_, listed(*eop, of=SOURCE)).otherwise(F.array(bare))
 
 
 def reports_page(url: Column, expected: Column, note: Column | None = None) -> Column:

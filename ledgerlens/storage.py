@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch of rows that goes to a Python worker, however long texts are; a batch has one row at least.
 BATCH_BYTES = 4 << 20
+#: Partitions that ``dealt`` makes at most, as a multiple of the session's; estimates from which on a size counts as unknown.
+MOST_TIMES, UNKNOWN_BYTES = 32, 1 << 60
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -105,5 +107,19 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * (4 << 20) else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * (4 << 20) else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, key: str, task_bytes: int) -> DataFrame:
+    """df shuffled by key; where the session's partitions would hold more than task_bytes by Spark's estimate, over as many as keep to it.
+
+    At most MOST_TIMES as many, since estimates behind joins are products; tables whose size Spark doesn't know take the session's.
+    """
+    own, size = shuffle_partitions(df.sparkSession), estimated_bytes(df)
+    n = min(-(-size // task_bytes), MOST_TIMES * own) if size < UNKNOWN_BYTES else 0
+    return df.repartition(n, key) if n > own else df.repartition(key)
