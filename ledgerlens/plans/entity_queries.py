@@ -73,7 +73,8 @@ def related_party(t: Tables):
     c = t.customer.select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 50).alias("band"))
     s = t.supplier.select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 50).alias("band"))
     declared = c.join(s, c["c_custkey"] == s["s_suppkey"]).select("c_custkey", "c_nationkey", "s_suppkey", F.lit(2).alias("rank"))
-    named = c.join(s, (c["c_nationkey"] == s["s_nationkey"]) & (c["band"] == s["band"])).select("c_custkey", "c_nationkey", "s_suppkey", F.lit(1).alias("rank"))
+    first = s.groupBy("s_nationkey", "band").agg(F.min("s_suppkey").alias("s_suppkey"))  # the one that wins among a nation's equal balances
+    named = c.join(first, (c["c_nationkey"] == first["s_nationkey"]) & (c["band"] == first["band"])).select("c_custkey", "c_nationkey", "s_suppkey", F.lit(1).alias("rank"))
     best = L.first_by(declared.unionByName(named), ["c_custkey"], F.desc("rank"), "s_suppkey")
     return best.select("c_custkey", "s_suppkey", F.when(F.col("rank") == 2, "declaration").otherwise("name").alias("basis"))
 

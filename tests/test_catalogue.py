@@ -134,3 +134,24 @@ def test_empty_inputs(spark):
 def test_representative_period(spark):
     df = spark.createDataFrame([("2024-03",), ("2024-12",), ("2025-06",), ("2025-03",)], "p string")
     assert sorted(map(tuple, periods.representative_period(df, "p").collect())) == [("2024", "2024-12", False), ("2025", "2025-06", True)]
+
+
+def test_related_party_makes_no_pairs_of_equal_balances(spark, tmp_path):
+    """Sixty customers and sixty suppliers of one nation and balance: each customer meets one supplier by name, not all sixty."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import linking
+    from ledgerlens.plans import entity_queries
+    from ledgerlens.plans.base import Tables
+
+    k = spark.range(60)
+    k.select((F.col("id") + 100).alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit(10.0).alias("c_acctbal")).write.parquet(f"file://{tmp_path}/customer.parquet")
+    k.select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey"), F.lit(20.0).alias("s_acctbal")).write.parquet(f"file://{tmp_path}/supplier.parquet")
+    ranked, first_by = [], linking.first_by
+    linking.first_by = lambda rows, *a: ranked.append(rows.count()) or first_by(rows, *a)
+    try:
+        out = entity_queries.related_party(Tables(spark, f"file://{tmp_path}")).collect()
+    finally:
+        linking.first_by = first_by
+    assert ranked == [60]
+    assert sorted(tuple(r) for r in out) == [(100 + i, 0, "name") for i in range(60)]
