@@ -49,7 +49,7 @@ FUZZY = f"WITH {_FUZZY} SELECT object_id, best_id, round(jaccard, 9) AS jaccard
 
 
 def unmatched(t: Tables):
-    docs = _documents(t)
+    docs = _documents(t).where("size > 0")
     return L.unmatched(docs, _fuzzy(t)).select("object_id", F.col("size").cast("long").alias("size"))
 
 

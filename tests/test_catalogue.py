@@ -155,3 +155,19 @@ def test_related_party_makes_no_pairs_of_equal_balances(spark, tmp_path):
         linking.first_by = first_by
     assert ranked == [60]
     assert sorted(tuple(r) for r in out) == [(100 + i, 0, "name") for i in range(60)]
+
+
+def test_unmatched_leaves_out_documents_without_text(spark, tmp_path):
+    """Empty and missing texts are no documents without a match, as in the SQL; texts too long for any item are."""
+    folder = f"file://{tmp_path}"
+    rows = [(1, "sewer works in north quarter"), (2, ""), (3, None), (4, "bread and milk for schools"), (5, "sewer works in north quarter " * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(7, "works on sewer in north quarter")], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    import duckdb
+
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("unmatched", "fuzzy_best_match"):
+        assert_same(spark, db, catalogue.queries()[name], SQL[name], folder)
+    assert sorted(r.object_id for r in catalogue.queries()["unmatched"](spark, folder).collect()) == [4, 5]
