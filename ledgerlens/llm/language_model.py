@@ -62,19 +62,53 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def hash_of(columns: list[np.ndarray]) -> np.ndarray:
     """64-bit hash of n-grams given as columns of ids."""
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        h = _mix(h * np.uint64(0xA24BAED4963EE407) + c.astype(np.uint64) + np.uint64(1))
+        h *= np.uint64(0xA24BAED4963EE407)
+        h += c
+        h += np.uint64(1)
+        h = _mix(h)
     return h
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable argsort of 64-bit keys. Sorting numbers is several times faster than sorting their places, so the leading bits are sorted with the place in the last ones; keys that these leave in disorder are few, and sorted then."""
+    if not len(keys):
+        return np.empty(0, np.int64)
+    width = np.uint64(len(keys).bit_length())
+    free = np.uint64(64 - int(keys.max()).bit_length())
+    leading = keys << free >> width << width
+    leading |= np.arange(len(keys), dtype=np.uint64)
+    leading.sort()
+    order = (leading & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+    if free < width:
+        s = keys[order]
+        if (s[1:] < s[:-1]).any():
+            order = order[np.argsort(s, kind="stable")]
+    return order
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted; the place of every key among them)."""
+    order = _order(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    at = np.empty(len(s), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return s[new], at
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Parts are ranges of the hash: sorted hashes have sorted parts."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -94,14 +128,17 @@ class Words:
         """(token hashes with an end after every text, tokens of each text)."""
         data = self.lower[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         if len(self.power) < len(data):
-            self.power, self.inverse = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
+            self.power, self.inverse = (_powers(b, len(data) + len(data) // 8) for b in (_BASE, _INVERSE))
         blank = self.blank[data]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if not blank[0]:
             edge = np.concatenate(([0], edge))
         starts, ends = edge[::2], edge[1::2]
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=total[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= self.power[: len(data)]
+        np.cumsum(terms, out=total[1:])
         word = _mix((total[ends] - total[starts]) * self.inverse[starts])
         text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         upto = np.searchsorted(starts, text_ends)
@@ -177,14 +214,26 @@ def _places(segment: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray,
     lead = len(starts).bit_length() - 1 if len(starts) > 2 else 0
     entry = (h >> np.uint64(64 - lead) if lead else np.zeros(len(h), np.uint64)).astype(np.int64)
     tail = (h >> np.uint64(32 - lead)).astype(np.uint32)
-    lo, hi = starts[entry].astype(np.int64), starts[entry + 1].astype(np.int64)
-    end = hi.copy()
-    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-        mid = (lo + hi) >> 1
-        less = (tails[np.minimum(mid, len(tails) - 1)] < tail) & (mid < hi)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    at = np.minimum(lo, len(tails) - 1)
-    return at, (lo < end) & (tails[at] == tail)
+    at, end = starts[entry].astype(np.int64), starts[entry + 1].astype(np.int64)
+    last = len(tails) - 1
+    wide = end - at
+    for k in range(int(wide.max(initial=0)).bit_length() - 1, -1, -1):
+        step = 1 << k
+        if k > 3:  # few entries are so long
+            rows = np.flatnonzero(wide >= step)
+            probe = at[rows] + step
+            less = (probe <= end[rows]) & (tails[np.minimum(probe - 1, last)] < tail[rows])
+            at[rows] += less * step
+        else:
+            probe = at + (step - 1)
+            less = probe < end
+            np.minimum(probe, last, out=probe)
+            less &= tails[probe] < tail
+            at += less.view(np.int8) << np.int8(k)
+    hit = at < end
+    np.minimum(at, last, out=at)
+    hit &= tails[at] == tail
+    return at, hit
 
 
 def _narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -194,8 +243,8 @@ def _narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _wide(segment: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
-    out = segment[name][at].astype(np.int64)
-    big = np.flatnonzero(out == 255)
+    small = segment[name][at]
+    out, big = small.astype(np.int64), np.flatnonzero(small == 255)
     if len(big):
         out[big] = segment[name + "-value"][np.searchsorted(segment[name + "-at"], at[big])]
     return out
@@ -208,7 +257,7 @@ def _pack(columns: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0)) if columns else None
     planes = []
     for a in [*([first, *columns[1:]] if columns else []), *numbers]:
-        planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+        planes.extend((a >> a.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(a.itemsize))
     kinds = json.dumps([[a.dtype.str for a in columns], [a.dtype.str for a in numbers], len((columns or numbers)[0])]).encode()
     return len(kinds).to_bytes(4, "little") + kinds + ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -221,7 +270,10 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     data, at, out = ZstdDecompressor().decompress(blob[k:]), 0, []
     for t in [*of_columns, *of_numbers]:
         width = np.dtype(t).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(t).ravel())
+        whole = np.frombuffer(data, np.uint8, n, at).astype(t)
+        for k in range(1, width):
+            whole |= np.frombuffer(data, np.uint8, n, at + k * n).astype(t) << np.dtype(t).type(8 * k)
+        out.append(whole)
         at += n * width
     columns = out[: len(of_columns)]
     if columns:
@@ -235,34 +287,64 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
-def _sort_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """As few 64-bit keys as hold the columns, in their order, most significant first."""
-    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
-    keys, used = [], 64
-    for c, n in zip(columns, bits, strict=True):
-        if used + n > 64:
-            keys.append(c.astype(np.uint64))
-            used = n
-        else:
-            keys[-1] = keys[-1] << np.uint64(n) | c
-            used += n
-    return keys
+def _bits(columns: list[np.ndarray]) -> list[int]:
+    return [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+
+
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, sorted; every value's rank), by a table where that isn't much longer than the values."""
+    s = np.sort(values)
+    own = s[np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))]
+    if int(own[-1]) >= 8 * len(values) + (1 << 20):
+        return own, np.searchsorted(own, values)
+    table = np.empty(int(own[-1]) + 1, np.uint32)
+    table[own] = np.arange(len(own), dtype=np.uint32)
+    return own, table[values]
 
 
 def _added_up(columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of columns, sorted, and the sums of their numbers."""
+    """Distinct rows of columns, sorted, and the sums of their numbers.
+
+    Columns are laid into one 64-bit key, as ranks where they are too wide. A lone column of numbers, mostly ones, is
+    added up by the lengths of the runs of the sorted keys and what its other values have beyond one.
+    """
     if not len(columns[0]):
         return columns, numbers
-    keys = _sort_keys(columns)
-    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    chosen = order[first]
-    return [c[chosen] for c in columns], [np.add.reduceat(v[order], first) for v in numbers]
+    given, values = columns, [None] * len(columns)
+    if sum(_bits(columns)) > 64:
+        values, columns = map(list, zip(*map(_ranks, columns), strict=True))
+    bits = _bits(columns)
+    if sum(bits) > 64:
+        order = np.lexsort(given[::-1])
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in given:
+            c = c[order]
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        return [c[order[first]] for c in given], [np.add.reduceat(v[order], first) for v in numbers]
+    key = columns[0].astype(np.uint64)
+    for c, n in zip(columns[1:], bits[1:], strict=True):
+        key <<= np.uint64(n)
+        key |= c.astype(np.uint64, copy=False)
+    alone = len(numbers) == 1
+    order = None if alone else _order(key)
+    s = np.sort(key) if alone else key[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    s = s[first]
+    if alone:
+        sums = np.diff(first, append=len(key))
+        other = np.flatnonzero(numbers[0] != 1)
+        np.add.at(sums, np.searchsorted(s, key[other]), numbers[0][other] - 1)
+        added = [sums]
+    else:
+        added = [np.add.reduceat(v[order], first) for v in numbers]
+    out: list[np.ndarray] = []
+    for v, n, c in zip(values[::-1], bits[::-1], given[::-1], strict=True):
+        own = s & np.uint64((1 << n) - 1)
+        out.insert(0, own.astype(c.dtype) if v is None else v[own.astype(np.int64)])
+        s = s >> np.uint64(n) if n < 64 else s
+    return out, added
 
 
 def _joined(blobs: list[bytes], n: int, m: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -312,7 +394,7 @@ class Layout:
         return part_of(by, self.shards) * self.spans + part_of(_mix(h), self.spans), h
 
     def send(self, columns: list[np.ndarray], numbers: list[np.ndarray]) -> pa.RecordBatch:
-        """Rows (distinct, sorted) as one blob for each shard and range."""
+        """Rows, sorted or nearly so, as one blob for each shard and range."""
         place, _ = self.place(columns)
         order = np.argsort(place.astype(np.uint16) if self.shards * self.spans <= 1 << 16 else place, kind="stable")
         columns, numbers, place = [c[order] for c in columns], [v[order] for v in numbers], place[order]
@@ -371,9 +453,9 @@ class LanguageModel:
 
     def _find(self, kind: str, place: np.ndarray, keys: np.ndarray, spans: int, values: tuple[str, ...]) -> list[np.ndarray]:
         """The values of keys at their places; zero where a key is absent. Ids are one more than stored."""
-        out = [np.zeros(len(keys), np.int64) for _ in values]
+        found = [np.zeros(len(keys), np.int64) for _ in values]
         width = np.uint64(max(1, (self.layout.shards * spans).bit_length()))
-        order = np.argsort(place.astype(np.uint64) << (np.uint64(64) - width) | keys >> width)
+        order = _order(place.astype(np.uint64) << (np.uint64(64) - width) | keys >> width)
         place, keys = place[order], keys[order]
         cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
         for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -384,17 +466,20 @@ class LanguageModel:
             if not len(segment["tails"]):
                 continue
             at, hit = _places(segment, keys[lo:hi])
-            where, at = order[lo:hi][hit], at[hit]
-            for o, v in zip(out, values, strict=True):
-                o[where] = segment["ids"][at].astype(np.int64) + 1 if v == "ids" else _wide(segment, v, at)
+            for f, v in zip(found, values, strict=True):
+                f[lo:hi] = segment["ids"][at].astype(np.int64) + 1 if v == "ids" else _wide(segment, v, at)
+                f[lo:hi] *= hit
+        out = [np.empty(len(keys), np.int64) for _ in values]
+        for o, f in zip(out, found, strict=True):
+            o[order] = f
         return out
 
-    def ids(self, words: np.ndarray, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, training counts) of hashed words; unseen words have count 0 and the id after the last."""
-        every, at = np.unique(words, return_inverse=True)
+    def ids(self, words: np.ndarray, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, training counts, every word's place in them) of the distinct hashed words; unseen words have count 0 and the id after the last."""
+        every, at = _distinct(words)
         found = self._find("words", part_of(every, self.layout.shards), every, 1, ("ids", "count") if with_counts else ("ids",))
         ids = np.where(found[0] > 0, found[0] - 1, self.layout.words + 1).astype(np.uint32 if self.layout.words < (1 << 32) - 2 else np.uint64)
-        return ids[at], found[-1][at]
+        return ids, found[-1], at
 
     def _numbers(self, columns: list[np.ndarray], names: tuple[str, ...]) -> list[np.ndarray]:
         place, h = self.layout.place(columns)
@@ -402,14 +487,16 @@ class LanguageModel:
 
     def log_probabilities(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 probability, log10 of the add-one unigram base, known) of every token of whole texts."""
-        ids, count = self.ids(words)
-        base = np.log10((count + 1) / (self.tokens + self.layout.words + 1))
+        own_ids, own_counts, at = self.ids(words)
+        ids, count = own_ids[at], own_counts[at]
+        base = np.log10((own_counts + 1) / (self.tokens + self.layout.words + 1))[at]
         columns = windows(ids, sizes, self.order, self.layout.words)
         starts = np.cumsum(sizes) - sizes
         p = np.full(len(ids), 1 / (self.layout.words + 1))
         context: list[np.ndarray] = []
         for n in range(1, self.order + 1):
-            c, *own = self._numbers(columns[self.order - n :], NUMBERS if n < self.order else NUMBERS[:1])
+            names = NUMBERS if n < self.order else NUMBERS[:1]
+            c, *own = [v[at] for v in self._numbers([own_ids], names)] if n == 1 else self._numbers(columns[self.order - n :], names)
             left = np.maximum(c - _discount(c, self.discounts[n - 1]), 0)
             if n == 1:
                 p = (left + self.base_rest * p) / self.base_tokens if self.base_tokens else p
@@ -458,7 +545,14 @@ def _vocabulary(texts: DataFrame, folder: str, layout: Layout) -> tuple[Layout,
     one = Layout(layout.shards, 1)
 
     def count(batches):
-        words, keys, counts = Words(), np.empty(0, np.uint64), np.empty(0, np.int64)
+        words, keys, counts, held, n = Words(), np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+        def merge():
+            nonlocal keys, counts, held, n
+            if held:
+                k, c = np.unique(np.concatenate(held), return_counts=True)
+                (keys,), (counts,) = _added_up([np.concatenate([keys, k])], [np.concatenate([counts, c])]) if len(keys) else ([k], [c])
+                held, n = [], 0
 
         def send():
             place = part_of(keys, one.shards)
@@ -466,11 +560,14 @@ def _vocabulary(texts: DataFrame, folder: str, layout: Layout) -> tuple[Layout,
             return _rows([(s, 0, _pack([keys[a:b]], [_smallest(counts[a:b])])) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b])
 
         for _, t in _slices(batches, [], SLICE):
-            k, c = np.unique(words.hashes(t)[0], return_counts=True)
-            (keys,), (counts,) = _added_up([np.concatenate([keys, k])], [np.concatenate([counts, c])])
-            if len(keys) >= TOKENS:
-                yield send()
-                keys, counts = keys[:0], counts[:0]
+            held.append(words.hashes(t)[0])
+            n += len(held[-1])
+            if n >= TOKENS:
+                merge()
+                if len(keys) >= TOKENS:
+                    yield send()
+                    keys, counts = keys[:0], counts[:0]
+        merge()
         if len(keys):
             yield send()
 
@@ -512,14 +609,22 @@ def _power(counts: np.ndarray) -> np.ndarray:
 
 
 def _lower(columns: list[np.ndarray], counts: np.ndarray, start: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """What n-grams and their counts tell of the next lower order: rows of ids with NUMBERS."""
+    """What sorted n-grams and their counts tell of the next lower order: rows of ids with NUMBERS, those of contexts, then those of suffixes."""
     some = counts > 0  # all but contexts that nothing precedes
-    columns, counts = [c[some] for c in columns], counts[some]
-    zero, one = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-    as_context = [zero, counts, (counts == 1) * one, (counts == 2) * one, (counts > 2) * one]
-    as_suffix = [np.where(columns[1] == start, counts, one), zero, zero, zero, zero]
-    lower = [np.concatenate(x) for x in zip(columns[:-1], columns[1:], strict=True)]
-    return _added_up(lower, [np.concatenate(x) for x in zip(as_context, as_suffix, strict=True)])
+    if not some.all():
+        columns, counts = [c[some] for c in columns], counts[some]
+    if not len(counts):
+        return columns[:-1], [counts] * len(NUMBERS)
+    new = np.zeros(len(counts), bool)
+    new[0] = True
+    for c in columns[:-1]:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)  # rows are sorted, so a context's are neighbours
+    as_context = [np.add.reduceat(v, first, dtype=np.int64) for v in (counts, counts == 1, counts == 2, counts > 2)]
+    suffixes, (before,) = _added_up(columns[1:], [np.where(columns[1] == start, counts, 1)])
+    lower = [np.concatenate((c[first], x)) for c, x in zip(columns[:-1], suffixes, strict=True)]
+    none = np.zeros(len(before), np.int64)
+    return lower, [np.concatenate((np.zeros(len(first), np.int64), before)), *(np.concatenate((v, none)) for v in as_context)]
 
 
 def fit(docs: DataFrame, train: Column, folder: str | None = None, order: int = ORDER) -> LanguageModel:
@@ -543,7 +648,8 @@ def fit(docs: DataFrame, train: Column, folder: str | None = None, order: int =
 
         for _, t in _slices(batches, [], SLICE):
             h, sizes = hashes.hashes(t)
-            held.append(windows(words.ids(h, False)[0], sizes, order, layout.words))
+            ids, _, at = words.ids(h, False)
+            held.append(windows(ids[at], sizes, order, layout.words))
             n += len(h)
             if n >= TOKENS:
                 yield send()
@@ -560,8 +666,8 @@ def fit(docs: DataFrame, train: Column, folder: str | None = None, order: int =
                 segments, stats = [none] * layout.spans, np.zeros(6, np.int64)
                 for _, span, blobs in ranges:
                     columns, numbers = _added_up(*_joined(blobs, n, len(names)))
-                    _, h = layout.place(columns)
-                    by_hash = np.argsort(h)
+                    h = hash_of(columns)
+                    by_hash = _order(h)
                     segments[span] = _indexed(h[by_hash])
                     for name, v in zip(names, numbers, strict=True):
                         segments[span] |= _narrow(name, v[by_hash])

@@ -222,6 +222,44 @@ def test_language_model(spark, order, monkeypatch):
     assert sum(p(context, w) for w in vocabulary) + p(context, "\0unseen") == pytest.approx(1)
 
 
+def test_language_model_adds_up_wide_ids_without_lexsort(monkeypatch):
+    """Ids of over 64 bits together are laid into one key as ranks; both ways of adding up against a plain count."""
+    rng = np.random.default_rng(5)
+    some = np.concatenate([rng.integers(0, 1 << 32, 40), [0, (1 << 32) - 1]]).astype(np.uint32)
+    columns = [some[rng.integers(0, len(some), 20_000)] for _ in range(3)]
+    numbers = [np.where(rng.random(20_000) < 0.8, 1, rng.integers(0, 900, 20_000)), rng.integers(0, 5, 20_000)]
+
+    def refused(*_):
+        raise AssertionError("lexsort")
+
+    monkeypatch.setattr(np, "lexsort", refused)
+    for own in (numbers[:1], numbers):
+        want = {}
+        for *row, i in zip(*(c.tolist() for c in columns), range(20_000), strict=True):
+            want[tuple(row)] = [a + int(v[i]) for a, v in zip(want.get(tuple(row), [0] * len(own)), own, strict=True)]
+        rows, sums = language_model._added_up(columns, own)
+        assert [c.dtype for c in rows] == [np.uint32] * 3
+        assert list(zip(*(c.tolist() for c in rows), strict=True)) == sorted(want)
+        assert [list(x) for x in zip(*(v.tolist() for v in sums), strict=True)] == [want[k] for k in sorted(want)]
+
+
+def test_language_model_adds_up_ids_too_wide_for_ranks():
+    columns = [np.arange(1 << 13, dtype=np.uint64)[::-1] * np.uint64(1 << 40) for _ in range(5)]
+    rows, (sums,) = language_model._added_up([np.tile(c, 2) for c in columns], [np.arange(2 << 13)])
+    assert all(np.array_equal(r, c[::-1]) for r, c in zip(rows, columns, strict=True))
+    assert sums.tolist() == [2 * k + (1 << 13) for k in range(1 << 13)][::-1]
+
+
+def test_language_model_order_is_the_stable_argsort():
+    rng = np.random.default_rng(6)
+    every = np.uint64((1 << 64) - 1)
+    for keys in (rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 9, 5000, np.uint64), every - rng.integers(0, 900, 5000, np.uint64), np.zeros(3, np.uint64), np.array([every]), np.empty(0, np.uint64)):
+        assert np.array_equal(language_model._order(keys), np.argsort(keys, kind="stable"))
+        own, at = language_model._distinct(keys)
+        assert np.array_equal(own, np.unique(keys)) and np.array_equal(own[at], keys)
+
+
+
 def test_counts_beyond_a_byte(spark):
     v = np.array([0, 1, 254, 255, 256, 1 << 40], np.int64)
     stored = language_model._narrow("n", v)
