@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PEG, Thresholds
@@ -50,18 +50,31 @@ def two_registers(t: Tables) -> DataFrame:
     def struct(kind, values):
         return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
 
-    def row(values, raw):
-        parts = [(struct(f.dataType, raw[f.name]) if f.name in raw else F.lit(None).cast(f.dataType)).alias(f.name) for f in target["raw"].dataType.fields]
-        return F.struct(*[(F.struct(*parts) if f.name == "raw" else values.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in target.fields])
+    def part(f):
+        """A source's record, in the rows of its register."""
+        sets = [F.when(again == F.lit(n == 1), struct(f.dataType, raw[f.name])) for n, raw in enumerate(raws) if f.name in raw]
+        return (sets[0] if sets else F.lit(None).cast(f.dataType)).alias(f.name)
 
-    rows = F.array(row(first, raws[0]), F.when(k % 2 == 0, row(second, raws[1])))
-    return spread(t.orders).select(F.explode(rows).alias("r")).where("r IS NOT NULL").select("r.*")
+    def column(f):
+        if f.name == "raw":
+            return F.struct(*map(part, f.dataType.fields)).alias("raw")
+        ours, theirs = (v.get(f.name, F.lit(None)).cast(f.dataType) for v in (first, second))
+        return (ours if first.get(f.name) is second.get(f.name) else F.when(again, theirs).otherwise(ours)).alias(f.name)
+
+    # only the register is exploded, so that no column is laid out which the query doesn't read
+    again = F.col("again")
+    rows = spread(t.orders).select("*", F.explode(F.array(F.lit(False), F.when(k % 2 == 0, True))).alias("again"))
+    return rows.where("again IS NOT NULL").select(*map(column, target.fields))
 
 
 def contract_rules(t: Tables) -> DataFrame:
     """The findings of all rules on contracts, and the kinds of their sources."""
-    flags = evaluate(contracts_view(two_registers(t)), RULES.row_rules.values(), T)
-    return flags.select("rule", "tier", "severity", "subject_id", "subject_key", F.array_join(F.transform("sources", lambda s: s["kind"]), "+").alias("kinds"))
+    return evaluate(contracts_view(two_registers(t)), RULES.row_rules.values(), T, apart=True, of=_with_kinds)
+
+
+def _with_kinds(f: Column) -> Column:
+    named = [f[n].alias(n) for n in ("rule", "tier", "severity", "subject_id", "subject_key")]
+    return F.struct(*named, F.array_join(f["sources"]["kind"], "+").alias("kinds"))
 
 
 def contract_rule_sources(t: Tables) -> DataFrame:

@@ -225,7 +225,7 @@ def twins(view: DataFrame, t: Thresholds) -> DataFrame:
     return _tender_facts(rows, t).where("twin IS NOT NULL").select(F.col("subject").alias("eop"), F.col("twin.subject").alias("sigma"), F.col("twin.bids").alias("sigma_bids"), F.col("id").alias("eop_id"), F.col("twin.id").alias("sigma_id"))
 
 
-@RULES.row_rule("exceptional_procedure", facts=TENDER, settle=lambda f, t: F.when(F.col("first_register") | (F.col("known") == 0), f))
+@RULES.row_rule("exceptional_procedure", facts=TENDER, settle=lambda f, t: F.when(F.col("first_register") | (F.col("known") == 0), f), at_once=lambda t: F.coalesce(F.col("source") == "eop", F.lit(False)) | F.col("tender").isNull())
 def exceptional_procedure(t: Thresholds) -> Column:
     """Rows of the second register count only where the first one doesn't know the tender."""
     text = F.lower(F.concat_ws(" ", F.col("title"), F.array_join("descriptions", " ")))

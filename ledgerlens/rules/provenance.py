@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +17,8 @@ from ..schemas import SOURCE
 from .common import filled, to_eur
 
 FIELD = "struct<name: string, value: string, value_eur: double>"
+#: Whether entries get nothing but their kind.
+_BARE: ContextVar[bool] = ContextVar("_BARE", default=False)
 AMOUNTS = ("estimated_total", "spent_prior", "plan_current", "spent_period")
 
 
@@ -23,8 +27,20 @@ def field(name: str, value: Column, value_eur: Column | None = None) -> Column:
     return F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), eur.cast("double").alias("value_eur"))
 
 
+@contextmanager
+def kinds_only(only: bool = True) -> Iterator[None]:
+    """Entries that are built inside state their kind alone, where only is true: for callers that ask for no more."""
+    token = _BARE.set(only)
+    try:
+        yield
+    finally:
+        _BARE.reset(token)
+
+
 def entry(kind: str, label: Column, *, url: Column | None = None, file: Column | None = None, sheet: Column | None = None, row: Column | None = None, period: Column | None = None, fields=(), note: Column | None = None) -> Column:
     """One source; fields without a value are left out."""
+    if _BARE.get():
+        label, url, file, sheet, row, period, note, fields = *[None] * 7, ()
     some = listed(*((x["value"].isNotNull(), x) for x in fields), of=FIELD) if fields else F.array()
     parts = (("kind", F.lit(kind)), ("label", label), ("url", url), ("file", file), ("sheet", sheet), ("row", row), ("period", period), ("fields", some), ("note", note))
     return F.struct(*[(F.lit(None) if c is None else c).alias(n) for n, c in parts]).cast(SOURCE)
