@@ -33,6 +33,8 @@ from .provenance import kinds_only
 #: Bytes by Spark's estimate of rows with their candidates that one task sorts. The estimate follows the compressed files and
 #: knows no lists: over the orders, 3 MB of it were 3.9 GB in the tasks' memory.
 TASK_BYTES = 512 << 10
+#: The same where sources don't travel: 40 MB of it were 1.6 GB in a task's memory.
+BARE_TASK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -96,22 +98,24 @@ def evaluate(rows: DataFrame, rules: Iterable[RowRule], t: Thresholds, *, apart:
     facts = later[0].facts
     carried = reduce(dict.__or__, (r.carries(t) for r in later), {}) | facts.columns(t)
     light = rows.select(*(c.alias(n) for n, c in carried.items()), *(x for k, c in enumerate(candidates) for x in _flat(c, k, cites)), *(f.alias(f"__found_{k}") for k, f in enumerate(found)))
-    known = facts.add(dealt(light, facts.key, TASK_BYTES), t)
+    known = facts.add(dealt(light, facts.key, TASK_BYTES if cites else BARE_TASK_BYTES), t)
     return reduce(DataFrame.unionByName, [*first, _exploded(known, [*(F.col(f"__found_{k}") for k in range(len(found))), *settled], of)])
 
 
 def _flat(candidate: Column, k: int, cites: bool) -> list[Column]:
-    """A candidate as columns, so that those which nobody asks for don't travel; of its sources the kinds where nobody asks for more."""
-    parts = {n: candidate[n] for n in FLAGS.fieldNames()}
-    if not cites:
-        parts["sources"] = candidate["sources"]["kind"]
+    """What travels of a candidate: all of it, or columns with the kinds of its sources, of which those that nobody asks for are left out."""
+    if cites:
+        return [candidate.alias(f"__candidate_{k}")]
+    parts = {n: candidate[n] for n in FLAGS.fieldNames()} | {"sources": candidate["sources"]["kind"]}
     return [candidate.isNotNull().alias(f"__is_{k}"), *(c.alias(f"__{n}_{k}") for n, c in parts.items())]
 
 
 def _struct(k: int, cites: bool) -> Column:
+    """A candidate after its travel."""
+    if cites:
+        return F.col(f"__candidate_{k}")
     parts = {n: F.col(f"__{n}_{k}") for n in FLAGS.fieldNames()}
-    if not cites:
-        parts["sources"] = F.transform(parts["sources"], lambda kind: F.from_json(F.lit("{}"), SOURCE).withField("kind", kind))
+    parts["sources"] = F.transform(parts["sources"], lambda kind: F.from_json(F.lit("{}"), SOURCE).withField("kind", kind))
     return F.when(F.col(f"__is_{k}"), F.struct(*(c.alias(n) for n, c in parts.items())))
 
 

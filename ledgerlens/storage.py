@@ -116,10 +116,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def dealt(df: DataFrame, key: str, task_bytes: int) -> DataFrame:
-    """df shuffled by key; where the session's partitions would hold more than task_bytes by Spark's estimate, over as many as keep to it.
+    """df shuffled by key; where the session's partitions or its cores would hold more than task_bytes by Spark's estimate, over as many as keep to it.
 
+    Their number is then fixed: Spark would merge the session's own by their bytes, which are few against the memory that rows take.
     At most MOST_TIMES as many, since estimates behind joins are products; tables whose size Spark doesn't know take the session's.
     """
     own, size = shuffle_partitions(df.sparkSession), estimated_bytes(df)
     n = min(-(-size // task_bytes), MOST_TIMES * own) if size < UNKNOWN_BYTES else 0
-    return df.repartition(n, key) if n > own else df.repartition(key)
+    return df.repartition(n, key) if n > min(own, df.sparkSession.sparkContext.defaultParallelism) else df.repartition(key)
